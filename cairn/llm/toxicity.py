@@ -2,18 +2,18 @@
 
 Lexicon. Terms are words (with look-alike digits and signs undone, inner marks dropped and
 long repeats shortened) and their first four and five letters, which stand for the forms of
-an inflected word. Their counts in toxic and clean texts are taken over every labelled
-training text; a term's weight is its smoothed log-odds. A short list of plain insults is
-known from the start.
+an inflected word. A term's weight is its smoothed log-odds between toxic and clean training
+texts. A short list of plain insults is known from the start.
 
 Features. Densities and extremes of the lexicon weights, second-person words and how close
 the nearest lexicon term is to one, shares of capitals, of shouted words, punctuation and
 exclamation marks, digits, repeated words, obfuscated words, and length.
 
-Fitting. Rows are split by ``fold`` 1 to 4: a text is described by the counts of the other
-folds, so no text sees its own label. The trees are fitted on folds 1 to 3 and the isotonic
-calibration on fold 4, on at most ``MAX_FIT_ROWS`` rows each (by hash). Scoring uses the
-counts of all folds.
+Fitting uses about ``MAX_FIT_ROWS`` labelled rows at most, chosen by a hash of the id; their
+ids and labels are broadcast, so no text is shuffled. They are split by ``fold`` 1 to 4: a
+text is described by the term counts of the other folds, so no text sees its own label. The
+trees are fitted on folds 1 to 3 and the isotonic calibration on fold 4. Scoring uses the
+counts of all folds and covers every row.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.session import checkpoint
 
-MAX_FIT_ROWS = 20_000
+MAX_FIT_ROWS = 40_000
 MAX_TERMS = 20_000
 LEAST_TOXIC = 3
 FOLDS = 4
@@ -172,18 +173,19 @@ def _described(rows: DataFrame, lexicon, columns: list[str]) -> DataFrame:
     """columns of rows plus features; uses rows' text and fold."""
     from pyspark.ml.functions import array_to_vector
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lexicon.value
-        for frame in frames:
-            made = [own.features(t, int(f)) for t, f in zip(frame["text"], frame["fold"], strict=True)]
-            yield frame[columns].assign(features=[[float(x) for x in m] for m in made])
+        for batch in batches:
+            made = [x for t, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in own.features(t, f)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(made, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], lists], names=[*columns, "features"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    out = rows.select(*columns, *(c for c in ("text", "fold") if c not in columns)).mapInPandas(run, f"{kinds}, features array<double>")
+    out = rows.select(F.col("text").alias("_text"), F.col("fold").alias("_fold"), *columns).mapInArrow(run, f"{kinds}, features array<double>")
     return out.withColumn("features", array_to_vector("features"))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: str | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, score, predicted), one row per row of docs.
 
     Labels are learned from the rows of docs that ``labels`` (id_col, toxic 0 or 1) covers
@@ -193,35 +195,45 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Where no toxic or no clean row can be learned from, every score is the insults' share of
     the words, and an empty table gives no rows. Other columns are ignored.
     """
+    scored = _scored(docs.select(id_col, text_col), labels, id_col, text_col, carried=[id_col])
+    return scored.select(F.col("_c0").alias(id_col), (F.col("remainder") == 0).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that score_toxicity predicts to be toxic; scored in place, so no text is shuffled."""
+    scored = _scored(docs, labels, id_col, text_col, carried=docs.columns)
+    return scored.where("predicted = 0").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """_c0, _c1, ... (the carried columns of docs), remainder, score and predicted."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    kept = [f"_c{i}" for i in range(len(carried))]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in zip(carried, kept, strict=True)))
     rows = rows.withColumn("remainder", F.coalesce(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(5)), F.lit(0)).cast("int"))
-    known = labels.where("toxic in (0, 1)").groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    learn = rows.where((F.col("remainder") > 0) & F.col("_id").isNotNull()).join(known, "_id").withColumnRenamed("remainder", "fold")
+    known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    share = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.where(share < F.lit(MAX_FIT_ROWS / max(1, known.count())))
+    learn = checkpoint(rows.select("_id", "text", "remainder").where("remainder > 0").join(F.broadcast(sample), "_id").withColumnRenamed("remainder", "fold"))
     sums = {(r["fold"], r["toxic"]): r["count"] for r in learn.groupBy("fold", "toxic").count().collect()}
     totals = [[sums.get((f, label), 0) for label in (0, 1)] for f in range(1, FOLDS + 1)]
     lexicon = spark.sparkContext.broadcast(Lexicon(term_counts(learn).collect(), totals))
-    fit_on = lambda folds: sum(sums.get((f, label), 0) for f in folds for label in (0, 1))
-    most = {f: MAX_FIT_ROWS / max(1, fit_on((1, 2, 3) if f < 4 else (4,))) for f in range(1, FOLDS + 1)}
-    share = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000)) / 1_000_000.0
-    chosen = learn.where(share < F.element_at(F.create_map(*(x for f, m in most.items() for x in (F.lit(f), F.lit(m)))), F.col("fold")))
-    scored = _described(rows.withColumn("fold", F.lit(0)), lexicon, ["_id", "remainder"])
-    out = [F.col("_id").alias(id_col), (F.col("remainder") == 0).alias("held_out")]
+    scored = _described(rows.withColumn("fold", F.lit(0)), lexicon, ["remainder", *kept])
     if not all(any(t[label] for t in totals[:3]) for label in (0, 1)):
         share = F.least(F.lit(1.0), vector_to_array("features")[FEATURES.index("insults")] / F.greatest(F.lit(1.0), vector_to_array("features")[0]))
-        return scored.select(*out, share.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    examples = checkpoint(_described(chosen, lexicon, ["_id", "fold", "toxic"]).withColumn("label", F.col("toxic").cast("double")))
+        return scored.select("remainder", *kept, share.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    examples = checkpoint(_described(learn, lexicon, ["_id", "fold", "toxic"]).withColumn("label", F.col("toxic").cast("double")))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=48, minInstancesPerNode=2, featuresCol="features", labelCol="label", cacheNodeIds=True).fit(examples.where("fold < 4"))
     raw = vector_to_array("probability")[1]
-    held = trees.transform(examples.where("fold = 4")).select(raw.alias("raw"), "label")
-    if held.select("label").distinct().count() == 2:
-        calibrated = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held)
+    if all(totals[3]):
+        held = trees.transform(examples.where("fold = 4")).groupBy(raw.alias("raw")).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+        calibrated = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(held)
         scored = calibrated.setFeaturesCol("raw").setPredictionCol("score").transform(trees.transform(scored).withColumn("raw", raw))
     else:
         scored = trees.transform(scored).withColumn("score", raw)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return scored.select(*out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return scored.select("remainder", *kept, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
