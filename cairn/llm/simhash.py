@@ -61,16 +61,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, carried: list[str], text_col: str = "text") -> DataFrame:
+    """The carried columns of docs, and fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=[*carried, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select(F.col(text_col).alias("_text"), *(F.col(c) for c in carried)).mapInArrow(run, f"{kinds}, fp long")
 
 
 @lru_cache
@@ -187,10 +187,23 @@ def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD, crowded: int = C
     null id take part: their component is the smallest known id, or null if there is none.
     An empty table gives no rows.
     """
-    marked = checkpoint(fingerprints(docs, id_col, text_col))
+    marked = checkpoint(fingerprints(docs, [id_col], text_col))
     classes = checkpoint(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")))
     linked = connected_components(near_pairs(classes, threshold, crowded))
     labelled = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     members = checkpoint(labelled.join(smallest, "label").select("fp", "component_id"))
     return marked.join(members, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, threshold: int = THRESHOLD, crowded: int = CROWDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one document of each group: the one with the smallest id.
+
+    Of rows that share that id and fingerprint one stays. Of groups without a known id one
+    row of each fingerprint stays. Rows are shuffled once, by id and fingerprint.
+    """
+    groups = simhash_groups(docs, threshold, crowded, id_col, text_col)
+    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first"), F.col("fingerprint").alias("_print")).distinct()
+    marked = fingerprints(docs, docs.columns, text_col).withColumn("_own", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    kept = marked.join(first, F.col(id_col).eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_print")), "left_semi")
+    return kept.dropDuplicates([id_col, "_own"]).select(*docs.columns)
