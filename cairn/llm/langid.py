@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 VOCABULARY = "piece_bpe_32k.model"
 SMOOTHING = 0.1
 RUN = 40
-KEPT = 400_000
+KEPT = 1_000_000
 UNKNOWN = "und"
 
 
 @lru_cache(maxsize=2)
 def _pieces(name: str):
-    """(tokenizer, id of each piece, every beginning of a piece) of a public vocabulary or a path."""
+    """(tokenizer, id of each piece, every end of a piece with the id of the piece it is, or -1) of a public vocabulary or a path."""
     import sentencepiece
 
     path = name
@@ -41,7 +41,7 @@ def _pieces(name: str):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
     ids = {model.id_to_piece(i): i for i in plain}
-    return model, ids, {p[:n] for p in ids for n in range(1, len(p) + 1)}
+    return model, ids, {p[n:]: -1 for p in ids for n in range(1, len(p))} | ids
 
 
 def piece_counts(learn: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -102,56 +102,59 @@ class PieceModel:
         return self.__dict__ | {"rows": {}, "table": np.zeros((0, len(self.langs)))}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """log of the sum over all segmentations, for each word and language: the forward algorithm, all words at once."""
-        _, ids, beginnings = _pieces(self.vocabulary)
-        owner, start, stop, piece = [], [], [], []
-        for w, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                j = i + 1
-                single = word[i]
-                found = single in ids
-                if not found:
-                    owner.append(w)
-                    start.append(i)
-                    stop.append(j)
+        """log of the sum over all segmentations, for each word and language.
+
+        The forward algorithm over a tree of beginnings: words in order share the sums of
+        the beginnings they have in common, and each depth of the tree is one step for all.
+        """
+        _, _, ends = _pieces(self.vocabulary)
+        get, nodes, depth, last = ends.get, [0], [0], ""
+        target, source, piece, final = [], [], [], np.zeros(len(words), np.int64)
+        for w in sorted(range(len(words)), key=words.__getitem__):
+            word = words[w]
+            common, most = 0, min(len(word), len(last))
+            while common < most and word[common] == last[common]:
+                common += 1
+            del nodes[common + 1 :]
+            for stop in range(common + 1, len(word) + 1):
+                node = len(depth)
+                nodes.append(node)
+                depth.append(stop)
+                if get(word[stop - 1], -1) < 0:  # a character that is no piece
+                    target.append(node)
+                    source.append(nodes[stop - 1])
                     piece.append(-1)
-                while j <= n:
-                    part = word[i:j]
-                    if part not in beginnings:
+                for start in range(stop - 1, -1, -1):
+                    p = get(word[start:stop])
+                    if p is None:
                         break
-                    p = ids.get(part)
-                    if p is not None:
-                        owner.append(w)
-                        start.append(i)
-                        stop.append(j)
+                    if p >= 0:
+                        target.append(node)
+                        source.append(nodes[start])
                         piece.append(p)
-                    j += 1
-        sizes = np.array([len(w) for w in words])
-        alpha = np.zeros((len(words), sizes.max(initial=0) + 1, len(self.langs)))
-        alpha[:, 0] = 1
-        owner, start, stop, piece = (np.array(x, np.int64) for x in (owner, start, stop, piece))
-        order = np.argsort(stop * len(words) + owner, kind="stable")
-        owner, start, stop, piece = owner[order], start[order], stop[order], piece[order]
+            final[w] = nodes[-1]
+            last = word
+        target, source, piece, depth = (np.array(x, np.int64) for x in (target, source, piece, depth))
+        order = np.argsort(depth[target], kind="stable")
+        target, source, piece = target[order], source[order], piece[order]
+        cuts = np.searchsorted(depth[target], np.arange(1, depth.max() + 2))
         table = np.vstack([self.prob, np.full(len(self.langs), self.floor)])  # -1 is the last row
-        for p in range(1, alpha.shape[1]):
-            a, b = np.searchsorted(stop, [p, p + 1])
-            if a == b:
-                continue
-            own = owner[a:b]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            alpha[own[first], p] = np.add.reduceat(alpha[own, start[a:b]] * table[piece[a:b]], first, axis=0)
-        return np.log(alpha[np.arange(len(words)), sizes])
+        alpha = np.zeros((len(depth), len(self.langs)))
+        alpha[0] = 1
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            first = np.flatnonzero(np.r_[True, target[a + 1 : b] != target[a : b - 1]])
+            alpha[target[a:b][first]] = np.add.reduceat(alpha[source[a:b]] * table[piece[a:b]], first, axis=0)
+        return np.log(alpha[final])
 
     def _learn(self, words: set[str]) -> None:
         if len(self.rows) + len(words) > KEPT:
             self.rows, self.table = {}, self.table[:0]
-        new = sorted(words.difference(self.rows), key=len)
+        new = sorted(words.difference(self.rows))
         if not new:
             return
         parts = [["▁" + w] if len(w) < RUN else [("▁" + w)[i : i + RUN] for i in range(0, len(w) + 1, RUN)] for w in new]
         flat = [p for x in parts for p in x]
-        made = np.vstack([self.word_scores(flat[at : at + 4000]) for at in range(0, len(flat), 4000)])
+        made = np.vstack([self.word_scores(flat[at : at + 20_000]) for at in range(0, len(flat), 20_000)])
         made = np.add.reduceat(made, np.cumsum([0, *(len(x) for x in parts[:-1])]), axis=0)
         for word in new:
             self.rows[word] = len(self.rows)

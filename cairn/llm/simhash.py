@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, carried: list[str], text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=[*carried, "fp"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.select(F.col(text_col).alias("_text"), *(F.col(c) for c in carried)).mapInArrow(run, f"{kinds}, fp long")
+    return docs.select(F.col(text_col).alias("_shingled"), *(F.col(c) for c in carried)).mapInArrow(run, f"{kinds}, fp long")
 
 
 @lru_cache
@@ -204,6 +204,8 @@ def keep_first(docs: DataFrame, threshold: int = THRESHOLD, crowded: int = CROWD
     """
     groups = simhash_groups(docs, threshold, crowded, id_col, text_col)
     first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first"), F.col("fingerprint").alias("_print")).distinct()
-    marked = fingerprints(docs, docs.columns, text_col).withColumn("_own", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    kept = marked.join(first, F.col(id_col).eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_print")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    kept = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), *(F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)))
+    marked = fingerprints(rows, ["_id", *kept], "_text").withColumn("_own", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    marked = marked.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_print")), "left_semi")
+    return marked.dropDuplicates(["_id", "_own"]).select(*(F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)))

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,15 +78,15 @@ def _terms(text: str | None) -> set[str]:
 def term_counts(labelled: DataFrame) -> DataFrame:
     """(term, toxic_1, clean_1, ...) over labelled (text, toxic, fold): documents with the term by label and fold; the MAX_TERMS terms with most toxic ones."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 500):
-                part = frame.iloc[at : at + 500]
-                sets = [_terms(t) for t in part["text"]]
-                sizes = [len(s) for s in sets]
-                yield pd.DataFrame({"term": [t for s in sets for t in s], "toxic": np.repeat(part["toxic"].to_numpy(), sizes), "fold": np.repeat(part["fold"].to_numpy(), sizes)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [_terms(t) for t in part.column(0).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([pa.array([t for s in sets for t in s], pa.string()), part.column(1).take(of), part.column(2).take(of)], names=["term", "toxic", "fold"])
 
-    terms = labelled.select("text", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInPandas(run, "term string, toxic int, fold int")
+    terms = labelled.select("text", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInArrow(run, "term string, toxic int, fold int")
     counts = [F.count_if((F.col("toxic") == label) & (F.col("fold") == fold)).alias(f"{name}_{fold}") for fold in range(1, FOLDS + 1) for name, label in (("toxic", 1), ("clean", 0))]
     total = sum((F.col(f"toxic_{f}") for f in range(2, FOLDS + 1)), F.col("toxic_1"))
     clean = sum((F.col(f"clean_{f}") for f in range(2, FOLDS + 1)), F.col("clean_1"))
