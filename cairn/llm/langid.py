@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import workers
+
 VOCABULARY = "piece_bpe_32k.model"
 SMOOTHING = 0.1
 RUN = 40
@@ -44,10 +46,14 @@ def _pieces(name: str):
     return model, ids, {p[n:]: -1 for p in ids for n in range(1, len(p))} | ids
 
 
+workers.keeps("langid", _pieces.cache_clear)
+
+
 def piece_counts(learn: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(lang, piece, n) over all rows of learn (text, lang); piece -1 counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("langid")
         model, _, _ = _pieces(vocabulary)
         words: dict[str, Counter] = {}
         texts: Counter = Counter()
@@ -193,6 +199,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     model = spark.sparkContext.broadcast(PieceModel(counts, vocabulary)) if counts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("langid")
         for batch in batches:
             langs, scores = [], []
             for own in model.value.score(batch.column(2).to_pylist()) if model else [None] * batch.num_rows:

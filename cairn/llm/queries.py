@@ -67,6 +67,43 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "mix_domain", "lang", "source", "mix_tokens", "mix_epoch")
 
 
+def _level_sql(depth: int) -> str:
+    """Water-filling of one level of the tree as CTEs n, w and b of that depth; the budget of its parents is b of the depth before."""
+    node, above = mixing.LEAF[: depth + 1], mixing.LEAF[:depth]
+    keys, name = ", ".join(f"l.{c}" for c in node), node[-1]
+    weight = ["1.0", "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in mixing.LANGUAGE_WEIGHTS.items()) + f" ELSE {mixing.OTHER_WEIGHT} END", "sqrt(tokens)"][depth]
+    parent = f"FROM leaf AS l JOIN b{depth - 1} AS p ON " + " AND ".join(f"l.{c} IS NOT DISTINCT FROM p.{c}" for c in above) if depth else "FROM leaf AS l, (SELECT sum(tokens) * " + str(mixing.BUDGET_SHARE) + " AS budget FROM leaf) AS p"
+    by = f"PARTITION BY {', '.join(above)} " if depth else ""
+    return f"""n{depth} AS (SELECT {keys}, p.budget AS parent, CAST(sum(l.tokens) AS DOUBLE) AS tokens, CAST(sum(l.tokens) * {mixing.MAX_EPOCHS} AS DOUBLE) AS capacity {parent} GROUP BY {keys}, p.budget HAVING sum(l.tokens) > 0),
+m{depth} AS (SELECT *, {weight} AS weight, capacity / ({weight}) AS ratio FROM n{depth}),
+w{depth} AS (SELECT *, (parent - coalesce(sum(capacity) OVER ({by}ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({by}ORDER BY ratio, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM m{depth}),
+f{depth} AS (SELECT *, first_value(CASE WHEN ratio > water THEN water END IGNORE NULLS) OVER ({by}ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM w{depth}),
+b{depth} AS (SELECT {', '.join(node)}, tokens, CASE WHEN ratio <= water THEN capacity ELSE weight * final END AS budget FROM f{depth})"""
+
+
+_SPACE = "[ \\t\\n\\r\\f\\v]+"
+ORACLE_SQL["op5_mixing"] = f"""
+WITH d AS (
+    SELECT doc_id, lang, source, md5(coalesce(text, '')) AS hash,
+           CASE WHEN regexp_extract(source, '([0-9])[^0-9]*$', 1) = '' OR source IS NULL THEN 'domain_x' ELSE 'domain_' || CAST(CAST(regexp_extract(source, '([0-9])[^0-9]*$', 1) AS INTEGER) % 4 AS VARCHAR) END AS domain,
+           len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')) AS tokens
+    FROM documents
+), leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM d GROUP BY domain, lang, source),
+{_level_sql(0)},
+{_level_sql(1)},
+{_level_sql(2)},
+plan AS (SELECT *, least(CAST(floor(budget / tokens + 1e-9) AS BIGINT), {mixing.MAX_EPOCHS}) AS whole FROM b2),
+keyed AS (
+    SELECT d.*, whole, CAST(floor(budget - whole * plan.tokens + 1e-6) AS BIGINT) AS rest, md5('{mixing.SEED}|' || whole || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || hash) AS place
+    FROM d JOIN plan ON d.domain = plan.domain AND d.lang IS NOT DISTINCT FROM plan.lang AND d.source IS NOT DISTINCT FROM plan.source
+), cut AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM keyed),
+closed AS (SELECT *, min(CASE WHEN used > rest THEN place END) OVER (PARTITION BY domain, lang, source) AS first_out FROM cut)
+SELECT doc_id, domain AS mix_domain, lang, source, CAST(tokens AS BIGINT) AS mix_tokens, CAST(e AS INTEGER) AS mix_epoch
+FROM closed, (SELECT unnest(range({mixing.MAX_EPOCHS})) AS e)
+WHERE e < whole OR (e = whole AND (first_out IS NULL OR place < first_out))
+"""
+
+
 @query
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
@@ -96,6 +133,40 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+_WORDS = ", ".join(f"('{name}', {number}, '{word}', {n})" for name, number, word, n in licenses.template_words())
+_TRIM = "' ' || chr(9) || chr(10) || chr(13)"
+ORACLE_SQL["op8_licenses"] = f"""
+WITH t(licence, template, word, n) AS (VALUES {_WORDS}),
+total AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT w.word, count(*) AS df FROM (SELECT DISTINCT word FROM t) AS w JOIN (SELECT unnest(list_distinct(regexp_split_to_array(lower(text), '{licenses.WORD}'))) AS word FROM documents) AS d ON d.word = w.word GROUP BY w.word),
+idf AS (SELECT DISTINCT t.word, ln((total.n + 1) / (coalesce(df.df, 0) + 1)) + 1 AS idf FROM t LEFT JOIN df ON df.word = t.word, total),
+norms AS (SELECT template, sqrt(sum((t.n * idf) ** 2)) AS norm FROM t JOIN idf USING (word) GROUP BY template),
+weighted AS (SELECT licence, t.template, t.word, t.n * idf / norm AS weight FROM t JOIN idf USING (word) JOIN norms ON norms.template = t.template),
+d AS (
+    SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(CAST(doc_id // 1000 AS VARCHAR), 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none')) AS dir,
+           coalesce(CAST(doc_id AS VARCHAR), 'none') AS name, text FROM documents
+), units AS (
+    SELECT DISTINCT doc_id, dir, trim(u, {_TRIM}) AS unit FROM (SELECT doc_id, dir, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t]*\\n'))) AS u FROM d)
+    WHERE regexp_matches(u, '{licenses.NOTICE}')
+), words AS (
+    SELECT unit, word, count(*) AS n FROM (SELECT unit, unnest(regexp_split_to_array(lower(unit), '{licenses.WORD}')) AS word FROM (SELECT DISTINCT unit FROM units) WHERE len(string_split(unit, ' ')) <= {licenses.MAX_UNIT_WORDS}) WHERE word <> '' GROUP BY unit, word
+), valued AS (SELECT unit, words.word, words.n * coalesce(idf, ln((total.n + 1) / 2) + 1) AS v FROM words LEFT JOIN idf ON idf.word = words.word, total),
+lengths AS (SELECT unit, sqrt(sum(v * v)) AS norm FROM valued GROUP BY unit),
+scored AS (SELECT unit, licence, round(sum(v * weight) / any_value(norm), 6) AS score FROM valued JOIN weighted USING (word) JOIN lengths USING (unit) GROUP BY unit, licence, template),
+told AS (
+    SELECT doc_id, dir, licence, score FROM (SELECT doc_id, dir, licence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM units JOIN scored USING (unit) WHERE score >= {licenses.MIN_COSINE}) WHERE r = 1
+), of_dir AS (SELECT dir AS licence_dir, min_by(licence, doc_id) AS above FROM told GROUP BY dir),
+near AS (
+    SELECT dir, licence_dir, above, row_number() OVER (PARTITION BY dir ORDER BY length(licence_dir) DESC) AS r
+    FROM (SELECT DISTINCT dir FROM d) AS x JOIN of_dir ON licence_dir = '' OR x.dir = licence_dir OR starts_with(x.dir, licence_dir || '/')
+)
+SELECT d.doc_id, d.dir || '/' || d.name AS path, coalesce(told.licence, near.above) AS licence,
+       CASE WHEN told.licence IS NOT NULL THEN 'notice' WHEN near.above IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, told.score,
+       CASE WHEN told.licence IS NULL THEN near.licence_dir END AS licence_dir
+FROM d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN near ON near.dir = d.dir AND near.r = 1
+"""
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))

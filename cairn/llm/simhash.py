@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import workers
 from cairn.operators.components import connected_components
 from cairn.session import checkpoint
 
@@ -65,6 +66,7 @@ def fingerprints(docs: DataFrame, carried: list[str], text_col: str = "text") ->
     """The carried columns of docs, and fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=[*carried, "fp"])
@@ -148,6 +150,7 @@ def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD, crowded: int = C
         raise ValueError("crowded anchors are resolved exactly for thresholds up to 2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("simhash")
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             rows, anchor = anchors(fps.view(np.uint64), threshold)

@@ -15,6 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from cairn.llm import workers
+
 KEPT = 600_000
 
 #: White space beyond the ASCII kinds, and the separators on which Python and the tokenizers disagree.
@@ -123,12 +125,20 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(name: str, keeps_space: bool) -> Encoder:
     """The worker's encoder; name is a file of public_tokenizers or a path."""
+    workers.enter("tokens")
+    return _encoder(name, keeps_space)
+
+
+@lru_cache(maxsize=1)
+def _encoder(name: str, keeps_space: bool) -> Encoder:
     path = name
     if not os.path.isabs(name):
         import public_tokenizers
 
         path = public_tokenizers.path(name)
     return Encoder(path, keeps_space)
+
+
+workers.keeps("tokens", _encoder.cache_clear)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import workers
 from cairn.session import checkpoint
 
 MAX_FIT_ROWS = 40_000
@@ -61,6 +62,9 @@ def _normal(token: str) -> tuple[str, bool]:
     return _REPEAT.sub(r"\1\1", undone), True
 
 
+workers.keeps("toxicity", _normal.cache_clear)
+
+
 def _terms(text: str | None) -> set[str]:
     """The lexicon terms of a text: w:word, 5:prefix and 4:prefix."""
     out: set[str] = set()
@@ -79,6 +83,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     """(term, toxic_1, clean_1, ...) over labelled (text, toxic, fold): documents with the term by label and fold; the MAX_TERMS terms with most toxic ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("toxicity")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -173,6 +178,7 @@ def _described(rows: DataFrame, lexicon, columns: list[str]) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("toxicity")
         own = lexicon.value
         for batch in batches:
             made = [x for t, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in own.features(t, f)]
