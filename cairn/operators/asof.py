@@ -1,4 +1,4 @@
-"""As-of joins by time buckets: equi-joins of a row's bucket and its neighbours."""
+"""As-of joins by time buckets, so that no key's rows need to fit a task."""
 
 from __future__ import annotations
 
@@ -21,21 +21,26 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: str, ri
     return left.join(best, "_row").select(*left.columns, F.col("_m._t").alias("right_time"), *(F.col(f"_m.{n}").alias(n[1:]) for n in names))
 
 
-def forward(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, right_columns: list[str], clamp: bool = True) -> DataFrame:
+def forward(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, right_columns: list[str], clamp: bool = True, bucket: float = 86_400.0) -> DataFrame:
     """Each left row with the first right row at or after it; past the end the last one if clamp.
 
-    One sort of both sides together: the next right row is the first non-null ahead.
+    Within a bucket of time both sides are sorted together and the next right row is the
+    first non-null ahead; past the bucket's end it is the first of the next bucket that has
+    one, found among one row per bucket. So a key with very many rows is cut by time.
     """
     value = F.struct(F.col("_t"), *right_columns)
-    a = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(0))
-    b = right.select(*by, F.col(right_time).alias("_t"), *right_columns).withColumn("_value", value).withColumn("_side", F.lit(1)).select(*by, "_t", "_side", "_value")
-    both = a.withColumn("_value", F.lit(None).cast(b.schema["_value"].dataType)).unionByName(b, allowMissingColumns=True)
-    ahead = Window.partitionBy(*by).orderBy("_t", "_side", "_value").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    behind = Window.partitionBy(*by).orderBy("_t", "_side", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = F.first("_value", ignorenulls=True).over(ahead)
-    if clamp:
-        found = F.coalesce(found, F.last("_value", ignorenulls=True).over(behind))
-    return both.withColumn("_m", found).where("_side = 0").select(*left.columns, F.col("_m._t").alias("right_time"), *(F.col(f"_m.{c}").alias(f"right_{c}") for c in right_columns))
+    b = right.select(*by, F.col(right_time).alias("_t"), *right_columns).withColumn("_value", value).select(*by, "_t", F.lit(1).alias("_side"), "_value")
+    a = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(0)).withColumn("_value", F.lit(None).cast(b.schema["_value"].dataType))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / bucket))
+    buckets = both.groupBy(*by, "_b").agg(F.min("_value").alias("_first"), F.max("_value").alias("_last"))
+    order = Window.partitionBy(*by).orderBy("_b")
+    later = F.first("_first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    latest = F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    buckets = buckets.select(*by, "_b", later.alias("_later"), latest.alias("_latest"))
+    ahead = Window.partitionBy(*by, "_b").orderBy("_t", "_side", "_value").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("_m", F.first("_value", ignorenulls=True).over(ahead)).where("_side = 0").join(buckets, [*by, "_b"])
+    picked = F.coalesce("_m", "_later", "_latest") if clamp else F.coalesce("_m", "_later")
+    return found.withColumn("_m", picked).select(*left.columns, F.col("_m._t").alias("right_time"), *(F.col(f"_m.{c}").alias(f"right_{c}") for c in right_columns))
 
 
 def gaps_and_islands(df: DataFrame, by: list[str], order: list[str], broken) -> DataFrame:
