@@ -61,6 +61,57 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+#: The four kinds as they are asked for, with the checks on a match v and its digits n.
+_PII_SQL = {
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+    "ip": ("[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda x: TRY_CAST(x AS HUGEINT) IS NULL OR CAST(x AS HUGEINT) > 255)) = 0"),
+    "card": ("[0-9](?:[ -]?[0-9])+", "length(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 0 THEN CAST(n[i] AS INTEGER) WHEN n[i] > '4' THEN 2 * CAST(n[i] AS INTEGER) - 9 ELSE 2 * CAST(n[i] AS INTEGER) END)) % 10 = 0"),
+    "phone": ("\\+[0-9][ ().0-9-]+[0-9]", "length(n) BETWEEN 10 AND 15"),
+}
+
+
+def _matches_sql(text: str, pattern: str) -> str:
+    """start (from 0) and v of every match of the pattern in the text, unnested."""
+    return f"""unnest(list_transform(range(1, len(regexp_extract_all({text}, '{pattern}')) + 1), lambda i: {{
+        'start': list_sum(list_transform(regexp_split_to_array({text}, '{pattern}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all({text}, '{pattern}')[1:i - 1], lambda x: length(x))), 0),
+        'v': regexp_extract_all({text}, '{pattern}')[i]}}))"""
+
+
+_BASE_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, CAST(start AS BIGINT) AS start, CAST(start AS BIGINT) + length(v) AS stop, v FROM (SELECT doc_id, m.start, m.v, regexp_replace(m.v, '[^0-9]', '', 'g') AS n FROM (SELECT doc_id, {_matches_sql('t', pattern)} AS m FROM d)) WHERE {keep}"
+    for rank, (kind, (pattern, keep)) in enumerate(_PII_SQL.items())
+)
+_WINDOW = pii.WINDOW
+ORACLE_SQL["op4_pii"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_BASE_SQL}),
+entities AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT doc_id) AS n_e FROM base GROUP BY 1 HAVING count(DISTINCT doc_id) >= {pii.SUPPORT}),
+near AS (SELECT base.*, kind || ':' || lower(v) AS entity, greatest(start - {_WINDOW}, 0) AS first FROM base WHERE kind || ':' || lower(v) IN (SELECT entity FROM entities)),
+masked AS (
+    SELECT doc_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM base WHERE base.doc_id = c.doc_id AND c.pos - 1 >= base.start AND c.pos - 1 < base.stop) THEN '#' ELSE c.x END, '' ORDER BY c.pos) AS t
+    FROM (SELECT doc_id, unnest(range(1, length(t) + 1)) AS pos, unnest(regexp_extract_all(t, '(?s).')) AS x FROM d WHERE doc_id IN (SELECT doc_id FROM near)) AS c GROUP BY doc_id
+), sides AS (
+    SELECT near.doc_id, entity, near.start AS place, true AS before, first AS shift, substring(masked.t, first + 1, near.start - first) AS piece, near.start - first AS size FROM near JOIN masked USING (doc_id)
+    UNION ALL SELECT near.doc_id, entity, near.start, false, near.stop, substring(masked.t, near.stop + 1, {_WINDOW}), {_WINDOW} FROM near JOIN masked USING (doc_id)
+), context AS (
+    SELECT doc_id, entity, lower(m.v) AS term, CAST(m.start AS BIGINT) + shift AS start, CAST(m.start AS BIGINT) + shift + length(m.v) AS stop
+    FROM (SELECT *, {_matches_sql('piece', '[\\p{L}\\p{N}]+')} AS m FROM sides)
+    WHERE (CASE WHEN before THEN m.start > 0 OR place <= {_WINDOW} ELSE m.start > 0 END) AND m.start + length(m.v) < size
+), joint AS (SELECT term, entity, count(DISTINCT doc_id) AS n_te FROM context GROUP BY term, entity HAVING count(DISTINCT doc_id) >= {pii.SUPPORT}),
+words AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM d),
+counts AS (SELECT term, count(*) AS n_t FROM words WHERE term IN (SELECT term FROM joint) GROUP BY term),
+shares AS (
+    SELECT joint.term, joint.entity, log2(n_te * n / (n_t * n_e)) / log2(n / n_e) AS share
+    FROM joint JOIN entities USING (entity) JOIN counts USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d) WHERE n_e < n
+), told AS (SELECT doc_id, start, stop, max(CASE WHEN share >= {pii.REMOVE} THEN 'term_removed' ELSE 'term' END) AS kind FROM context JOIN shares USING (term, entity) WHERE share >= {pii.GENERALISE} GROUP BY doc_id, start, stop),
+every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT doc_id, CASE kind WHEN 'term' THEN 4 ELSE 5 END, kind, start, stop FROM told),
+joined AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans, string_agg(CASE WHEN rank < 4 THEN kind || ':' || start || ':' || stop END, ',' ORDER BY start, rank) AS base,
+    count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined ON joined.doc_id = d.doc_id
+"""
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mixing.mix(table(spark, sf_dir, "documents"))
