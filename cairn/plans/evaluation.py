@@ -195,3 +195,71 @@ def ray_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parallax of two rays, radial-tangential distortion and the focal length of a field of view."""
     x, y, z = F.col("l_discount").cast("double") + 0.01, F.col("l_tax").cast("double"), F.col("l_quantity").cast("double") / 50
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(G.ray_angle([x, y, z], [y, z, x]), 6).alias("angle"), F.round(G.brown_distort(x, y, (-0.2, 0.05, 0.001, 0.002, 0.01))["x"], 9).alias("dx"), F.round(G.focal_from_fov(500, 60.0), 6).alias("focal"))
+
+
+@query(
+    """WITH r AS (SELECT l_suppkey, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS ratio FROM lineitem), q AS (SELECT l_suppkey, quantile_cont(ratio, 0.25) AS a, quantile_cont(ratio, 0.5) AS m, quantile_cont(ratio, 0.75) AS b FROM r GROUP BY l_suppkey)
+SELECT l_suppkey, count(*) AS n, round(m, 4) AS median, count(*) FILTER (WHERE abs(ratio / m - 1) <= 0.25) AS near, any_value(b) <= 1.3 * any_value(a) AND count(*) FILTER (WHERE abs(ratio / m - 1) <= 0.25) >= 20 AS consistent FROM r JOIN q USING (l_suppkey) GROUP BY l_suppkey, m"""
+)
+def depth_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.operators.alignment import consistent_groups
+
+    r = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).alias("ratio"))
+    return consistent_groups(r, "l_suppkey", "ratio").withColumn("median", F.round("median", 4))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round(cos(CAST(l_discount AS DOUBLE) + o_custkey / 1000.0), 6) AS c, round(sin(CAST(l_discount AS DOUBLE) + o_custkey / 1000.0), 6) AS s,
+round(cos(CAST(l_discount AS DOUBLE)) * CAST(o_totalprice AS DOUBLE) / 100000 + CAST(l_quantity AS DOUBLE), 9) AS x, round(sin(CAST(l_discount AS DOUBLE)) * CAST(o_totalprice AS DOUBLE) / 100000 + CAST(l_tax AS DOUBLE), 9) AS y
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+)
+def composed_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame's pose is its motion from the keyframe after the keyframe's pose."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_totalprice").cast("double").alias("price"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(c).cast("double").alias(c) for c in ("l_discount", "l_quantity", "l_tax")))
+    zero = F.lit(0.0)
+    pose = G.compose(G.yaw(F.col("l_discount")), F.array("l_quantity", "l_tax", zero), G.yaw(F.col("o_custkey") / 1000.0), F.array(F.col("price") / 100000, zero, zero))
+    p = lines.join(o, "l_orderkey").select("l_orderkey", "l_linenumber", pose.alias("p"))
+    return p.select("l_orderkey", "l_linenumber", F.round(F.col("p.r")[0], 6).alias("c"), F.round(F.col("p.r")[3], 6).alias("s"), F.round(F.col("p.t")[0], 9).alias("x"), F.round(F.col("p.t")[1], 9).alias("y"))
+
+
+@query(
+    """SELECT l_orderkey, l_partkey, p_size, round(CAST(l_quantity AS DOUBLE) / p_size, 6) AS inverse_depth FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND p_size > 1e-6 AND l_orderkey % 5 = 0"""
+)
+def depth_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inlier observations of landmarks in front of the camera."""
+    seen = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") != "R") & (F.pmod("l_orderkey", F.lit(5)) == 0)).select("l_orderkey", F.col("l_partkey"), F.col("l_quantity").cast("double").alias("q"))
+    marks = table(spark, sf_dir, "part").where("p_size > 1e-6").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    return seen.join(marks, "l_partkey").select("l_orderkey", "l_partkey", "p_size", F.round(F.col("q") / F.col("p_size"), 6).alias("inverse_depth"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#/].*$', '') AS site, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://|/$|[.]html$', '', 'g') AS path FROM pages)
+SELECT path, min(page_id) AS first_page, count(*) AS pages, any_value(site) AS site FROM p GROUP BY path"""
+)
+def pages_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts with the same resolved path are one: its first page and how many there are."""
+    path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://|/$|[.]html$", "")
+    site = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#/].*$", "")
+    p = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), site.alias("site"))
+    return p.groupBy("path").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("pages"), F.min("site").alias("site"))
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, c AS (SELECT user_id, CAST(floor(t / 3600) % 24 AS BIGINT) AS hour, avg(value) AS cost FROM timed GROUP BY 1, 2), n AS (SELECT user_id, hour, cost, lag(cost) OVER w AS l, lead(cost) OVER w AS r FROM c WINDOW w AS (PARTITION BY user_id ORDER BY hour))
+SELECT user_id, hour, round(CASE WHEN l - 2 * cost + r > 0 THEN greatest(-0.5, least(0.5, (l - r) / (2 * (l - 2 * cost + r)))) ELSE 0 END, 4) AS shift FROM n WHERE cost < l AND cost < r"""
+)
+def refined_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local minima of a cost curve, refined by a parabola."""
+    c = events(spark, sf_dir).groupBy("user_id", F.pmod(F.floor(F.col("t") / 3600), F.lit(24)).cast("long").alias("hour")).agg(F.avg("value").alias("cost"))
+    w = Window.partitionBy("user_id").orderBy("hour")
+    n = c.withColumn("l", F.lag("cost").over(w)).withColumn("r", F.lead("cost").over(w)).where("cost < l and cost < r")
+    return n.select("user_id", "hour", F.round(G.parabola_minimum(F.col("l"), F.col("cost"), F.col("r")), 4).alias("shift"))
+
+
+@query()
+def motion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each user's events, spaced pairs with enough change in value."""
+    from cairn.operators.alignment import motion_pairs as pairs
+
+    return pairs(events(spark, sf_dir), "user_id", "event_id", "value", 20.0)

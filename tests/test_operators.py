@@ -224,3 +224,63 @@ def test_stream_is_the_batch(spark, tmp_path):
 
 def test_checkpoint_cuts_lineage(spark):
     assert checkpoint(spark.range(5)).inputFiles() == [] and checkpoint(spark.range(5)).count() == 5
+
+
+def test_propose_accept(spark):
+    from cairn.operators.assignment import propose_accept
+
+    rng = np.random.default_rng(4)
+    rows = sorted({(0, int(a), int(b)): float(c) for a, b, c in zip(rng.integers(0, 12, 60), rng.integers(0, 15, 60), rng.random(60).round(2), strict=True)}.items())
+    free_a, free_b, want = set(range(12)), set(range(15)), {}
+    for n in range(4):
+        offers = {}
+        for a in free_a:
+            own = [(c, b) for (_, x, b), c in rows if x == a and b in free_b]
+            if own:
+                c, b = min(own)
+                offers.setdefault(b, []).append((c, a))
+        for b, own in offers.items():
+            want[min(own)[1]] = (b, n)
+            free_a.discard(min(own)[1])
+            free_b.discard(b)
+    table = spark.createDataFrame([(*k, c) for k, c in rows], "f long, a_id long, b_id long, cost double")
+    assert {r.a_id: (r.b_id, r["round"]) for r in propose_accept(table, ["f"]).collect()} == want
+    assert propose_accept(table.limit(0), ["f"]).count() == 0
+
+
+def test_two_view(spark):
+    from cairn.operators.epipolar import verify_pairs
+
+    rng = np.random.default_rng(123)
+    points = np.c_[rng.uniform(-2, 2, 250), rng.uniform(-1.4, 1.4, 250), rng.uniform(5, 10, 250)]
+    c, s = np.cos(0.05), np.sin(0.05)
+    moved = points @ np.array([[c, 0, s], [0, 1, 0], [-s, 0, c]]).T + [0.6, 0.05, 0.1]
+    a, b = (500 * p[:, :2] / p[:, 2:] + [320, 240] + 0.1 * rng.normal(size=(250, 2)) for p in (points, moved))
+    b[:50] = rng.uniform(0, 480, (50, 2))
+    rows = [(0, 1, *map(float, [*x, *y])) for x, y in zip(a, b, strict=True)] + [(0, 2, 1.0, 2.0, 3.0, 4.0)]
+    got = {r.second: r for r in verify_pairs(spark.createDataFrame(rows, "first long, second long, x1 double, y1 double, x2 double, y2 double")).collect()}
+    assert 195 <= got[1].inliers <= 210 and got[1].median_error < 0.2 and got[2].inliers == 0
+
+
+def test_motion_pairs(spark):
+    rows = spark.createDataFrame([("a", i, float(i)) for i in range(40)], "k string, n long, x double")
+    assert sorted((r.first, r.second) for r in alignment.motion_pairs(rows, "k", "n", "x", 5.0).collect()) == [(0, 5), (10, 15), (20, 25), (30, 35)]
+
+
+def test_windows_over_streams(spark, tmp_path):
+    from cairn.streaming import windows
+
+    rows = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id * 10 as int),0) as ts, id % 2 as k, id * 1.0 as v from range(12)")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    for name, df in (("tumble", windows.sliding_counts(stream, "ts", ["k"], "v", "1 hour")), ("gap", windows.session_counts(stream, "ts", ["k"], "30 minutes"))):
+        query = df.writeStream.format("memory").queryName(name).outputMode("complete" if name == "tumble" else "append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    assert sorted((r.k, r.n, r.total) for r in spark.table("tumble").collect()) == [(0, 3, 6.0), (0, 3, 24.0), (1, 3, 9.0), (1, 3, 27.0)]
+
+
+def test_compose(spark):
+    a, b = G.yaw(F.lit(0.3)), G.yaw(F.lit(0.4))
+    t = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    p = one(spark, G.compose(a, t, b, t).alias("p")).p
+    assert np.allclose(p.r[:2], [math.cos(0.7), -math.sin(0.7)]) and np.allclose(p.t, [1 + math.cos(0.3) - 2 * math.sin(0.3), 2 + math.sin(0.3) + 2 * math.cos(0.3), 6])
