@@ -11,8 +11,9 @@ weight, so each level is one pass of window sums over rows of the tree.
 A leaf's documents are read in seeded epochs: epoch e orders them by md5(seed, e, id). The
 leaf gets whole epochs while its budget lasts, then the longest prefix of the next epoch
 whose tokens fit. The prefix is cut by a cascade: token sums by the first digits of the
-order key choose one bucket, and only that bucket's documents are ordered one by one. So a
-leaf with a third of all documents is never gathered in one task.
+order key choose one of 256 parts, those by the next digits one part of it, and only the
+last part's documents are ordered one by one. So a leaf with a third of all documents is
+never gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from cairn.session import checkpoint
 SEED = 17
 MAX_EPOCHS = 2
 BUDGET_SHARE = 0.8
-#: Hexadecimal digits of the order key that name a bucket.
-BUCKET_DIGITS = 4
+#: Hexadecimal digits of the order key by which a leaf's cut is narrowed: 256 sums a step, then a 2^24th of the documents.
+CUT_DIGITS = (2, 4, 6)
 #: Leaves are broadcast up to so many, beyond that joined by a shuffle on leaf and bucket.
 BROADCAST_LEAVES = 10_000
 
@@ -105,12 +106,15 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     dealt = checkpoint(dealt.select("leaf", "whole", F.floor(F.col("budget") - F.col("whole") * F.col("tokens") + 1e-6).cast("long").alias("rest")))
     small = dealt.count() <= BROADCAST_LEAVES
     beside = F.broadcast if small else lambda df: df
-    keyed = narrow.join(beside(dealt), "leaf").select("leaf", "tokens", "rest", _order_key(F.col("whole"), seed).alias("key")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy("leaf", "rest", "bucket").agg(F.sum("tokens").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("leaf").orderBy("bucket")) - F.col("n")
-    cut = sums.withColumn("before", before).where("before + n > rest").groupBy("leaf").agg(F.min(F.struct("bucket", "before")).alias("cut"))
-    cut = checkpoint(cut.select("leaf", "cut.bucket", "cut.before"))
-    own = keyed.join(beside(cut), ["leaf", "bucket"]).groupBy("leaf", "rest", "before", "key").agg(F.sum("tokens").alias("n"))
+    keyed = narrow.join(beside(dealt), "leaf").select("leaf", "tokens", "rest", _order_key(F.col("whole"), seed).alias("key"))
+    cut, digits = dealt.select("leaf", F.lit("").alias("part"), F.lit(0).cast("long").alias("before")), 0
+    for more in CUT_DIGITS:
+        inside = keyed.withColumn("part", F.substring("key", 1, digits)).join(beside(cut), ["leaf", "part"])
+        sums = inside.groupBy("leaf", "rest", "before", F.substring("key", 1, more).alias("part")).agg(F.sum("tokens").alias("n"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("part"))
+        first = sums.withColumn("upto", upto).where("upto > rest").groupBy("leaf").agg(F.min(F.struct("part", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
+        cut, digits = checkpoint(first.select("leaf", "cut.part", "cut.before")), more
+    own = keyed.withColumn("part", F.substring("key", 1, digits)).join(beside(cut), ["leaf", "part"]).groupBy("leaf", "rest", "before", "key").agg(F.sum("tokens").alias("n"))
     until = F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("key"))
     limits = own.withColumn("until", until).where("until > rest").groupBy("leaf").agg(F.min("key").alias("limit"))
     plan = checkpoint(dealt.join(limits, "leaf", "left").select("leaf", "whole", "limit"))
