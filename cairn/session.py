@@ -16,6 +16,13 @@ def importable(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH")]))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most so many rows: the default of 10,000 whole texts is tens of MB on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark so that any store works."""
     importable(spark)
