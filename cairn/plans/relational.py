@@ -22,11 +22,11 @@ def observation_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_partkey", "p_brand", "l_quantity")
 
 
-@query("SELECT l_partkey, o_orderkey, o_orderdate, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 97 = 3")
+@query("SELECT l_partkey, o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 97 = 3")
 def landmark_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames in which chosen landmarks were seen."""
     lines = table(spark, sf_dir, "lineitem").where(F.pmod("l_partkey", F.lit(97)) == 3)
-    return lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_orderkey", "o_orderdate", "l_linenumber")
+    return lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"), "l_linenumber")
 
 
 @query("SELECT n_nationkey, n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_nationkey, n_name")
@@ -179,12 +179,12 @@ def gap_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.where("v0 is not null and v1 is not null").select("event_id", F.round(filled, 4).alias("filled"))
 
 
-@query("SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT CAST(epoch(date_trunc('hour', CAST(ts AS TIMESTAMP))) AS BIGINT) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts and sums by type."""
     e = table(spark, sf_dir, "events")
     w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total"))
-    return w.select(F.col("w.start").alias("start"), "event_type", "events", "total")
+    return w.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "events", "total")
 
 
 @query(
