@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import workers
+from cairn.session import text_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 SMOOTHING = 0.1
@@ -192,6 +193,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The model has one column per language, so it is bounded by the number of languages.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     rows = docs.select(F.col(id_col).alias("_id"), held.alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.tokens import encoder
+from cairn.llm.tokens import KEPT, encoder
+from cairn.session import text_batches
 
 CAPACITY = 1024
 GROUP_DOCS = 8192
@@ -29,11 +30,11 @@ TOKENIZER = "byte_bpe_50k.json"
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID, kept: int = KEPT) -> DataFrame:
     """(id_col, start, length, ids_crc32, doc_tokens): the pieces of every document, end id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(tokenizer, keeps_space=True)
+        ids = encoder(tokenizer, keeps_space=True, kept=kept)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
@@ -49,6 +50,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     totals.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {PIECES}")
 
@@ -80,7 +82,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
     return bins, offsets
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 0, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 0, tokenizer: str = TOKENIZER, end_id: int = END_ID, kept: int = KEPT) -> DataFrame:
     """(id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length), one row per piece.
 
     Pieces cover each document without gap or overlap and fill each sequence from offset 0
@@ -88,7 +90,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of two. Null text counts as empty and leaves the end id; null and repeated ids are
     documents of their own; other columns are ignored; an empty table gives no rows.
     """
-    pieces = token_pieces(docs, id_col, text_col, capacity, tokenizer, end_id)
+    pieces = token_pieces(docs, id_col, text_col, capacity, tokenizer, end_id, kept)
     groups = max(1, -(-docs.count() // group_docs))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(groups)))
     dealt = dealt.repartition(F.col("group")).sortWithinPartitions("group", F.desc("length"), id_col, "start", "ids_crc32", "doc_tokens")

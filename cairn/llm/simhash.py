@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import workers
 from cairn.operators.components import connected_components
-from cairn.session import checkpoint
+from cairn.session import checkpoint, text_batches
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, carried: list[str], text_col: str = "text") ->
             fps = np.array([fingerprint(t) for t in batch.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names=[*carried, "fp"])
 
+    text_batches(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     return docs.select(F.col(text_col).alias("_shingled"), *(F.col(c) for c in carried)).mapInArrow(run, f"{kinds}, fp long")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.tokens import encoder
-from cairn.session import shared_dir
+from cairn.session import shared_dir, text_batches
 
 SEQUENCE = 2048
 BATCH = 64
@@ -90,6 +90,7 @@ def write_token_files(docs: DataFrame, uri: str, id_col: str = "doc_id", text_co
     their ids; each row is a document. Other columns are ignored. An empty table writes no
     files. uri may name any store that Arrow opens; executors must reach it.
     """
+    text_batches(docs.sparkSession)
     count, kind = docs.count(), docs.schema[id_col].dataType.simpleString()
     ranges = max(1, -(-count // range_docs))
     cuts = [i / ranges for i in range(1, ranges)]

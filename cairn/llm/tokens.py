@@ -125,20 +125,20 @@ class Encoder:
         return out
 
 
-def encoder(name: str, keeps_space: bool) -> Encoder:
-    """The worker's encoder; name is a file of public_tokenizers or a path."""
+def encoder(name: str, keeps_space: bool, kept: int = KEPT) -> Encoder:
+    """The worker's encoder; name is a file of public_tokenizers or a path. At most twice ``kept`` chunks are held, some 200 bytes each."""
     workers.enter("tokens")
-    return _encoder(name, keeps_space)
+    return _encoder(name, keeps_space, kept)
 
 
 @lru_cache(maxsize=1)
-def _encoder(name: str, keeps_space: bool) -> Encoder:
+def _encoder(name: str, keeps_space: bool, kept: int) -> Encoder:
     path = name
     if not os.path.isabs(name):
         import public_tokenizers
 
         path = public_tokenizers.path(name)
-    return Encoder(path, keeps_space)
+    return Encoder(path, keeps_space, kept)
 
 
 workers.keeps("tokens", _encoder.cache_clear)

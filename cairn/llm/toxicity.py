@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import workers
-from cairn.session import checkpoint
+from cairn.session import checkpoint, text_batches
 
 MAX_FIT_ROWS = 40_000
 MAX_TERMS = 20_000
@@ -217,6 +217,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carr
     from pyspark.ml.regression import IsotonicRegression
 
     spark = docs.sparkSession
+    text_batches(spark)
     kept = [f"_c{i}" for i in range(len(carried))]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in zip(carried, kept, strict=True)))
     rows = rows.withColumn("remainder", F.coalesce(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(5)), F.lit(0)).cast("int"))

@@ -7,9 +7,11 @@ executor has room for, so an operator's task first drops those of the others.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 _KEPT: dict[str, Callable[[], None]] = {}
+_last = ""
 
 
 def keeps(operator: str, forget: Callable[[], None]) -> None:
@@ -19,6 +21,15 @@ def keeps(operator: str, forget: Callable[[], None]) -> None:
 
 def enter(operator: str) -> None:
     """Called where a task of the operator begins."""
+    global _last  # noqa: PLW0603
+    if operator == _last:
+        return
     for name, forget in _KEPT.items():
         if name != operator:
             forget()
+    if _last:
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _last = operator

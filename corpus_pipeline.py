@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the chosen documents into token sequences."""
-    return packing.pack_documents(docs)
+    """Packs the chosen documents into token sequences; holds few words, as the executors still hold what earlier stages needed."""
+    return packing.pack_documents(docs, kept=100_000)
 
 
 STAGES = [
