@@ -1,12 +1,13 @@
 """The pipeline stage by stage against brute-force versions of what each must do."""
 
+import random
 import zlib
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from cairn.llm import toxicity
+from cairn.llm import near_copies, toxicity
 from cairn.llm.simhash import fingerprint
 from cairn.llm.tokens import encoder
 from tests.llm.test_documents import base_spans, classes, mixed
@@ -38,6 +39,47 @@ def test_simhash_stage(stages):
     assert set(map(tuple, after)) <= set(map(tuple, before))
 
 
+def near_classes(rows):
+    """The smallest id of each (id, text)'s group by five-word shingles, all pairs compared."""
+    cut = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in cut]
+    least = [i for i, _ in rows]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
+def test_near_copies_stage(spark, sf, stages):
+    before, after = stages["near_copies"]
+    want = set(near_classes([(r.doc_id, r.text) for r in before]))
+    assert len(want) < len(before)
+    assert sorted(r.doc_id for r in after) == sorted(want) and set(map(tuple, after)) <= set(map(tuple, before))
+
+
+def test_planted_near_copies(spark):
+    """Copies with a few words changed, a chain whose ends differ, a crowd of copies, a passage that many share, short texts."""
+    rng = random.Random(3)
+    made = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 200))] for _ in range(40)]
+    texts = list(made)
+    for text in made:
+        for changes in (1, 2, 3, 6):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = "changed"
+            texts.append(copy)
+    texts += [[*made[0][: 10 * k], f"x{k}", *made[0][10 * k + 1 :]] for k in range(1, 6) for _ in range(8)]
+    texts += [[f"v{rng.randrange(3000)}" for _ in range(30)] + made[1][:50] for _ in range(40)]
+    texts += [[], [], ["One"], ["one"], ["two", "words"], made[2][:5], made[2][:6]]
+    rng.shuffle(texts)
+    rows = [(i, "  ".join(t)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(near_classes(rows))
+    assert len(want) < len(set(classes([i for i, _ in rows], [fingerprint(t) for _, t in rows])))
+    assert sorted(r.doc_id for r in near_copies.keep_first(frame).collect()) == sorted(want)
+
+
 def test_pii_stage(stages):
     before, after = ({r.doc_id: r for r in rows} for rows in stages["pii"])
     assert before.keys() == after.keys()
