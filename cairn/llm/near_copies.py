@@ -38,25 +38,30 @@ def words(text_col: str = "text") -> Column:
 
 
 def shingles(own: str = "words") -> Column:
-    """The distinct shingles' hashes; a text without words has the hash of none."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(own) - (SHINGLE - 1))), lambda i: F.xxhash64(F.slice("hashed", i, SHINGLE))))
+    """The distinct shingles' hashes; a text without words has the hash of none.
+
+    The words' hashes are bound by a lambda: as a column of their own they would be inlined and made again for every shingle.
+    """
+    cut = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (SHINGLE - 1))), lambda i: F.xxhash64(F.slice(h, i, SHINGLE))))
+    return F.get(F.transform(F.array(F.transform(own, lambda w: F.xxhash64(w))), cut), 0)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
     """(sid, shingles) of rows (sid, words)."""
-    return texts.select("sid", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashed")).select("sid", shingles().alias("shingles"))
+    return texts.select("sid", shingles().alias("shingles"))
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(key, sid, n): the shingles of a set that come first, rarest first; a key has the count above 48 bits of the hash."""
-    sample = sets.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sample = sets.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select(F.explode_outer("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     heavy = sample.orderBy(F.desc("n"), "h").limit(HEAVIEST).groupBy(F.pmod("h", F.lit(BUCKETS)).alias("at")).agg(F.sum("n").alias("n"))
-    counts = heavy.agg(F.map_from_entries(F.collect_list(F.struct(F.col("at").cast("int"), F.least("n", F.lit(32_767))))).alias("known"))
-    dense = checkpoint(counts.select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("long"))).alias("counts")))
+    every = sets.sparkSession.range(BUCKETS).withColumnRenamed("id", "at").join(heavy, "at", "left").select("at", F.least(F.coalesce("n", F.lit(0).cast("long")), F.lit(32_767).cast("long")).alias("n"))
+    dense = checkpoint(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("counts")))
     key = lambda h: F.shiftleft(F.get("counts", F.pmod(h, F.lit(BUCKETS)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
     n = F.size("shingles")
+    # outer: a plain explode has its whole input made again by a filter for empty arrays, and there are none
     first = F.slice(F.sort_array(F.transform("shingles", key)), F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
-    return sets.crossJoin(F.broadcast(dense)).select("sid", n.alias("n"), F.explode(first).alias("key"))
+    return sets.crossJoin(F.broadcast(dense)).select("sid", n.alias("n"), F.explode_outer(first).alias("key"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
