@@ -1,33 +1,51 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles, exact.
-
-Two texts link if their sets of five-word shingles have a similarity of four fifths or more.
-Words are cut at ASCII white space, A-Z in lower case; a text of fewer words is one shingle.
-
-Candidates. Of two sets with that similarity, each shares four fifths of its shingles with
-the other. So, in any order of all shingles, they share one of their first n - ceil(4n/5) + 1:
-no pair is lost. The order is rarest first, by counts over a sample of the texts. The sample
-decides only how many candidates there are, never which pairs link.
-
-Crowded shingles. The texts under a shingle are first compared with one of them, the head.
-Only texts under one shingle that these links leave in different components are compared
-with each other, so a cluster of copies costs a few comparisons a member.
+"""SimHash near copies: wide fingerprints, covering-code anchors, and an exact check of the shingles.
+
+Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of
+four fifths or more. Words are cut at ASCII white space, A-Z in lower case; a text of fewer
+words is one shingle, a text without words has none and links with its like.
+
+Fingerprints. A text has ``TABLES`` SimHash fingerprints of 64 bits over its set of
+shingles. At a similarity of 0.8 the sets' cosine is 0.89 or more, so 15 of 100 bits differ
+or fewer, a good deal more than the two bits of ``simhash.near_pairs``.
+
+Anchors. Each fingerprint's first 52 bits have a product of two Golay codes and two
+repetition codes as anchors, 2^26 of them. As in ``simhash``, a fingerprint goes to every
+anchor within the covering radius plus half of ``REACH`` bits, 11 of them. Fingerprints of
+one table that differ in REACH bits surely meet; those that differ in more meet by chance,
+in one of the tables: 0.96 of the pairs with a similarity of 0.8, 0.99 at 0.85, 0.9998 at 0.9
+(a copy is lost only if it meets no text of its group). tests/llm measures it.
+
+Comparing. The texts under an anchor are compared with one of them, the head, first by all
+bits of their fingerprints, then by their shingles: the closest head of each text first, then
+the heads that this leaves in another group. Texts under one anchor that are still in
+different groups are compared with each other. So a crowd of copies costs a few comparisons
+a member, and no link is reported that the shingles don't confirm.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import workers
+from cairn.llm.simhash import SEED, anchors
 from cairn.operators.components import connected_components
-from cairn.session import checkpoint
+from cairn.session import checkpoint, text_batches
 
 SHINGLE = 5
-#: Of so many texts one is counted for the order of shingles; counts are kept by remainder in a table of fixed size.
-SAMPLED, BUCKETS, HEAVIEST = 64, 1 << 18, 1 << 15
-#: Up to so many shared shingles are broadcast; beyond, the join is a shuffle.
-BROADCAST_SHINGLES = 500_000
+TABLES = 20
+REACH = 2
+#: (first bit, length, check bits, covering radius) of the code of each block, as in simhash.
+BLOCKS = ((0, 23, 11, 3), (23, 23, 11, 3), (46, 3, 2, 1), (49, 3, 2, 1))
+#: Most of the 1,280 bits in which the fingerprints of near copies may differ: 194 are expected, 240 for texts of a few words, with a deviation of 14.
+MOST_BITS = 285
+#: Rows to leave out are broadcast up to so many, beyond that joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Heads of a crowd: one for each of four orders of the texts.
 MASKS = (0, 0x5555555555555555, 0x3C3C3C3C3C3C3C3C, 0x6969696969696969)
 
@@ -37,35 +55,77 @@ def words(text_col: str = "text") -> Column:
     return F.array_remove(F.split(small, r"[ \t\n\x0B\f\r]+"), "")
 
 
-def shingles(own: str = "words") -> Column:
-    """The distinct shingles' hashes; a text without words has the hash of none.
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The different shingles' hashes, in order; a text without words has the hash of none."""
+    import xxhash
+
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
+    digest = xxhash.xxh64_intdigest
+    if len(own) < SHINGLE:
+        return np.array([digest(b" ".join(own), SEED)], np.uint64)
+    return np.unique(np.array([digest(s, SEED) for s in map(b" ".join, zip(*(own[i:] for i in range(SHINGLE)), strict=False))], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    """``tables`` SimHash fingerprints; each table mixes the shingles' hashes in its own way."""
+    with np.errstate(over="ignore"):
+        mixed = hashes[:, None] + (np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(31)
+    ones = np.zeros(64 * tables, np.int64)
+    for at in range(0, len(mixed), 128):  # bytes hold counts up to 255
+        ones += np.add.reduce(np.unpackbits(mixed[at : at + 128].view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _fingerprints(texts: DataFrame) -> DataFrame:
+    """(sid, f0, f1, ...) of rows (sid, text), one row for each sid."""
+    names = [f"f{t}" for t in range(TABLES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("near copies")
+        for batch in batches:
+            made = np.array([wide_fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, TABLES).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, t]) for t in range(TABLES))], names=["sid", *names])
+
+    made = texts.select("sid", "text").mapInArrow(run, "sid long, " + ", ".join(f"{n} long" for n in names))
+    return made.groupBy("sid").agg(*(F.any_value(n).alias(n) for n in names))
 
-    The words' hashes are bound by a lambda: as a column of their own they would be inlined and made again for every shingle.
-    """
-    cut = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (SHINGLE - 1))), lambda i: F.xxhash64(F.slice(h, i, SHINGLE))))
-    return F.get(F.transform(F.array(F.transform(own, lambda w: F.xxhash64(w))), cut), 0)
+
+def _replicas(prints: DataFrame) -> DataFrame:
+    """(key, sid): every anchor of every table within reach; a key stands for table and anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("near copies")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                sids = batch.column(0).to_numpy()
+                for t in range(TABLES):
+                    fps = batch.column(1 + t).to_numpy().view(np.uint64) & np.uint64((1 << 52) - 1)
+                    rows, anchor = anchors(fps, REACH, BLOCKS)
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows])], names=["key", "sid"])
+
+    return prints.mapInArrow(run, "key long, sid long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(sid, shingles) of rows (sid, words)."""
-    return texts.select("sid", shingles().alias("shingles"))
+    """(sid, shingles) of rows (sid, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("near copies")
+        for batch in batches:
+            made = [shingle_hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            offsets = np.cumsum([0, *map(len, made)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*made, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["sid", "shingles"])
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(key, sid, n): the shingles of a set that come first, rarest first; a key has the count above 48 bits of the hash."""
-    sample = sets.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select(F.explode_outer("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    heavy = sample.orderBy(F.desc("n"), "h").limit(HEAVIEST).groupBy(F.pmod("h", F.lit(BUCKETS)).alias("at")).agg(F.sum("n").alias("n"))
-    every = sets.sparkSession.range(BUCKETS).withColumnRenamed("id", "at").join(heavy, "at", "left").select("at", F.least(F.coalesce("n", F.lit(0).cast("long")), F.lit(32_767).cast("long")).alias("n"))
-    dense = checkpoint(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("counts")))
-    key = lambda h: F.shiftleft(F.get("counts", F.pmod(h, F.lit(BUCKETS)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-    n = F.size("shingles")
-    # outer: a plain explode has its whole input made again by a filter for empty arrays, and there are none
-    first = F.slice(F.sort_array(F.transform("shingles", key)), F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
-    return sets.crossJoin(F.broadcast(dense)).select("sid", n.alias("n"), F.explode_outer(first).alias("key"))
+    return texts.select("sid", "text").mapInArrow(run, "sid long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) of sets that are alike."""
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose shingles have a similarity of four fifths."""
     a = sets.select(F.col("sid").alias("src"), F.col("shingles").alias("a"))
     b = sets.select(F.col("sid").alias("dst"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
@@ -73,44 +133,85 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where(5 * small >= 4 * large).where(9 * shared >= 4 * (small + large)).select("src", "dst")
 
 
+def _bits(left: str, right: str) -> Column:
+    """The bits in which the fingerprints of two rows differ."""
+    total = F.lit(0)
+    for t in range(TABLES):
+        total = total + F.bit_count(F.col(f"{left}{t}").bitwiseXOR(F.col(f"{right}{t}")))
+    return total
+
+
+def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """pairs (src, dst, ...) with bits, of those that differ in at most MOST_BITS."""
+    for end, name in (("src", "a"), ("dst", "b")):
+        pairs = pairs.join(prints.select(F.col("sid").alias(end), *(F.col(f"f{t}").alias(f"{name}{t}") for t in range(TABLES))), end)
+    kept = [c for c in pairs.columns if not (c[0] in "ab" and c[1:].isdigit())]
+    return pairs.withColumn("bits", _bits("a", "b")).where(F.col("bits") <= MOST_BITS).select(*kept, "bits")
+
+
 def near_copy_groups(texts: DataFrame) -> DataFrame:
-    """(node, component) of the texts (sid, words) that have a near copy; a text may be there more than once."""
-    rows = _prefixes(_sets(texts))
+    """(node, component) of the texts (sid, text) that have a near copy; a sid may be there more than once, with the same words."""
+    text_batches(texts.sparkSession)
+    prints = checkpoint(_fingerprints(texts))
+    rows = _replicas(prints)
     mask = F.element_at(F.array(*(F.lit(m).cast("long") for m in MASKS)), (F.pmod("key", F.lit(len(MASKS))) + 1).cast("int"))
-    turned = F.col("sid").bitwiseXOR(mask)
-    shared = rows.groupBy("key").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).where("low <> high")
+    shared = rows.groupBy("key").agg(F.min(F.col("sid").bitwiseXOR(mask)).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = checkpoint(shared.select("key", F.col("low").bitwiseXOR(mask).alias("head")))
-    few = shared.count() <= BROADCAST_SHINGLES
+    few = shared.count() <= BROADCAST_ROWS
     members = checkpoint(rows.join(F.broadcast(shared) if few else shared, "key"))
-    needed = members.select("sid").distinct()
-    sets = checkpoint(_sets(texts.join(needed, "sid", "left_semi").dropDuplicates(["sid"])))
-    edges = checkpoint(_verified(members.where("sid <> head").select(F.col("sid").alias("src"), F.col("head").alias("dst")).distinct(), sets))
-    labels = connected_components(edges).select(F.col("node").alias("sid"), "component")
-    # heads are compared with all under their shingle; the others where these links leave them apart
-    left = members.where("sid <> head").join(labels, "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("label"))
+    stars = members.where("sid <> head").select(F.col("sid").alias("src"), F.col("head").alias("dst")).distinct()
+    stars = checkpoint(_near(stars, prints))
+    needed = stars.select(F.col("src").alias("sid")).union(stars.select("dst")).distinct()
+    sets = checkpoint(_sets(texts.join(needed, "sid", "left_semi")).groupBy("sid").agg(F.any_value("shingles").alias("shingles")))
+    # the closest head of each text, then the heads that this leaves in other groups
+    closest = stars.groupBy("src").agg(F.min(F.struct("bits", "dst")).alias("m")).select("src", "m.dst")
+    edges = checkpoint(_alike(closest, sets))
+    rest = _apart(stars.select("src", "dst").join(closest, ["src", "dst"], "left_anti"), _labels(edges))
+    edges = checkpoint(edges.union(_alike(rest, sets)))
+    # what shares an anchor, is no head and is still apart
+    labels = _labels(edges)
+    left = members.where("sid <> head").join(needed, "sid", "left_semi").join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
     left = checkpoint(left)
-    apart = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = checkpoint(left.join(apart, "key"))
+    split = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    left = checkpoint(left.join(split, "key").join(prints, "sid"))
     if left.isEmpty():
         return connected_components(edges)
-    a = left.select("key", F.col("sid").alias("src"), F.col("n").alias("a"), F.col("label").alias("la"))
-    b = left.select("key", F.col("sid").alias("dst"), F.col("n").alias("b"), F.col("label").alias("lb"))
-    pairs = a.join(b, "key").where("src < dst and la <> lb and 5 * least(a, b) >= 4 * greatest(a, b)").select("src", "dst").distinct()
-    return connected_components(edges.union(_verified(pairs, sets)))
+    renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
+    pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & (_bits("a", "b") <= MOST_BITS)).select("src", "dst").distinct()
+    return connected_components(edges.union(_alike(pairs, sets)))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    return connected_components(edges).select(F.col("node").alias("sid"), F.col("component").alias("label"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose ends are in different groups."""
+    for end in ("src", "dst"):
+        pairs = pairs.join(labels.select(F.col("sid").alias(end), F.col("label").alias(f"l_{end}")), end, "left")
+    return pairs.where(F.coalesce("l_src", "src") != F.coalesce("l_dst", "dst")).select("src", "dst")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one document of each group of near copies: the one with the smallest id.
 
-    Of rows that share that id and words one stays. Of groups without a known id one row of
-    each text stays. Null text counts as empty.
+    Of rows that share that id and words one stays, whichever. Of groups without a known id
+    one row of one text stays. Null text counts as empty; texts without words are a group;
+    an empty table gives no rows; other columns are kept, whatever their names.
     """
     kept = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(words(text_col).alias("words"), F.col(id_col).alias("_id"), *(F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)))
-    rows = rows.withColumn("sid", F.xxhash64("words"))
-    groups = near_copy_groups(rows.select("sid", "words")).withColumnRenamed("node", "sid")
-    labelled = checkpoint(rows.select("_id", "sid").distinct().join(groups, "sid", "left").select("_id", "sid", F.coalesce("component", "sid").alias("label")))
-    first = labelled.groupBy("label").agg(F.min("_id").alias("_first"))
-    firsts = labelled.join(first, "label").where(F.col("_id").eqNullSafe(F.col("_first"))).select(F.col("_first"), F.col("sid").alias("_sid"))
-    marked = rows.drop("words").join(firsts, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("sid") == F.col("_sid")), "left_semi")
-    return marked.dropDuplicates(["_id", "sid"]).select(*(F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)))
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("_id"), *(F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)))
+    rows = rows.withColumn("sid", F.xxhash64(words("text")))
+    groups = near_copy_groups(rows.select("sid", "text")).withColumnRenamed("node", "sid")
+    narrow = checkpoint(rows.groupBy("_id", "sid").agg(F.count(F.lit(1)).alias("copies")))
+    labelled = checkpoint(narrow.join(groups, "sid", "left").select("_id", "sid", "copies", F.coalesce("component", "sid").alias("label")))
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("sid").alias("s"))).alias("m")).select("label", "m.id", "m.s")
+    judged = labelled.join(first, "label").withColumn("stays", F.col("_id").eqNullSafe(F.col("id")) & (F.col("sid") == F.col("s")))
+    judged = checkpoint(judged.where("not stays or copies > 1").select(F.col("_id").alias("_of"), F.col("sid").alias("_sid"), "stays"))
+    own = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("sid") == F.col("_sid"))
+    beside = F.broadcast if judged.count() <= BROADCAST_ROWS else lambda df: df
+    rows = rows.drop("text")
+    alone = rows.join(beside(judged), own, "left_anti")
+    repeated = judged.where("stays")
+    out = alone if repeated.isEmpty() else alone.union(rows.join(beside(repeated), own, "left_semi").dropDuplicates(["_id", "sid"]))
+    return out.select(*(F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)))

@@ -96,12 +96,12 @@ def _code(length: int, checks: int, reach: int) -> tuple[np.ndarray, list[np.nda
     return units, [np.array(x, dtype=np.uint64) for x in found]
 
 
-def anchors(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor): every anchor within the covering radius plus half the threshold of each fingerprint."""
+def anchors(fps: np.ndarray, threshold: int = THRESHOLD, blocks: tuple = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor): every anchor of the blocks' codes within the covering radius plus half the threshold of each fingerprint."""
     fps = fps.astype(np.uint64)
     slack = -(-threshold // 2)
     nearest, wider = [], []
-    for first, length, checks, radius in BLOCKS:
+    for first, length, checks, radius in blocks:
         words = fps >> np.uint64(first) & np.uint64((1 << length) - 1)
         units, _ = _code(length, checks, radius)
         syndromes = np.zeros(len(fps), dtype=np.int64)
@@ -122,11 +122,11 @@ def anchors(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np
             per.append((rows, words[rows] ^ flat[at]))
         wider.append(per)
     rows_out, anchors_out = [], []
-    for extras in itertools.product(range(slack + 1), repeat=len(BLOCKS)):
+    for extras in itertools.product(range(slack + 1), repeat=len(blocks)):
         if sum(extras) > slack:
             continue
         rows, anchor = np.arange(len(fps)), np.zeros(len(fps), np.uint64)
-        for (first, *_), extra, per, near in zip(BLOCKS, extras, wider, nearest, strict=True):
+        for (first, *_), extra, per, near in zip(blocks, extras, wider, nearest, strict=True):
             if extra == 0:
                 anchor |= near[rows] << np.uint64(first)
                 continue
@@ -198,18 +198,3 @@ def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD, crowded: int = C
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     members = checkpoint(labelled.join(smallest, "label").select("fp", "component_id"))
     return marked.join(members, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, threshold: int = THRESHOLD, crowded: int = CROWDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each group: the one with the smallest id.
-
-    Of rows that share that id and fingerprint one stays. Of groups without a known id one
-    row of each fingerprint stays. Rows are shuffled once, by id and fingerprint.
-    """
-    groups = simhash_groups(docs, threshold, crowded, id_col, text_col)
-    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first"), F.col("fingerprint").alias("_print")).distinct()
-    kept = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), *(F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)))
-    marked = fingerprints(rows, ["_id", *kept], "_text").withColumn("_own", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    marked = marked.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_print")), "left_semi")
-    return marked.dropDuplicates(["_id", "_own"]).select(*(F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)))
