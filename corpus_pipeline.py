@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, near-duplicates, near copies, personal data, mixing, packing.
+"""The corpus pipeline: toxicity, SimHash near-duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
 the last return the columns of documents. run() writes each stage as Parquet in the shared
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import mixing, near_copies, packing, pii, simhash, toxicity
+from cairn.llm import mixing, near_copies, packing, pii, toxicity
 from cairn.session import shared_dir, table
 
 
@@ -22,12 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs)
-
-
-def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group with a similarity of 0.8 on five-word shingles, whatever their fingerprints."""
+    """Keeps the document with the smallest id of each group with a similarity of 0.8 on five-word shingles, found by their SimHash fingerprints."""
     return near_copies.keep_first(docs)
 
 
@@ -49,7 +44,6 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("toxicity", toxicity_stage),
     ("simhash", simhash_stage),
-    ("near_copies", near_copies_stage),
     ("pii", pii_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
