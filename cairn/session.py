@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +31,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset and Spark is local."""
     importable(spark)
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and context.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="cairn-")
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
-    if not named and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
-    return named or context.getCheckpointDir()
+    return named
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/cairn-{spark.sparkContext.applicationId}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(conf)
+    if files.mkdirs(folder):
+        files.deleteOnExit(folder)
+    return path
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of df with a table written in the shared folder.
+
+    Unlike a checkpointed RDD, a table has its true size: the planner's estimate of a loop's
+    rounds, each joined with the one before, would otherwise grow without end.
+    """
+    spark = df.sparkSession
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
