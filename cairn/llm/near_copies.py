@@ -178,7 +178,8 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
         return connected_components(edges)
     renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
     pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & (_bits("a", "b") <= MOST_BITS)).select("src", "dst").distinct()
-    return connected_components(edges.union(_alike(pairs, sets)))
+    # cut here: the planner's constraints of that many columns multiply with every operator above them
+    return connected_components(edges.union(_alike(checkpoint(pairs), sets)))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
