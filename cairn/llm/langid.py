@@ -4,9 +4,9 @@ The pieces are those of a fixed public vocabulary. Each language has a probabili
 every piece, from its counts over all labelled training texts (words cut by the
 vocabulary's own tokenizer, add-``SMOOTHING``). A word's likelihood is the sum over all its
 segmentations into pieces of the product of their probabilities; the forward algorithm
-computes it from left to right. A text's likelihood is the product of its words'. Texts are
-scored whole; a run of more than ``RUN`` characters without white space is scored in
-consecutive parts of that size.
+computes it from left to right. A text's likelihood is the product of its words'. Texts and
+words are scored whole. Up to ``SHORT`` characters the sums are kept as they are, beyond
+that as logarithms, so no number of improbable pieces can make them vanish.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ from cairn.session import text_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 SMOOTHING = 0.1
-RUN = 40
+#: A product of so many probabilities of 1e-16 is still a number.
+SHORT = 16
+#: Words up to so many characters are remembered.
+REMEMBERED = 256
 KEPT = 1_000_000
 UNKNOWN = "und"
 
@@ -146,12 +149,36 @@ class PieceModel:
         target, source, piece = target[order], source[order], piece[order]
         cuts = np.searchsorted(depth[target], np.arange(1, depth.max() + 2))
         table = np.vstack([self.prob, np.full(len(self.langs), self.floor)])  # -1 is the last row
+        logs = depth.max() > SHORT + 1
+        if logs:
+            table = np.log(table)
         alpha = np.zeros((len(depth), len(self.langs)))
-        alpha[0] = 1
+        alpha[0] = 0 if logs else 1
         for a, b in zip(cuts, cuts[1:], strict=False):
             first = np.flatnonzero(np.r_[True, target[a + 1 : b] != target[a : b - 1]])
-            alpha[target[a:b][first]] = np.add.reduceat(alpha[source[a:b]] * table[piece[a:b]], first, axis=0)
-        return np.log(alpha[final])
+            if logs:
+                terms = alpha[source[a:b]] + table[piece[a:b]]
+                most = np.maximum.reduceat(terms, first, axis=0)
+                terms = np.exp(terms - np.repeat(most, np.diff(np.r_[first, b - a]), axis=0))
+                alpha[target[a:b][first]] = most + np.log(np.add.reduceat(terms, first, axis=0))
+            else:
+                alpha[target[a:b][first]] = np.add.reduceat(alpha[source[a:b]] * table[piece[a:b]], first, axis=0)
+        return alpha[final] if logs else np.log(alpha[final])
+
+    def _scored(self, words: list[str]) -> np.ndarray:
+        """word_scores of the words, some at a time and those of more than SHORT characters apart."""
+        short = np.array([len(w) <= SHORT for w in words], bool)
+        out = np.zeros((len(words), len(self.langs)))
+        for own in (np.flatnonzero(short), np.flatnonzero(~short)):
+            at = 0
+            while at < len(own):
+                stop, size = at, 0
+                while stop < len(own) and stop - at < 20_000 and size < 1_000_000:
+                    size += len(words[own[stop]])
+                    stop += 1
+                out[own[at:stop]] = self.word_scores(["▁" + words[i] for i in own[at:stop]])
+                at = stop
+        return out
 
     def _learn(self, words: set[str]) -> None:
         if len(self.rows) + len(words) > KEPT:
@@ -159,10 +186,7 @@ class PieceModel:
         new = sorted(words.difference(self.rows))
         if not new:
             return
-        parts = [["▁" + w] if len(w) < RUN else [("▁" + w)[i : i + RUN] for i in range(0, len(w) + 1, RUN)] for w in new]
-        flat = [p for x in parts for p in x]
-        made = np.vstack([self.word_scores(flat[at : at + 20_000]) for at in range(0, len(flat), 20_000)])
-        made = np.add.reduceat(made, np.cumsum([0, *(len(x) for x in parts[:-1])]), axis=0)
+        made = self._scored(new)
         for word in new:
             self.rows[word] = len(self.rows)
         if len(self.rows) > len(self.table):  # grow by doubling
@@ -175,10 +199,18 @@ class PieceModel:
         """Log-likelihoods with the prior, None for texts without a letter."""
         for at in range(0, len(texts), 256):
             split = [t.split() if t and any(map(str.isalpha, t)) else None for t in texts[at : at + 256]]
-            self._learn(set().union(*(s for s in split if s)))
+            known: set[str] = set().union(*(s for s in split if s))
+            long = sorted(w for w in known if len(w) > REMEMBERED)
+            self._learn(known.difference(long))
+            apart = dict(zip(long, self._scored(long), strict=True))
             get = self.rows.__getitem__
             for words in split:
-                yield None if words is None else self.prior + self.table[list(map(get, words))].sum(0)
+                if words is None:
+                    yield None
+                    continue
+                plain = [w for w in words if len(w) <= REMEMBERED] if long else words
+                total = self.prior + self.table[list(map(get, plain))].sum(0)
+                yield total + sum(apart[w] for w in words if len(w) > REMEMBERED) if long else total
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:

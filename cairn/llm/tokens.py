@@ -77,6 +77,8 @@ class Encoder:
             ids = old.get(c)
             if ids is not None:
                 known[c] = ids
+            elif "\u0130" in c:  # lowers to two characters, the second of which joins what follows
+                others.append(c)
             elif c.isalpha():
                 words.add(c)
             elif (m := _MARKED(c)) and m[1].isalpha():

@@ -31,7 +31,6 @@ from cairn.llm import workers
 from cairn.session import checkpoint, text_batches
 
 MAX_FIT_ROWS = 40_000
-MAX_TERMS = 20_000
 LEAST_TOXIC = 3
 FOLDS = 4
 TREES = 24
@@ -80,7 +79,10 @@ def _terms(text: str | None) -> set[str]:
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
-    """(term, toxic_1, clean_1, ...) over labelled (text, toxic, fold): documents with the term by label and fold; the MAX_TERMS terms with most toxic ones."""
+    """(term, toxic_1, clean_1, ...) over labelled (text, toxic, fold): documents with the term by label and fold; those with LEAST_TOXIC toxic ones and a third of toxic ones.
+
+    Each holds for the term alone, so the lexicon is bounded by the words of the MAX_FIT_ROWS learned texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("toxicity")
@@ -95,7 +97,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     counts = [F.count_if((F.col("toxic") == label) & (F.col("fold") == fold)).alias(f"{name}_{fold}") for fold in range(1, FOLDS + 1) for name, label in (("toxic", 1), ("clean", 0))]
     total = sum((F.col(f"toxic_{f}") for f in range(2, FOLDS + 1)), F.col("toxic_1"))
     clean = sum((F.col(f"clean_{f}") for f in range(2, FOLDS + 1)), F.col("clean_1"))
-    return terms.groupBy("term").agg(*counts).where((total >= LEAST_TOXIC) & (total * 2 > clean)).orderBy(total.desc(), "term").limit(MAX_TERMS)
+    return terms.groupBy("term").agg(*counts).where((total >= LEAST_TOXIC) & (total * 2 > clean))
 
 
 class Lexicon:
@@ -198,7 +200,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     that remainder. A label is one row: where an id has several, the highest counts; null
     labels and ids are not learned from. Null and empty texts are scored like any other.
     Where no toxic or no clean row can be learned from, every score is the insults' share of
-    the words, and an empty table gives no rows. Other columns are ignored.
+    the words; where only fold 4 lacks one of the labels, it is the trees' own probability,
+    uncalibrated. An empty table gives no rows. Other columns are ignored.
     """
     scored = _scored(docs.select(id_col, text_col), labels, id_col, text_col, carried=[id_col])
     return scored.select(F.col("_c0").alias(id_col), (F.col("remainder") == 0).alias("held_out"), "score", "predicted")
