@@ -164,7 +164,7 @@ _CLUSTER = "centre array<double>, radius double, members long, place long"
 
 
 def _clustered(rows: DataFrame, limit: float, first: bool) -> DataFrame:
-    """(id, vec, cluster and, in one row of each cluster, its centre, radius, members and place)."""
+    """(id, row, vec, cluster and, in one row of each cluster, its centre, radius, members and place)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 40
@@ -186,11 +186,11 @@ def _clustered(rows: DataFrame, limit: float, first: bool) -> DataFrame:
                 lead[labels[::-1]] = np.arange(len(units))[::-1]
                 is_lead = lead[labels] == np.arange(len(units))
                 pick = lambda values: [values[k] if own else None for k, own in zip(labels, is_lead, strict=True)]  # noqa: E731,B023
-                out = pd.DataFrame({"id": frame["id"].to_numpy(dtype=object)[rows_at], "vec": list(units) if first else [None] * len(units), "cluster": base + labels})
+                out = pd.DataFrame({"id": frame["id"].to_numpy(dtype=object)[rows_at], "row": frame["row"].to_numpy()[rows_at], "vec": list(units) if first else [None] * len(units), "cluster": base + labels})
                 yield out.assign(centre=pick([m[0] for m in made]), radius=pd.array(pick([m[1] for m in made]), "Float64"), members=pd.array(pick([m[2] for m in made]), "Int64"), place=pd.array(pick(places.tolist()), "Int64"))
                 base += len(made)
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, vec array<double>, cluster long, {_CLUSTER}")
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, row long, vec array<double>, cluster long, {_CLUSTER}")
 
 
 def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -205,14 +205,14 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, i
     """
     threshold = float(np.arccos(min_cosine))
     limit = threshold / 2 * (1 - 1e-9)
-    kind = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    # rows that share an id are told apart by a number, fixed as soon as the clusters are written
+    rows = vectors.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(vec_col).cast("array<double>").alias("vec"))
     finite = F.expr("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
     alone = rows.where(~finite).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     first = checkpoint(_clustered(rows.where(finite), limit, first=True))
-    centres = first.where("members is not null").select(F.col("cluster").alias("id"), F.col("centre").alias("vec"), "radius", "members", "place")
+    centres = first.where("members is not null").select(F.col("cluster").alias("id"), F.col("cluster").alias("row"), F.col("centre").alias("vec"), "radius", "members", "place")
     second = checkpoint(_clustered(centres.repartition("place").sortWithinPartitions("place", "id"), limit, first=False))
-    members = checkpoint(first.select("id", "vec", F.col("cluster").alias("inner")).join(second.select(F.col("id").alias("inner"), "cluster"), "inner").drop("inner"))
+    members = checkpoint(first.select("id", "row", "vec", F.col("cluster").alias("inner")).join(second.select(F.col("id").alias("inner"), "cluster"), "inner").drop("inner"))
     clusters = second.where("members is not null").select("cluster", "centre", "radius", F.col("members").alias("n"))
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,7 +261,7 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, i
     edges = whole.select("i", "j")
     counted = None
     if not unsure.isEmpty():
-        counted, found = _compare_members(members, clusters, unsure, min_cosine, kind)
+        counted, found = _compare_members(members, clusters, unsure, min_cosine)
         edges = edges.union(found)
     labels = connected_components(edges, "i", "j")
     least = members.groupBy("cluster").agg(F.min("id").alias("least"))
@@ -270,31 +270,29 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, i
     state = checkpoint(state.join(state.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cluster", "n_links", "component_id"))
     linked = members.drop("vec").join(state, "cluster")
     if counted is not None:
-        linked = linked.join(counted, ["cluster", "id"], "left").withColumn("n_links", F.col("n_links") + F.coalesce("unsure_links", F.lit(0)))
+        linked = linked.join(counted, "row", "left").withColumn("n_links", F.col("n_links") + F.coalesce("unsure_links", F.lit(0)))
     every = linked.select(F.col("id").alias(id_col), "n_links", "component_id").union(alone)
     return every.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _compare_members(members: DataFrame, clusters: DataFrame, unsure: DataFrame, min_cosine: float, kind: str) -> tuple[DataFrame, DataFrame]:
-    """((cluster, id, unsure_links), (i, j) pairs with a link): members compared chunk by chunk, at most CHUNK or so at a time."""
+def _compare_members(members: DataFrame, clusters: DataFrame, unsure: DataFrame, min_cosine: float) -> tuple[DataFrame, DataFrame]:
+    """((row, unsure_links), (i, j) pairs with a link): members compared chunk by chunk, about CHUNK at a time."""
     involved = unsure.select(F.col("i").alias("cluster")).union(unsure.select("j")).distinct().join(clusters.select("cluster", "n"), "cluster")
-    chunks = members.join(involved, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id", "vec"), F.ceil(F.col("n") / CHUNK)))
-    chunks = checkpoint(chunks.groupBy("cluster", "chunk").agg(F.collect_list(F.struct("id", "vec")).alias("rows")))
+    chunks = members.join(involved, "cluster").withColumn("chunk", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / CHUNK)))
+    chunks = checkpoint(chunks.groupBy("cluster", "chunk").agg(F.collect_list(F.struct("row", "vec")).alias("rows")))
     both = unsure.select("i", "j")
     for end in ("i", "j"):
         both = both.join(chunks.select(F.col("cluster").alias(end), F.col("rows").alias(f"rows_{end}")), end)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples():
-                x, y = (np.array([r["vec"] for r in rows]) for rows in (row.rows_i, row.rows_j))
+            for pair in frame.itertuples():
+                x, y = (np.array([r["vec"] for r in rows]) for rows in (pair.rows_i, pair.rows_j))
                 linked = x @ y.T >= min_cosine
                 if linked.any():
-                    for cluster, rows, n in ((row.i, row.rows_i, linked.sum(1)), (row.j, row.rows_j, linked.sum(0))):
-                        yield pd.DataFrame({"cluster": cluster, "other": row.j if cluster == row.i else row.i, "id": np.array([r["id"] for r in rows], dtype=object), "n": n})
+                    for cluster, other, rows, n in ((pair.i, pair.j, pair.rows_i, linked.sum(1)), (pair.j, pair.i, pair.rows_j, linked.sum(0))):
+                        yield pd.DataFrame({"cluster": cluster, "other": other, "row": [r["row"] for r in rows], "n": n})
 
-    found = checkpoint(both.mapInPandas(count, f"cluster long, other long, id {kind}, n long"))
-    # rows that share an id within a cluster are equal vectors or data errors; their counts are averaged back to one
-    per_id = members.join(involved.select("cluster"), "cluster").groupBy("cluster", "id").agg(F.count(F.lit(1)).alias("rows"))
-    counted = found.groupBy("cluster", "id").agg(F.sum("n").alias("n")).join(per_id, ["cluster", "id"]).select("cluster", "id", (F.col("n") / F.col("rows")).cast("long").alias("unsure_links"))
+    found = checkpoint(both.mapInPandas(count, "cluster long, other long, row long, n long"))
+    counted = found.groupBy("row").agg(F.sum("n").alias("unsure_links"))
     return counted, found.where("cluster < other").select(F.col("cluster").alias("i"), F.col("other").alias("j")).distinct()

@@ -84,7 +84,11 @@ def _order_key(epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_text_hash")).cast("binary"))
 
 
-def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", domain=default_domain, weights=default_weights) -> DataFrame:
+#: The columns that mix adds.
+ADDED = ("mix_domain", "mix_tokens", "mix_epoch")
+
+
+def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", domain=default_domain, weights=default_weights, added: tuple[str, ...] = ADDED) -> DataFrame:
     """The chosen rows of docs with all columns, and mix_domain, mix_tokens and mix_epoch; one row per document and epoch.
 
     The budget is budget_share of the tokens of docs (1 or less can be met). Null languages
@@ -92,9 +96,11 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     once per whole epoch, and in the last one if their place is before the cut; a leaf
     without any words has no budget and is left out. The rows of equal ids and texts are
     told apart by nothing, so they share their place: they are chosen or left together.
-    An empty table gives no rows.
+    ``added`` names the columns to add, of those three; a column of docs with such a name, in
+    whatever case, is replaced by it, and any other column keeps its name and place. An
+    empty table gives no rows.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if c.lower() not in added]
     rows = docs.select(F.struct(*(F.col(c) for c in columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     rows = rows.withColumn("domain", F.coalesce(domain(F.col("source")), F.lit("domain_x"))).withColumn("tokens", tokens_of(F.col("_text"))).withColumn("_text_hash", F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
     rows = rows.withColumn("leaf", F.to_json(F.struct(*LEAF)))
@@ -121,5 +127,6 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     chosen = rows.join(beside(plan), "leaf")
     last = F.col("limit").isNull() | (_order_key(F.col("whole"), seed) < F.col("limit"))
     epochs = F.col("whole") + F.when((F.col("whole") < max_epochs) & last, 1).otherwise(0)
-    chosen = chosen.withColumn("n_epochs", epochs).where("n_epochs > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("n_epochs") - 1)))
-    return chosen.select("_row.*", F.col("domain").alias("mix_domain"), F.col("tokens").alias("mix_tokens"), "mix_epoch")
+    chosen = chosen.withColumn("n_epochs", epochs).where("n_epochs > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("n_epochs") - 1)))
+    made = {"mix_domain": F.col("domain"), "mix_tokens": F.col("tokens"), "mix_epoch": F.col("_epoch")}
+    return chosen.select("_row.*", *(made[c].alias(c) for c in added))

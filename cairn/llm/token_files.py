@@ -7,9 +7,11 @@ same number of sequences, so sequence i is row i % B of batch i // B and is read
 copying from a memory map. ``docs-<range>.arrow`` says where each document starts in the
 range's ids. Ids run in ascending order of the document id, across ranges too.
 
-Texts are encoded before the shuffle and travel as compressed ids. Files are written as
-<name>-<attempt> and the table of the files that count is what the write job returns, so
-a repeated or speculative task leaves at most a stray file, which is deleted at the end.
+Spark deals the texts into ranges of the id, whatever its type, and sorts each; a task encodes
+and writes one range. Equal ids are told apart by their texts' hashes and rows, so a hot id
+is split like any other range. File names hold the run and the attempt, and the manifest
+that is written beside them says which files count: a repeated or speculative task leaves
+at most a stray file, and no other run's file is ever touched.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.tokens import encoder
-from cairn.session import shared_dir, text_batches
+from cairn.session import checkpoint, run_dir, text_batches
 
 SEQUENCE = 2048
 BATCH = 64
@@ -83,62 +85,44 @@ class _Writer:
         return self.paths[0], self.paths[1], self.total, len(self.docs)
 
 
-def write_token_files(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, sequence: int = SEQUENCE, batch: int = BATCH, range_docs: int = RANGE_DOCS) -> list[dict]:
-    """Encode every whole text, append end_id, write the files below uri; returns the files in order, with their first id's position.
+def write_token_files(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, sequence: int = SEQUENCE, batch: int = BATCH, range_docs: int = RANGE_DOCS) -> DataFrame:
+    """Encode every whole text, append end_id, write the files below uri; returns the manifest.
 
-    Null text counts as empty. Rows are ordered by id (null first) and, where ids repeat, by
-    their ids; each row is a document. Other columns are ignored. An empty table writes no
-    files. uri may name any store that Arrow opens; executors must reach it.
+    The manifest (place, tokens_path, docs_path, n_tokens, n_docs, start), also written below
+    uri, has a row for each range in order; start is the position of its first id. Null text
+    counts as empty. Rows are ordered by id (null first) and, where ids repeat, by their
+    texts' hashes; each row is a document. Other columns are ignored. An empty table has an
+    empty manifest. uri may name any store that Arrow and Spark open; executors must reach it.
     """
-    text_batches(docs.sparkSession)
-    count, kind = docs.count(), docs.schema[id_col].dataType.simpleString()
-    ranges = max(1, -(-count // range_docs))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(docs.agg(F.percentile_approx(id_col, cuts, max(10_000, 10 * ranges))).first()[0] or [])) if cuts else []
-    files, _ = _filesystem(uri)
-    files.create_dir(_filesystem(uri)[1], recursive=True)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer, keeps_space=False)
-        narrow = np.uint16 if own.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        end, codec = int(end_id).to_bytes(4, "little"), pa.Codec("zstd", compression_level=1)
-        cut = np.array(bounds)
-        for part in batches:
-            ids = [np.frombuffer(x + end, "<u4").astype(narrow).tobytes() for x in own.ids(part.column(1).to_pylist())]
-            keys = part.column(0).to_pylist()
-            places = [0 if k is None or not len(cut) else int(np.searchsorted(cut, k, side="left")) for k in keys]
-            packed = [codec.compress(x, asbytes=True) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["place", id_col, "size", "packed"])
+    spark = docs.sparkSession
+    text_batches(spark)
+    ranges = max(1, -(-docs.count() // range_docs))
+    files, base = _filesystem(uri)
+    files.create_dir(base, recursive=True)
+    run_id = uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = encoder(tokenizer, keeps_space=False).tokenizer.get_vocab_size(with_added_tokens=True)
-        narrow = np.uint16 if vocab <= 1 << 16 else np.uint32
-        codec, attempt = pa.Codec("zstd"), TaskContext.get().taskAttemptId()
-        writer, place, id_type, done = None, None, pa.int64(), []
+        own = encoder(tokenizer, keeps_space=False)
+        narrow = np.uint16 if own.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        end, task = int(end_id).to_bytes(4, "little"), TaskContext.get()
+        writer, id_type, done = None, pa.int64(), []
         for part in batches:
-            id_type = part.column(1).type
-            for at, key, size, packed in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if at != place:
-                    if writer:
-                        done.append((place, *writer.close(id_type)))
-                    writer, place = _Writer(uri, f"{at:08d}-{attempt}", narrow, sequence, batch), at
-                writer.add(key, np.frombuffer(codec.decompress(packed, size, asbytes=True), narrow))
+            if writer is None:
+                writer, id_type = _Writer(uri, f"{task.partitionId():08d}-{run_id}-{task.taskAttemptId()}", narrow, sequence, batch), part.column(0).type
+            for key, ids in zip(part.column(0).to_pylist(), own.ids(part.column(1).to_pylist()), strict=True):
+                writer.add(key, np.frombuffer(ids + end, "<u4").astype(narrow))
         if writer:
-            done.append((place, *writer.close(id_type)))
+            done.append((task.partitionId(), *writer.close(id_type)))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["place", "tokens_path", "docs_path", "n_tokens", "n_docs"])
 
-    encoded = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, f"place long, `{id_col}` {kind}, size long, packed binary")
-    dealt = encoded.repartition(F.col("place")).sortWithinPartitions("place", id_col, "size", "packed")
-    manifest = sorted((r.asDict() for r in dealt.mapInArrow(write, "place long, tokens_path string, docs_path string, n_tokens long, n_docs long").collect()), key=lambda r: r["place"])
-    kept, start = {p for r in manifest for p in (r["tokens_path"], r["docs_path"])}, 0
-    for r in manifest:
-        r["start"], start = start, start + r["n_tokens"]
-    from pyarrow import fs
-
-    for info in files.get_file_info(fs.FileSelector(_filesystem(uri)[1])):
-        if info.path not in kept and info.path.endswith(".arrow"):
-            files.delete_file(info.path)
-    return manifest
+    rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    order = [F.asc_nulls_first(id_col), F.col("_hash"), F.col("_row")]
+    dealt = (rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)).sortWithinPartitions(*order)
+    written = checkpoint(dealt.select(id_col, text_col).mapInArrow(write, "place long, tokens_path string, docs_path string, n_tokens long, n_docs long"))
+    # a row for each range_docs documents: few enough for one window
+    start = F.sum("n_tokens").over(Window.orderBy("place")) - F.col("n_tokens")
+    written.withColumn("start", start).write.parquet(f"{uri}/manifest-{run_id}")
+    return spark.read.parquet(f"{uri}/manifest-{run_id}")
 
 
 def open_tokens(uri_or_path: str, files=None):
@@ -160,7 +144,7 @@ def sequence_at(reader, i: int, batch: int = BATCH) -> tuple[np.ndarray, np.ndar
     return ids, part.column(1).flatten().slice(row * size, size).to_numpy(zero_copy_only=False)
 
 
-def read_token_files(spark: SparkSession, manifest: list[dict], uri: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
+def read_token_files(manifest: DataFrame, uri: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of every document, read back from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +173,11 @@ def read_token_files(spark: SparkSession, manifest: list[dict], uri: str, id_typ
                 starts = pa.array(docs.column("start").to_numpy() + first, pa.int64())
                 yield pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), starts, docs.column("n_tokens").combine_chunks(), pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    rows = [(r["tokens_path"], r["docs_path"], r["start"]) for r in manifest]
-    listed = spark.createDataFrame(rows, "tokens_path string, docs_path string, first long").repartition(max(1, min(len(rows), 10_000)))
-    return listed.mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("tokens_path", "docs_path", "start").repartition(max(1, min(manifest.count(), 10_000))).mapInArrow(run, f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digest(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Write docs' ids below uri (a new folder in the shared one where None) and read every document back."""
-    spark = docs.sparkSession
-    uri = uri or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    """Write docs' ids below uri (a folder of this application, deleted with it, where None) and read every document back."""
+    uri = uri or f"{run_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     manifest = write_token_files(docs, uri, id_col, text_col, **options)
-    return read_token_files(spark, manifest, uri, docs.schema[id_col].dataType.simpleString(), id_col)
+    return read_token_files(manifest, uri, docs.schema[id_col].dataType.simpleString(), id_col)

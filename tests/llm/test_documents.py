@@ -114,13 +114,31 @@ def test_encoder_is_the_tokenizer(docs, name, keeps):
     assert own.ids(texts) == want
 
 
+def encoded(name, texts):
+    """ids of each text as bytes, by the tokenizers library alone."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    return [b"".join(i.to_bytes(4, "little") for i in own.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_on_random_texts(name, keeps):
+    """Letters that lower to two, combining marks beside punctuation, other digits, all kinds of white space."""
+    rng = np.random.default_rng(7)
+    signs = [*"İıΣςßéﬁǆÅ日本กअ1abZIi_-!'*,.’😀", "e\u0301", "\u0307", "\u0301", "\u0e31", "\u093f", "\u0663", "\u200d", "\u200b", "\xad", " ", " ", "\n", "\t", "\u3000", "\xa0", "\x1c"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 25))) for _ in range(10_000)] + ["İ* x", "HARİ, x", "don't İt's"]
+    assert encoder(name, keeps).ids(texts) == encoded(name, texts)
+
+
 def test_token_files(spark, odd, docs, tmp_path):
     for table, options in ((docs, {"range_docs": 70, "sequence": 128, "batch": 4}), (odd, {}), (odd.limit(0), {})):
         rows = table.select("doc_id", "text").collect()
-        ids = encoder("word_bpe_49k.json", False).ids([r.text for r in rows])
+        ids = encoded("word_bpe_49k.json", [r.text for r in rows])
         uri = f"{tmp_path}/{len(rows)}-{len(options)}"
         manifest = token_files.write_token_files(table, uri, **options)
-        got = token_files.read_token_files(spark, manifest, uri).collect()
+        got = token_files.read_token_files(manifest, uri).collect()
         want = sorted(((-1 if r.doc_id is None else r.doc_id), len(x) // 4 + 1, zlib.crc32(x + b"\1\0\0\0")) for r, x in zip(rows, ids, strict=True))
         assert sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == want
         at = 0
@@ -130,12 +148,26 @@ def test_token_files(spark, odd, docs, tmp_path):
         order = [-1 if r.doc_id is None else r.doc_id for r in sorted(got, key=lambda r: r.start)]
         assert order == sorted(order)
         if options:
-            reader = token_files.open_tokens(manifest[0]["tokens_path"])
+            reader = token_files.open_tokens(manifest.orderBy("place").first()["tokens_path"])
             first, mask = token_files.sequence_at(reader, 5, batch=4)
             whole = np.concatenate([np.frombuffer(x + b"\1\0\0\0", "<u4") for _, x in sorted(zip([r.doc_id for r in rows], ids, strict=True))])
             assert len(first) == 128 and mask.all() and (first == whole[5 * 128 : 6 * 128]).all()
 
 
+def test_token_files_of_text_ids(spark, tmp_path):
+    """Ids of any type, one of them on most rows; files of others in the folder stay."""
+    rows = [(f"doc{i % 7}" if i % 3 else "doc1", f"text {i % 40}") for i in range(300)] + [(None, None)] * 20
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    (tmp_path / "other.arrow").write_text("not ours")
+    manifest = token_files.write_token_files(table, str(tmp_path), range_docs=30)
+    got = sorted(token_files.read_token_files(manifest, str(tmp_path), "string").collect(), key=lambda r: r.start)
+    assert (tmp_path / "other.arrow").read_text() == "not ours"
+    want = Counter((k, zlib.crc32(x + b"\1\0\0\0")) for (k, _), x in zip(rows, encoded("word_bpe_49k.json", [t for _, t in rows]), strict=True))
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    assert [r.doc_id or "" for r in got] == sorted(r.doc_id or "" for r in got)
+    assert manifest.count() == 11 and max(r.n_docs for r in manifest.collect()) < 100
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(0)
     lengths = np.sort(rng.integers(1, 1025, 500))[::-1]
@@ -152,7 +184,7 @@ def test_first_fit_decreasing():
 def test_packing(spark, docs, odd):
     for table in (docs, odd, odd.limit(0)):
         rows = table.select("doc_id", "text").collect()
-        ids = encoder("byte_bpe_50k.json", True).ids([r.text for r in rows])
+        ids = encoded("byte_bpe_50k.json", [r.text for r in rows])
         got = packing.pack_documents(table, group_docs=50).collect()
         want = Counter((r.doc_id, s, zlib.crc32((x + b"\0\0\0\0")[4 * s : 4 * s + 4096]), len(x) // 4 + 1) for r, x in zip(rows, ids, strict=True) for s in range(0, len(x) // 4 + 1, 1024))
         assert Counter((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in got) == want
@@ -167,6 +199,14 @@ def test_packing(spark, docs, odd):
             assert at <= 1024 and all(r.padded_length == (at if at & (at - 1) == 0 else 1024) for r in own)
 
 
+def test_packing_spreads_repeated_ids(spark):
+    """Null ids and one id with many texts, or with one text many times, are not one group."""
+    rows = [(None, f"w{i}") for i in range(400)] + [(5, f"v{i}") for i in range(400)] + [(7, "same")] * 5000
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), group_docs=600).collect()
+    for key, least in ((None, 5), (5, 5), (7, 3)):
+        assert len({r.sequence_id >> 32 for r in got if r.doc_id == key}) >= least
+
+
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
@@ -280,6 +320,25 @@ def test_forward_sums_all_segmentations(docs):
         assert np.allclose(np.log(total), score)
 
 
+def test_forward_on_long_words(docs):
+    """A word of any length has the sum over all its segmentations; script that no piece holds leaves finite scores."""
+    model = langid.PieceModel(langid.piece_counts(docs.select("text", "lang")).collect())
+    ids = langid._pieces(langid.VOCABULARY)[1]
+    word = "▁Donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichenfabrik"
+    sums = [np.zeros(len(model.langs))]
+    for stop in range(1, len(word) + 1):
+        terms = [sums[start] + np.log(model.prob[ids[word[start:stop]]]) for start in range(stop) if word[start:stop] in ids]
+        if word[stop - 1] not in ids:
+            terms.append(sums[stop - 1] + np.log(model.floor))
+        sums.append(np.logaddexp.reduce(terms, axis=0))
+    assert np.allclose(model.word_scores([word])[0], sums[-1])
+    model.prob, model.floor = model.prob / 1e9, model.floor / 1e9
+    text = " ".join(["the house of the people"] * 5)
+    for strange in ("ᚠ" * 100, "ᚠ" * 5000):
+        (score,) = model.score([f"{text} {strange}"])
+        assert np.isfinite(score).all()
+
+
 def test_licenses(spark, docs):
     rows = [(100, "intro\nReleased under the MIT License.\nmore", "en", "src1"), (101, "nothing", "en", "src1"), (205, "Licensed under the Apache License, Version 2.0.", "en", "src1"), (9999, "licensed to nobody in particular, and much other text here", "en", "src1"), (7, None, None, None), (101, "nothing", "en", "src1")]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
