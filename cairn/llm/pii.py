@@ -4,16 +4,26 @@ Patterns. Four kinds are found with fixed regular expressions and checked (addre
 Luhn, digit counts). Java's matcher recurses on repeated groups and rescans long runs, so
 the expressions used here are rewritten to match the same spans in linear time.
 
-Disclosure. After C-sanitisation (Sanchez and Batet, 2016): a term t reveals a protected
-value e by their pointwise mutual information, PMI(t; e) = log2 p(t, e) / (p(t) p(e)), which
-is at most the value's information content IC(e) = -log2 p(e). p(t) and p(e) are shares of
-all documents that hold t or e; p(t, e) is the share in which t stands within ``WINDOW``
-characters of e. Terms that reveal at least ``REMOVE`` of IC(e) are removed where they
-stand near e, those that reveal at least ``GENERALISE`` are replaced by a class name. With
-fewer than ``SUPPORT`` documents in common there is no evidence and nothing is done.
-
-Everything is DataFrame operations. Exact copies of a text are counted once with a
-multiplicity, so a text that fills a third of the table is one row of the statistics.
+Entities. A value is an entity, and so is its class: an address' domain, the first three
+parts of an ip, a card's issuer (six digits), a phone's country and area (four digits).
+
+Disclosure. After C-sanitisation (Sanchez and Batet, 2016): a term t reveals an entity e by
+their pointwise mutual information, PMI(t; e) = log2 p(t, e) / (p(t) p(e)), which is at most
+the entity's information content IC(e) = -log2 p(e). The p are shares of all documents, and
+a document holds t and e wherever they stand in it. The share PMI / IC is also taken among
+the documents with e's kind of value alone, and the smaller one counts: a word that goes
+with addresses as such says nothing about whose address it is. Terms with a share of
+``REMOVE`` are removed, those with ``GENERALISE`` are replaced by the term with which they
+are found most often among those that are more frequent and tell nothing.
+
+Evidence. A share counts if chance does not explain it: by Chernoff's bound, d texts with e
+of which a share q hold t have d * KL(q || p(t)) bits of evidence. log2 of the documents
+plus ``EVIDENCE`` bits are asked for. One text can't have that many, so entities and pairs
+found in one text only are left out before pairs are made, as are terms too frequent to
+reach the share. Exact copies count in the p, not in the evidence.
+
+Everything is DataFrame operations; the patterns run once over the texts, the terms are
+counted in a second pass, and a third one places the terms that tell, if there are any.
 """
 
 from __future__ import annotations
@@ -23,16 +33,15 @@ from pyspark.sql import functions as F
 
 from cairn.session import checkpoint
 
-WINDOW = 64
-SUPPORT = 3
+EVIDENCE = 10.0
 GENERALISE = 0.6
 REMOVE = 0.9
 #: Terms to look for are broadcast up to so many, beyond that joined by a shuffle.
 BROADCAST_TERMS = 100_000
 
 KINDS = ("email", "ip", "card", "phone")
-#: What stands in for each kind in sanitised text.
-REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "term_removed": ""}
+#: What stands in for each kind in sanitised text; a term's class stands in brackets.
+REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term_removed": ""}
 
 _SPAN = "array<struct<start int, rank int, stop int, kind string, value string>>"
 
@@ -48,21 +57,32 @@ def _sql(text: str) -> str:
     return "r'" + text + "'"
 
 
+#: Matches whose lengths are summed at once, so that positions cost a little more than the text's length.
+_STEP = 64
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL for body with value computed once under a name."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _found(text: str, regex: str, kind: str, rank: int, keep: str) -> str:
-    """SQL for the spans of regex in the text expression; keep is a condition on x.m, the matched string.
+    """SQL for the spans of regex in the text expression; keep is a condition on x.value, the matched string.
 
-    The pieces between the matches and the matches themselves, zipped, give the positions.
+    Positions are sums of the lengths of the pieces between the matches and of the matches:
+    whole steps of them are summed first, then the few before each match in its step.
     """
-    return f"""aggregate(
-        zip_with(split({text}, {_sql(regex)}, -1), regexp_extract_all({text}, {_sql(regex)}, 0), (p, m) -> named_struct('p', p, 'm', m)),
-        named_struct('at', 0, 'found', cast(array() as {_SPAN})),
-        (a, x) -> named_struct(
-            'at', a.at + length(x.p) + coalesce(length(x.m), 0),
-            'found', case when x.m is not null and ({keep}) then array_append(a.found, named_struct('start', a.at + length(x.p), 'rank', {rank}, 'stop', a.at + length(x.p) + length(x.m), 'kind', '{kind}', 'value', x.m)) else a.found end),
-        a -> a.found)"""
+    regex = _sql(regex)
+    step = f"aggregate(sequence(0, size(s.n) div {_STEP}), array(0), (a, i) -> array_append(a, element_at(a, -1) + aggregate(slice(s.n, i * {_STEP} + 1, {_STEP}), 0, (y, z) -> y + z)))"
+    start = f"v.b[i div {_STEP}] + aggregate(slice(v.n, i div {_STEP} * {_STEP} + 1, i % {_STEP}), 0, (y, z) -> y + z) + length(v.p[i])"
+    span = f"named_struct('start', o, 'rank', {rank}, 'stop', o + length(m), 'kind', '{kind}', 'value', m)"
+    spans = f"filter(transform(v.m, (m, i) -> {_bound(start, 'o', span)}), x -> {keep})"
+    with_steps = _bound(f"named_struct('p', s.p, 'm', s.m, 'n', s.n, 'b', {step})", "v", spans)
+    with_sizes = _bound("named_struct('p', r.p, 'm', r.m, 'n', zip_with(r.p, r.m, (p, m) -> length(p) + coalesce(length(m), 0)))", "s", with_steps)
+    return _bound(f"named_struct('p', split({text}, {regex}, -1), 'm', regexp_extract_all({text}, {regex}, 0))", "r", with_sizes)
 
 
-_DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
+_DIGITS = "regexp_replace(x.value, '[^0-9]', '')"
 _LUHN = f"""aggregate(sequence(1, length({_DIGITS})), 0, (s, i) -> s + case
     when (length({_DIGITS}) - i) % 2 = 0 then cast(substring({_DIGITS}, i, 1) as int)
     when substring({_DIGITS}, i, 1) > '4' then 2 * cast(substring({_DIGITS}, i, 1) as int) - 9
@@ -79,7 +99,7 @@ def base_spans(text: str) -> Column:
     t = f"`{text}`"
     single = f"regexp_replace({t}, '[ -](?=[ -])|(?<=[ -])[ -]', '#')"
     none = f"cast(array() as {_SPAN})"
-    ip_ok = f"x.m rlike {_sql('^' + _BYTE + '(?:[.]' + _BYTE + '){3}$')}"
+    ip_ok = f"x.value rlike {_sql('^' + _BYTE + '(?:[.]' + _BYTE + '){3}$')}"
     card_ok = f"length({_DIGITS}) between 14 and 19 and {_LUHN}"
     phone_ok = f"length({_DIGITS}) between 10 and 15"
     found = [
@@ -91,104 +111,140 @@ def base_spans(text: str) -> Column:
     return F.expr(f"sort_array(concat({', '.join(found)}))")
 
 
-def _masked(text: str) -> Column:
-    """The text with every base span overwritten, character for character, by one that is in no word."""
+def terms_of(text: str) -> Column:
+    """The different words with a letter of the column named text, in lower case, those of addresses left out."""
     t = f"`{text}`"
-    return F.expr(
-        f"""aggregate(base, named_struct('at', 0, 'out', ''),
-            (a, s) -> named_struct(
-                'at', greatest(a.at, s.stop),
-                'out', concat(a.out, substring({t}, a.at + 1, greatest(s.start - a.at, 0)), repeat('#', greatest(s.stop - greatest(s.start, a.at), 0)))),
-            a -> concat(a.out, substring({t}, a.at + 1)))"""
-    )
+    open_text = f"case when contains({t}, '@') then regexp_replace({t}, {_sql(_EMAIL)}, ' ') else {t} end"
+    return F.expr(f"array_distinct(transform(filter(split({open_text}, {_sql('[^\\p{L}\\p{N}]+')}), w -> w rlike {_sql('\\p{L}')}), w -> lower(w)))")
+
+
+def _entities() -> Column:
+    """The values of base and their classes, each once; the part before the first : or @ is the kind."""
+    digits = "regexp_replace(s.value, '[^0-9]', '')"
+    named = f"""case s.kind when 'email' then substring_index(lower(s.value), '@', -1) when 'ip' then regexp_replace(s.value, '[.][0-9]+$', '')
+        when 'card' then substring({digits}, 1, 6) else substring({digits}, 1, 4) end"""
+    return F.expr(f"array_distinct(flatten(transform(base, s -> array(concat(s.kind, ':', lower(s.value)), concat(s.kind, '@', {named})))))")
+
 
+def _text_hash(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
-def _context(masked: str) -> Column:
-    """(term, start, stop, entity) of the words within WINDOW characters of a span and outside every span.
 
-    A word that the window cuts is left out. Values are compared in lower case.
+def _base(text_col: str) -> Column:
+    return F.coalesce(base_spans(text_col), F.expr(f"cast(array() as {_SPAN})"))
+
+
+def _beside(small: DataFrame, limit: int) -> DataFrame:
+    return F.broadcast(small) if small.count() <= limit else small
+
+
+def told_terms(held: DataFrame, texts: DataFrame, total: int, evidence: float, generalise: float, remove: float, broadcast_terms: int) -> DataFrame | None:
+    """(term, kind, class): the terms that tell, of the documents (text_hash, base, terms) with values; None if no entity is in two texts.
+
+    texts (text) are all documents, ``total`` of them. A held document has as many pairs of a
+    term and an entity as its own words and values make, after both are pruned.
     """
-    t = f"`{masked}`"
-    begin = f"greatest(s.start - {WINDOW}, 0)"
-    left = f"substring({t}, {begin} + 1, s.start - {begin})"
-    right = f"substring({t}, s.stop + 1, {WINDOW})"
-    found = lambda piece, keep, shift: f"""transform(filter({_found(piece, _TERM, 'term', 4, 'true')}, w -> {keep}),
-        w -> named_struct('term', lower(w.value), 'start', w.start + {shift}, 'stop', w.stop + {shift}, 'entity', concat(s.kind, ':', lower(s.value))))"""
-    sides = f"concat({found(left, f'(w.start > 0 or s.start <= {WINDOW}) and w.stop < s.start - {begin}', begin)}, {found(right, f'w.start > 0 and w.stop < {WINDOW}', 's.stop')})"
-    return F.expr(f"flatten(transform(base, s -> {sides}))")
-
-
-def _marked(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with text_hash and base."""
-    return docs.withColumn("text_hash", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).withColumn("base", F.coalesce(base_spans(text_col), F.expr(f"cast(array() as {_SPAN})")))
-
-
-def disclosing_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """(text_hash, extra): for each text with disclosing terms, their spans; one row per different text."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    held = _marked(texts, "text").where(F.size("base") > 0).withColumn("masked", _masked("text")).withColumn("context", _context("masked"))
-    held = held.select("text_hash", F.expr("array_distinct(transform(base, s -> concat(s.kind, ':', lower(s.value))))").alias("entities"), "context")
-    held = checkpoint(held.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.any_value("entities").alias("entities"), F.any_value("context").alias("context")))
-    entities = held.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e")).where(F.col("n_e") >= support)
-    near = held.select("copies", F.explode(F.expr("array_distinct(transform(context, c -> struct(c.term, c.entity)))")).alias("c")).select("copies", "c.term", "c.entity")
-    joint = near.groupBy("term", "entity").agg(F.sum("copies").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = checkpoint(joint.join(entities, "entity"))
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    if n_terms <= broadcast_terms:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.count()
-    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    share = pmi / F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    told = pairs.join(counts, "term").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise)
-    told = told.select("term", "entity", F.when(F.col("share") >= remove, F.lit("term_removed")).otherwise(F.lit("term")).alias("kind"))
-    places = held.select("text_hash", F.explode("context").alias("c")).select("text_hash", "c.*").join(told, ["term", "entity"])
-    places = places.groupBy("text_hash", "start", "stop").agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
-    span = F.struct(F.col("start").cast("int"), F.when(F.col("kind") == "term", 4).otherwise(5).alias("rank"), F.col("stop").cast("int"), F.col("kind"), F.col("value"))
-    return checkpoint(places.groupBy("text_hash").agg(F.collect_list(span.cast(_SPAN[6:-1])).alias("extra")))
+    held = held.withColumn("entities", _entities()).groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.any_value("terms").alias("terms"), F.any_value("entities").alias("entities"))
+    held = checkpoint(held.withColumn("kinds", F.expr("array_distinct(transform(entities, e -> regexp_extract(e, '^([a-z]+)', 1)))")))
+    per_kind = held.select("copies", F.explode("kinds").alias("of")).groupBy("of").agg(F.sum("copies").alias("n_k"))
+    entities = held.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("d_e")).where("d_e >= 2")
+    entities = checkpoint(entities.withColumn("of", F.regexp_extract("entity", "^([a-z]+)", 1)).join(F.broadcast(per_kind), "of").where("n_e < n_k"))
+    if entities.isEmpty():
+        return None
+    named = held.select("text_hash", F.explode("entities").alias("entity")).join(entities, "entity")
+    named = named.groupBy("text_hash").agg(F.collect_list(F.struct("entity", "of", "n_e", "d_e", "n_k")).alias("named"))
+    known = checkpoint(held.join(named, "text_hash"))
+    heard = checkpoint(known.select(F.explode("terms").alias("term")).groupBy("term").count().where("count >= 2").select("term"))
+    beside = _beside(heard, broadcast_terms)
+    counts = checkpoint(texts.select(F.explode(terms_of("text")).alias("term")).join(beside, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    of_kind = held.select("copies", F.explode("terms").alias("term"), "kinds").join(beside, "term", "left_semi").select("copies", "term", F.explode("kinds").alias("of")).groupBy("term", "of").agg(F.sum("copies").alias("n_tk"))
+    n = F.lit(float(total))
+    words = known.select("copies", F.explode("terms").alias("term"), "named").join(_beside(counts, broadcast_terms), "term")
+    rare = F.filter("named", lambda e: F.col("n_t") <= n * F.pow(e["n_e"] / n, F.lit(generalise)))
+    pairs = words.select("copies", "term", "n_t", F.explode(rare).alias("e")).select("copies", "term", "n_t", "e.*")
+    joint = pairs.groupBy("term", "n_t", "entity", "of", "n_e", "d_e", "n_k").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("d_te")).where("d_te >= 2").join(of_kind, ["term", "of"])
+    everywhere = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    among = F.log2(F.col("n_te") * F.col("n_k") / (F.col("n_tk") * F.col("n_e"))) / F.log2(F.col("n_k") / F.col("n_e"))
+    q, p = F.col("d_te") / F.col("d_e"), F.col("n_t") / n
+    bits = F.col("d_e") * (q * F.log2(q / p) + F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0))
+    shares = joint.withColumn("share", F.least(everywhere, among)).where((F.col("share") >= generalise) & (q > p) & (bits >= F.log2(n) + evidence))
+    told = checkpoint(shares.groupBy("term").agg(F.max("share").alias("share"), F.any_value("n_t").alias("n_t")))
+    # the class: what the term is found with most often, of the more frequent terms that tell nothing
+    vague = held.select("text_hash", "copies", F.explode("terms").alias("term")).join(_beside(told.where(F.col("share") < remove), broadcast_terms), "term")
+    beside_it = vague.select("text_hash", "copies", "term", "n_t").join(held.select("text_hash", "terms"), "text_hash").select("copies", "term", "n_t", F.explode("terms").alias("other"))
+    classes = counts.select(F.col("term").alias("other"), F.col("n_t").alias("n_o")).join(told.select(F.col("term").alias("other")), "other", "left_anti")
+    classes = beside_it.join(classes, "other").where("n_o > n_t").groupBy("term", "other", "n_o").agg(F.sum("copies").alias("n"))
+    classes = classes.groupBy("term").agg(F.max(F.struct("n", (-F.col("n_o")).alias("minus"), "other")).alias("m")).select("term", F.col("m.other").alias("class"))
+    kind = F.when(F.col("share") >= remove, F.lit("term_removed")).otherwise(F.lit("term"))
+    return checkpoint(told.join(classes, "term", "left").select("term", kind.alias("kind"), F.concat(F.lit("["), F.coalesce("class", F.lit("TERM")), F.lit("]")).alias("class")))
+
+
+def term_spans(texts: DataFrame, told: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(text_hash, extra): the spans of the terms that tell, in each of texts (text_hash, text) that holds any, outside every pattern's span.
+
+    A span's value is what stands in for it.
+    """
+    beside = _beside(told, broadcast_terms)
+    hits = texts.select("text_hash", F.explode(terms_of("text")).alias("term")).join(beside, "term").select("text_hash", "term", "kind", "class").distinct()
+    hits = checkpoint(hits.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("kind", "class")))).alias("told")))
+    held = texts.join(_beside(hits, broadcast_terms), "text_hash").withColumn("base", _base("text"))
+    placed = f"""transform(
+        filter({_found('text', _TERM, 'term', 4, 'map_contains_key(told, lower(x.value))')}, w -> not exists(base, s -> s.start < w.stop and w.start < s.stop)),
+        w -> named_struct('start', w.start, 'rank', if(told[lower(w.value)].kind = 'term', 4, 5), 'stop', w.stop, 'kind', told[lower(w.value)].kind, 'value', told[lower(w.value)].class))"""
+    return checkpoint(held.select("text_hash", F.expr(placed).cast(_SPAN).alias("extra")).groupBy("text_hash").agg(F.any_value("extra").alias("extra")))
+
+
+def _disclosing(rows: DataFrame, held: DataFrame, total: int, evidence: float = EVIDENCE, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame | None:
+    """term_spans of rows (text_hash, text), None where no term tells."""
+    told = told_terms(held, rows.select("text"), total, evidence, generalise, remove, broadcast_terms)
+    return None if told is None or told.isEmpty() else term_spans(rows, told, broadcast_terms)
 
 
 def _joined(spans: str) -> Column:
     return F.expr(f"concat_ws(',', transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.stop)))")
 
 
+_EVERY = "sort_array(concat(base, coalesce(extra, slice(base, 1, 0))))"
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per row of docs.
 
     Positions count code points from 0, ends are exclusive. Base spans are always in spans;
-    kinds ``term`` and ``term_removed`` are added by the disclosure test. Null text counts
-    as empty; null and repeated ids and repeated rows are rows of their own; other columns
-    are ignored; an empty table gives no rows.
+    kinds ``term`` and ``term_removed`` are added wherever a term that tells stands, in
+    documents without values too. Null text counts as empty; null and repeated ids and
+    repeated rows are rows of their own; other columns are ignored; an empty table gives no
+    rows. options: evidence, generalise, remove, broadcast_terms.
     """
-    extra = disclosing_spans(docs, text_col, **options)
-    marked = _marked(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "text").drop("text")
-    marked = marked.join(extra, "text_hash", "left").withColumn("every", F.expr("sort_array(concat(base, coalesce(extra, slice(base, 1, 0))))"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("text_hash"))
+    marked = rows.withColumn("base", _base("text")).select("_id", "text_hash", "base", F.when(F.size("base") > 0, terms_of("text")).alias("terms"))
+    marked = checkpoint(marked)
+    extra = _disclosing(rows.select("text_hash", "text"), marked.where(F.size("base") > 0).select("text_hash", "base", "terms"), marked.count(), **options)
+    marked = marked.select("_id", "text_hash", "base")
+    marked = marked.join(extra, "text_hash", "left").withColumn("every", F.expr(_EVERY)) if extra is not None else marked.withColumn("every", F.col("base"))
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
     return marked.select(F.col("_id").alias(id_col), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("every").alias("spans"))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with personal data replaced by its kind and disclosing terms generalised or removed.
+def sanitise(docs: DataFrame, text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS, **options) -> DataFrame:
+    """docs with personal data replaced by its kind, and terms that tell generalised or removed in every document.
 
-    Rows without personal data stay as they are and are not shuffled; null text stays null.
-    All columns are kept.
+    Rows with neither stay as they are; null text stays null. All columns are kept. Texts
+    are not shuffled unless more than broadcast_terms different ones hold terms that tell.
     """
-    extra = disclosing_spans(docs, text_col, **options)
     columns = docs.columns
-    rows = docs.select(F.struct(*(F.col(c) for c in columns)).alias("_row"), F.col(text_col).alias("_text"))
-    marked = _marked(rows, "_text")
-    clean = marked.where(F.size("base") == 0).select("_row.*")
-    held = marked.where(F.size("base") > 0).join(extra, "text_hash", "left")
-    held = held.withColumn("every", F.expr("sort_array(concat(base, coalesce(extra, slice(base, 1, 0))))"))
+    rows = docs.select(F.struct(*(F.col(c) for c in columns)).alias("_row"), F.col(text_col).alias("text"), _text_hash(text_col).alias("text_hash"))
+    held = checkpoint(rows.select("text_hash", "text").withColumn("base", _base("text")).where(F.size("base") > 0).select("text_hash", "base", terms_of("text").alias("terms")))
+    extra = _disclosing(rows.select("text_hash", "text"), held, docs.count(), broadcast_terms=broadcast_terms, **options)
+    marked = rows.withColumn("base", _base("text"))
+    marked = marked.join(_beside(extra, broadcast_terms), "text_hash", "left").withColumn("every", F.expr(_EVERY)) if extra is not None else marked.withColumn("every", F.col("base"))
     names = ", ".join(f"'{k}', '{v}'" for k, v in REPLACEMENTS.items())
     rewritten = F.expr(
         f"""aggregate(every, named_struct('at', 0, 'out', ''),
             (a, s) -> named_struct(
                 'at', greatest(a.at, s.stop),
-                'out', case when s.start < a.at then a.out else concat(a.out, substring(_text, a.at + 1, s.start - a.at), map({names})[s.kind]) end),
-            a -> concat(a.out, substring(_text, a.at + 1)))"""
+                'out', case when s.start < a.at then a.out else concat(a.out, substring(text, a.at + 1, s.start - a.at), if(s.kind = 'term', s.value, map({names})[s.kind])) end),
+            a -> concat(a.out, substring(text, a.at + 1)))"""
     )
-    held = held.withColumn("_new", rewritten)
-    return clean.unionByName(held.select(*(F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in columns)))
+    new = F.when(F.size("every") > 0, rewritten).otherwise(F.col("text"))
+    return marked.select(*(new.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in columns))

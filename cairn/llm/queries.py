@@ -81,30 +81,36 @@ _BASE_SQL = " UNION ALL ".join(
     f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, CAST(start AS BIGINT) AS start, CAST(start AS BIGINT) + length(v) AS stop, v FROM (SELECT doc_id, m.start, m.v, regexp_replace(m.v, '[^0-9]', '', 'g') AS n FROM (SELECT doc_id, {_matches_sql('t', pattern)} AS m FROM d)) WHERE {keep}"
     for rank, (kind, (pattern, keep)) in enumerate(_PII_SQL.items())
 )
-_WINDOW = pii.WINDOW
+_ENTITY = "kind || ':' || lower(v)"
+_CLASS = "kind || '@' || CASE kind WHEN 'email' THEN split_part(lower(v), '@', 2) WHEN 'ip' THEN regexp_replace(v, '[.][0-9]+$', '') WHEN 'card' THEN substring(regexp_replace(v, '[^0-9]', '', 'g'), 1, 6) ELSE substring(regexp_replace(v, '[^0-9]', '', 'g'), 1, 4) END"
 ORACLE_SQL["op4_pii"] = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS hash, coalesce(text, '') AS t FROM documents),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
 base AS ({_BASE_SQL}),
-entities AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT doc_id) AS n_e FROM base GROUP BY 1 HAVING count(DISTINCT doc_id) >= {pii.SUPPORT}),
-near AS (SELECT base.*, kind || ':' || lower(v) AS entity, greatest(start - {_WINDOW}, 0) AS first FROM base WHERE kind || ':' || lower(v) IN (SELECT entity FROM entities)),
-masked AS (
-    SELECT doc_id, string_agg(CASE WHEN EXISTS (SELECT 1 FROM base WHERE base.doc_id = c.doc_id AND c.pos - 1 >= base.start AND c.pos - 1 < base.stop) THEN '#' ELSE c.x END, '' ORDER BY c.pos) AS t
-    FROM (SELECT doc_id, unnest(range(1, length(t) + 1)) AS pos, unnest(regexp_extract_all(t, '(?s).')) AS x FROM d WHERE doc_id IN (SELECT doc_id FROM near)) AS c GROUP BY doc_id
-), sides AS (
-    SELECT near.doc_id, entity, near.start AS place, true AS before, first AS shift, substring(masked.t, first + 1, near.start - first) AS piece, near.start - first AS size FROM near JOIN masked USING (doc_id)
-    UNION ALL SELECT near.doc_id, entity, near.start, false, near.stop, substring(masked.t, near.stop + 1, {_WINDOW}), {_WINDOW} FROM near JOIN masked USING (doc_id)
-), context AS (
-    SELECT doc_id, entity, lower(m.v) AS term, CAST(m.start AS BIGINT) + shift AS start, CAST(m.start AS BIGINT) + shift + length(m.v) AS stop
-    FROM (SELECT *, {_matches_sql('piece', '[\\p{L}\\p{N}]+')} AS m FROM sides)
-    WHERE (CASE WHEN before THEN m.start > 0 OR place <= {_WINDOW} ELSE m.start > 0 END) AND m.start + length(m.v) < size
-), joint AS (SELECT term, entity, count(DISTINCT doc_id) AS n_te FROM context GROUP BY term, entity HAVING count(DISTINCT doc_id) >= {pii.SUPPORT}),
-words AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM d),
-counts AS (SELECT term, count(*) AS n_t FROM words WHERE term IN (SELECT term FROM joint) GROUP BY term),
-shares AS (
-    SELECT joint.term, joint.entity, log2(n_te * n / (n_t * n_e)) / log2(n / n_e) AS share
-    FROM joint JOIN entities USING (entity) JOIN counts USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d) WHERE n_e < n
-), told AS (SELECT doc_id, start, stop, max(CASE WHEN share >= {pii.REMOVE} THEN 'term_removed' ELSE 'term' END) AS kind FROM context JOIN shares USING (term, entity) WHERE share >= {pii.GENERALISE} GROUP BY doc_id, start, stop),
-every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT doc_id, CASE kind WHEN 'term' THEN 4 ELSE 5 END, kind, start, stop FROM told),
+words AS (SELECT DISTINCT doc_id, hash, lower(w) AS term FROM (SELECT doc_id, hash, unnest(regexp_split_to_array(regexp_replace(t, '{_PII_SQL["email"][0]}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM d) WHERE regexp_matches(w, '\\p{{L}}')),
+held AS (SELECT DISTINCT d.doc_id, d.hash, kind, entity FROM d JOIN (SELECT doc_id, kind, {_ENTITY} AS entity FROM base UNION ALL SELECT doc_id, kind, {_CLASS} FROM base) AS e ON e.doc_id = d.doc_id),
+kinds AS (SELECT kind, count(DISTINCT doc_id) AS n_k FROM held GROUP BY kind),
+entities AS (SELECT entity, held.kind, any_value(n_k) AS n_k, count(DISTINCT doc_id) AS n_e, count(DISTINCT hash) AS d_e FROM held JOIN kinds ON kinds.kind = held.kind GROUP BY entity, held.kind HAVING count(DISTINCT hash) >= 2 AND count(DISTINCT doc_id) < any_value(n_k)),
+counts AS (SELECT term, count(*) AS n_t FROM words GROUP BY term),
+joint AS (
+    SELECT term, held.entity, held.kind, any_value(n_k) AS n_k, any_value(n_e) AS n_e, any_value(d_e) AS d_e, count(*) AS n_te, count(DISTINCT words.hash) AS d_te
+    FROM words JOIN held ON held.doc_id = words.doc_id JOIN entities ON entities.entity = held.entity GROUP BY term, held.entity, held.kind HAVING count(DISTINCT words.hash) >= 2
+), of_kind AS (
+    SELECT term, kind, count(*) AS n_tk FROM words JOIN (SELECT DISTINCT doc_id, kind FROM held) AS h ON h.doc_id = words.doc_id GROUP BY term, kind
+), rated AS (
+    SELECT joint.*, n_t, n, d_te / d_e AS q, n_t / n AS p, least(log2(n_te * n / (n_t * n_e)) / log2(n / n_e), log2(n_te * n_k / (n_tk * n_e)) / log2(n_k / n_e)) AS share
+    FROM joint JOIN counts ON counts.term = joint.term JOIN of_kind ON of_kind.term = joint.term AND of_kind.kind = joint.kind, total
+), told AS (
+    SELECT term, max(share) AS share FROM rated
+    WHERE share >= {pii.GENERALISE} AND q > p AND n_t <= n * pow(n_e / n, {pii.GENERALISE})
+      AND d_e * (q * log2(q / p) + CASE WHEN q < 1 THEN (1 - q) * log2((1 - q) / (1 - p)) ELSE 0 END) >= log2(n) + {pii.EVIDENCE} GROUP BY term
+), places AS (
+    SELECT doc_id, m.start AS start, m.start + length(m.v) AS stop, lower(m.v) AS term
+    FROM (SELECT doc_id, {_matches_sql("t", "[\\p{L}\\p{N}]+")} AS m FROM d WHERE doc_id IN (SELECT doc_id FROM words WHERE term IN (SELECT term FROM told)))
+), found AS (
+    SELECT places.doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, CASE WHEN share >= {pii.REMOVE} THEN 'term_removed' ELSE 'term' END AS kind FROM places JOIN told ON told.term = places.term
+    WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = places.doc_id AND base.start < places.stop AND places.start < base.stop)
+), every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT doc_id, CASE kind WHEN 'term' THEN 4 ELSE 5 END, kind, start, stop FROM found),
 joined AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans, string_agg(CASE WHEN rank < 4 THEN kind || ':' || start || ':' || stop END, ',' ORDER BY start, rank) AS base,
     count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone FROM every GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

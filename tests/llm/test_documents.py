@@ -231,24 +231,53 @@ def test_pii_base_spans(spark, docs, odd):
     assert all(sum((r.n_email, r.n_ip, r.n_card, r.n_phone)) == len([x for x in r.spans.split(",") if x and not x.startswith("term")]) for r in got)
 
 
+def telling(common=200):
+    """(texts, told terms): a person who goes with one address, a firm that goes with its domain, one that goes with it mostly, and cue words."""
+    rng = np.random.default_rng(0)
+    filler = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    some = lambda: " ".join(rng.choice(filler, 12))
+    texts = [f"zorblax wrote to joe.q@corp.example about {some()} {i}" for i in range(6)]
+    texts += [f"please mail member{i}@quuxdom.example as the quuxcorp staff say {some()}" for i in range(8)] + ["what quuxcorp makes " + some()]
+    texts += [f"please mail someone{i}@site{i}.example for {some()}" for i in range(60)]
+    texts += [f"norblin please mail ann@firm.example {some()} {i}" for i in range(8)] + [f"norblin sells {some()}" for _ in range(8)]
+    return texts + [some() for _ in range(common)] + ["please read " + some() for _ in range(20)]
+
+
 def test_pii_disclosure(spark):
-    """A word that goes with one address alone is taken out, one that goes with it mostly is generalised, common ones stay."""
-    texts = [f"zorblax wrote to joe.q@corp.example about the plan {i}" for i in range(4)] + ["the plan of norblin"] * 2
-    texts += [f"mail norblin at ann@corp.example for the plan {i}" for i in range(4)] + [f"the and of plan number {i}" for i in range(200)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    """Terms that tell an address or whose firm's it is are taken out wherever they stand, those that tell it mostly are generalised, cue words and common ones stay."""
+    texts = telling()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert len(clean) == len(texts)
-    assert clean[0] == "  to [EMAIL]  the plan 0".replace("  to", "  ", 1) or "zorblax" not in clean[0]
-    assert "[EMAIL]" in clean[0] and "joe" not in clean[0] and "plan" in clean[0]
-    assert "[TERM]" in clean[6] and "norblin" not in clean[6]
-    assert clean[4] == texts[4] and clean[20] == texts[20]
+    whole = " ".join(clean.values())
+    for term in ("zorblax", "quuxcorp", "norblin"):
+        assert term not in whole
+    assert "[EMAIL]" in clean[0] and "joe" not in clean[0] and "wrote" not in clean[0]
+    assert clean[14].startswith("what  makes")
+    generalised = [t for t in clean.values() if t.startswith("[mail] please mail [EMAIL]")]
+    assert len(generalised) == 8 and all(clean[i].startswith("[mail] sells") for i in range(83, 91))
+    for i, text in enumerate(texts):
+        if i >= 91:
+            assert clean[i] == text
+        assert clean[i].count("mail ") == text.count("mail ") and clean[i].count("please ") == text.count("please ")
     found = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
-    assert "term_removed:0:7" in found[0].split(",") and found[20] == ""
-    # the same by brute force: documents with both, against documents with either
-    n = len(texts)
-    both, t, e = 4, 6, 4
-    share = math.log2(both * n / (t * e)) / math.log2(n / e)
-    assert pii.GENERALISE <= share < pii.REMOVE
+    assert "term_removed:0:7" in found[0].split(",") and found[84] == "term:0:7" and found[100] == ""
+    # terms joined by a shuffle give the same
+    few = {r.doc_id: r.spans for r in pii.find_pii(docs, broadcast_terms=0).collect()}
+    assert few == found
+
+
+def test_pii_of_many_values(spark):
+    """Positions cost a little more than the number of values."""
+    import time
+
+    took = []
+    for n in (2000, 2000, 8000):
+        docs = spark.createDataFrame([(1, " ".join(f"user{i}@host.org text" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert pii.find_pii(docs).first().n_email == n
+        took.append(time.time() - began)
+    assert took[2] < 5 * took[1] + 1
 
 
 def test_pii_edges(spark, odd):

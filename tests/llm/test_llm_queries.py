@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from cairn.llm import queries
+from tests.llm.test_documents import telling
 from tests.test_queries import duck, rows  # noqa: F401
 
 
@@ -24,11 +25,10 @@ def test_pii_sql_finds_disclosing_terms(spark):
 
     from cairn.llm import pii
 
-    texts = [f"zorblax wrote to joe.q@corp.example about the plan {i}" for i in range(4)] + ["the plan of norblin"] * 2 + [f"mail norblin at ann@corp.example for the plan {i}, or 1.2.3.4 norblin" for i in range(4)]
-    texts += [f"the and of plan number {i}" for i in range(200)] + ["1.2.3.4.5.6.7.8 256.1.1.1 4111 1111 1111 1111 +1 (555) 555-1234 é a@b.c_d@e.f"]
+    texts = telling() + ["1.2.3.4.5.6.7.8 256.1.1.1 4111 1111 1111 1111 +1 (555) 555-1234 é a@b.c_d@e.f"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     connection = duckdb.connect()
     connection.register("documents", docs.toPandas())
     got = pii.find_pii(docs).toPandas()
-    assert got["spans"].str.contains("term").sum() == 8
+    assert got["spans"].str.contains("term").sum() == 31
     assert rows(got) == rows(connection.sql(queries.ORACLE_SQL["op4_pii"]).df())
