@@ -191,7 +191,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = ", ".join(f"('{name}', {number}, '{word}', {n})" for name, number, word, n in licenses.template_words())
-_TRIM = "' ' || chr(9) || chr(10) || chr(13)"
+_SIZES = ", ".join(f"({size}, {step})" for size, step in licenses.window_sizes())
+_SPLIT = f"list_filter(regexp_split_to_array(lower(%s), '{licenses.WORD}'), lambda x: x <> '')"
 ORACLE_SQL["op8_licenses"] = f"""
 WITH t(licence, template, word, n) AS (VALUES {_WORDS}),
 total AS (SELECT count(*) AS n FROM documents),
@@ -202,11 +203,16 @@ weighted AS (SELECT licence, t.template, t.word, t.n * idf / norm AS weight FROM
 d AS (
     SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(CAST(doc_id // 1000 AS VARCHAR), 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none')) AS dir,
            coalesce(CAST(doc_id AS VARCHAR), 'none') AS name, text FROM documents
-), units AS (
-    SELECT DISTINCT doc_id, dir, trim(u, {_TRIM}) AS unit FROM (SELECT doc_id, dir, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t]*\\n'))) AS u FROM d)
-    WHERE regexp_matches(u, '{licenses.NOTICE}')
+), gated AS (SELECT doc_id, dir, text, {_SPLIT % "text"} AS w FROM d WHERE regexp_matches(text, '{licenses.NOTICE}')),
+placed AS (SELECT *, list_filter(range(len(w)), lambda i: regexp_matches(w[i + 1], '{licenses.NOTICE_WORD}')) AS pos FROM gated),
+units AS (
+    SELECT DISTINCT doc_id, dir, array_to_string(u, ' ') AS unit FROM (
+        SELECT doc_id, dir, {_SPLIT % "u"} AS u FROM (SELECT doc_id, dir, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t]*\\n'))) AS u FROM gated) WHERE regexp_matches(u, '{licenses.NOTICE}')
+        UNION ALL SELECT doc_id, dir, w[b + 1:b + size] FROM (
+            SELECT doc_id, dir, w, size, unnest(list_distinct(flatten(list_transform(pos, lambda p: list_transform(range(greatest(0, CAST(ceil((p - size + 1) / step) AS BIGINT)), p // step + 1), lambda k: k * step))))) AS b
+            FROM placed, (VALUES {_SIZES}) AS sizes(size, step)))
 ), words AS (
-    SELECT unit, word, count(*) AS n FROM (SELECT unit, unnest(regexp_split_to_array(lower(unit), '{licenses.WORD}')) AS word FROM (SELECT DISTINCT unit FROM units) WHERE len(string_split(unit, ' ')) <= {licenses.MAX_UNIT_WORDS}) WHERE word <> '' GROUP BY unit, word
+    SELECT unit, word, count(*) AS n FROM (SELECT unit, unnest(string_split(unit, ' ')) AS word FROM (SELECT DISTINCT unit FROM units)) WHERE word <> '' GROUP BY unit, word
 ), valued AS (SELECT unit, words.word, words.n * coalesce(idf, ln((total.n + 1) / 2) + 1) AS v FROM words LEFT JOIN idf ON idf.word = words.word, total),
 lengths AS (SELECT unit, sqrt(sum(v * v)) AS norm FROM valued GROUP BY unit),
 scored AS (SELECT unit, licence, round(sum(v * weight) / any_value(norm), 6) AS score FROM valued JOIN weighted USING (word) JOIN lengths USING (unit) GROUP BY unit, licence, template),

@@ -385,6 +385,42 @@ def test_licenses(spark, docs):
     assert named == want
 
 
+def test_license_notices_within_other_text(spark):
+    """A notice on a line with other words, in an unbroken text and in a paragraph of thousands of words."""
+    filler = " ".join(f"word{i % 700}" for i in range(3000))
+    mit = licenses.TEMPLATES["MIT"][-1]
+    texts = {
+        1: ("Copyright (c) 2020 Jane Doe. Released under the MIT License.", "MIT"),
+        2: ("foo.js v1.2 | Released under the MIT License.", "MIT"),
+        3: ("Licensed under the Apache License, Version 2.0. Copyright 2020 Acme Corp.", "Apache-2.0"),
+        4: (f"{filler} {mit} {filler}", "MIT"),
+        5: (" ".join([mit] * 5), "MIT"),
+        6: (f"{filler} Licensed under CC BY-NC 4.0. {filler}", "CC-BY-NC-4.0"),
+        7: (" ".join(["license"] * 5000), None),
+        8: (f"all about the licensing of radio stations, copyright and warranties {filler}", None),
+        9: (licenses.TEMPLATES["BSD-3-Clause"][-1].upper(), "BSD-3-Clause"),
+    }
+    table = spark.createDataFrame([(i, t, f"d{i}/f") for i, (t, _) in texts.items()], "doc_id long, text string, path string")
+    got = {r.doc_id: r.licence for r in licenses.scan_licenses(table, path=F.col("path")).collect()}
+    assert got == {i: licence for i, (_, licence) in texts.items()}
+
+
+def test_licenses_of_odd_rows(spark, odd):
+    """Rows that share an id keep their own licences; nulls, repeats and clashing columns are rows like any other."""
+    rows = [(5, "Released under the MIT License.", "a/x"), (5, "this license is nobody's", "b/x"), (5, "Licensed under the Apache License, Version 2.0.", "c/x"), (5, "Released under the MIT License.", "a/x"), (None, "Licensed under CC BY 4.0.", "d/x"), (6, None, "a/y"), (None, "", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, path string").selectExpr("*", "1 as `key`", "2 as licence", "3 as held", "4 as unit")
+    got = sorted((str(r.doc_id), r.path or "", r.licence or "", r.origin) for r in licenses.scan_licenses(table, path=F.col("path")).collect())
+    want = [("5", "a/x", "MIT", "notice"), ("5", "a/x", "MIT", "notice"), ("5", "b/x", "", "none"), ("5", "c/x", "Apache-2.0", "notice"), ("6", "a/y", "MIT", "inherited"), ("None", "", "", "none"), ("None", "d/x", "CC-BY-4.0", "notice")]
+    assert got == sorted(want)
+    assert licenses.scan_licenses(odd).count() == odd.count()
+
+
+def test_every_template_passes_the_gate():
+    for texts in licenses.TEMPLATES.values():
+        for text in texts:
+            assert re.search(licenses.NOTICE, text) and any(re.search(licenses.NOTICE_WORD, w) for w in re.split(licenses.WORD, text.lower()))
+
+
 def mixed(rows, share=mixing.BUDGET_SHARE, most=mixing.MAX_EPOCHS):
     """Brute-force mixing: {(id, epoch): times}."""
     words = lambda t: len([w for w in re.split("[ \t\n\r\f\x0b]+", t or "") if w])
@@ -433,6 +469,16 @@ def test_mixing(spark, docs, odd):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_clashing_columns(spark, docs):
+    """A column of the documents with the name of an added one is replaced; where none is added it stays."""
+    table = docs.selectExpr("*", "'own' as MIX_domain", "7 as mix_epoch", "8 as tokens")
+    got = mixing.mix(table)
+    assert got.columns == [*docs.columns, "tokens", "mix_domain", "mix_tokens", "mix_epoch"]
+    assert Counter((r.doc_id, r.mix_epoch) for r in got.collect()) == mixed(docs.collect())
+    plain = mixing.mix(table, added=())
+    assert plain.columns == table.columns and {r.MIX_domain for r in plain.collect()} == {"own"}
+
+
 def test_mixing_by_shuffle(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
     assert Counter((r.doc_id, r.mix_epoch) for r in mixing.mix(docs).collect()) == mixed(docs.collect())

@@ -70,6 +70,16 @@ def test_repeated_and_null_ids(spark):
     assert got == sorted([(4, 3, 4), (4, 3, 4), (None, 3, 4), (9, 3, 4), (2, 0, 2), (None, 0, None)], key=str)
 
 
+def test_ids_of_different_vectors(spark):
+    """Rows that share an id but not the vector have counts of their own."""
+    rows = planted()[:310]
+    ids = [i // 3 for i in range(len(rows))]
+    table = spark.createDataFrame(list(zip(ids, rows, strict=True)), "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links) for r in embed_dedup.near_duplicate_vectors(table).collect())
+    want = sorted((i, n) for i, n, _ in brute_links(ids, rows))
+    assert sum(g != w for g, w in zip(got, want, strict=True)) <= 2
+
+
 @pytest.mark.parametrize(("n", "d", "low", "high"), [(1, 3, -5, 5), (70, 8, -200, 200), (300, 64, -150, 150), (200, 4, -2, 2), (65, 5, -(2**40), 2**40), (50, 2, 7, 8)])
 def test_block_search(n, d, low, high):
     rng = np.random.default_rng(n)
