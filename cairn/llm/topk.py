@@ -4,13 +4,17 @@ Index. Rows are cut into blocks of at most ``BLOCK_ROWS``. A block keeps, for ea
 attribute, its least value and one bitmap per bit of what exceeds it: bit r of the bitmap
 is that bit in row r.
 
+Dealing. Blocks stay where they are dealt and are met by the queries, which are few and
+small: a batch of queries is a row, sent once to every block. A task reads its block first
+and then one batch after the other, so it holds one block and one batch, and what is
+shuffled is the index once and the queries once for each block.
+
 Search. A query's scores over a block are one bit-sliced number: for every set bit of a
 weight the attribute's slices, shifted, are added by bitmap arithmetic (for negative
 weights the complemented slices). The best k rows are then found from the most significant
 slice downward, keeping the rows that are certainly in and those still level; the rows
 level to the end are the boundary and are resolved by id. Chosen rows get their exact
-integer score. Every query meets every block of its length once, in batches; each task
-holds one block and one batch of queries, and only k rows per query and block leave it.
+integer score. Only k rows per query and block leave a task.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import checkpoint
+from cairn.session import checkpoint, text_batches
 
 SCALE = 256
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 131_072
+#: Smaller blocks are made, down to so many rows, to have one for every core.
+LEAST_ROWS = 1024
 QUERY_BATCH = 128
 LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -141,12 +147,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     last. Fewer than k rows give all. Vectors that are null or hold null or non-finite
     components take no part; vectors meet those of their own length only. Rows that share
     the query's id are left out; repeated query rows are searched once, and a repeated
-    candidate counts as often as it occurs. A score beyond a long is given as the nearest
+    candidate counts as often as it occurs. A floor or a score beyond a long is the nearest
     long. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    text_batches(spark)  # a row is a block or a batch of queries
     rows = quantised(vectors, id_col, vec_col, scale)
     n = rows.count()
+    block_rows = min(block_rows, max(LEAST_ROWS, -(-n // spark.sparkContext.defaultParallelism)))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[pd.DataFrame]] = {}
@@ -174,28 +182,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
             made += 1
 
     blocks = checkpoint(rows.repartition(max(1, -(-n // block_rows))).mapInPandas(index, _BLOCK))
-    placed: dict[int, list[int]] = {}
-    for r in blocks.select("dims", "block").collect():
-        placed.setdefault(r["dims"], []).append(r["block"])
     queries = rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).distinct().withColumn("dims", F.size("vec"))
     batches = max(1, -(-queries.count() // query_batch))
-    queries = queries.withColumn("batch", F.pmod(F.xxhash64("id", "vec"), F.lit(batches)).cast("int"))
-    where = spark.createDataFrame([(d, b) for d, own in placed.items() for b in own], "dims int, block long")
-    asked = queries.join(where, "dims")
-    stored = blocks.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-
-    def search(key: tuple, block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(block) and len(own):
-            b = Block(*(block[c].iloc[0] for c in ("ids", "base", "widths", "slices")))
-            for query_id, vec in zip(own["id"].tolist(), own["vec"], strict=True):
-                weights = [int(x) for x in vec]
-                for row in b.best(query_id, weights, k):
-                    score = sum(x * y for x, y in zip(weights, b.values(row), strict=True))
-                    out.append((query_id, hash(tuple(weights)), b.ids[row], min(max(score, LONG[0]), LONG[1])))
-        return pd.DataFrame(out, columns=["query_id", "version", "vec_id", "score"]).astype({"vec_id": "Int64"})
-
-    found = stored.groupBy("block", "batch").cogroup(asked.groupBy("block", "batch")).applyInPandas(search, "query_id long, version long, vec_id long, score long")
+    asked = queries.groupBy("dims", F.pmod(F.xxhash64("id", "vec"), F.lit(batches)).alias("batch")).agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vec")).alias("weights"))
+    # a row for each block: a 131,072nd of the vectors
+    sent = asked.join(F.broadcast(blocks.select("dims", "block")), "dims").select("block", F.lit(1).alias("turn"), "query_ids", "weights")
+    stream = blocks.withColumn("turn", F.lit(0)).unionByName(sent, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "turn")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = None
+        for frame in frames:
+            for row in frame.itertuples():
+                if row.turn == 0:
+                    block = Block(row.ids, row.base, row.widths, row.slices)
+                    continue
+                out = []
+                for query_id, vec in zip(row.query_ids, np.reshape(row.weights, (len(row.query_ids), -1)), strict=True):
+                    weights = [int(x) for x in vec]
+                    for at in block.best(query_id, weights, k):
+                        score = sum(x * y for x, y in zip(weights, block.values(at), strict=True))
+                        out.append((query_id, hash(tuple(weights)), block.ids[at], min(max(score, LONG[0]), LONG[1])))
+                yield pd.DataFrame(out, columns=["query_id", "version", "vec_id", "score"]).astype({"vec_id": "Int64"})
+
+    found = stream.mapInPandas(search, "query_id long, version long, vec_id long, score long")
     order = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
