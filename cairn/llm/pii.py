@@ -19,11 +19,12 @@ are found most often among those that are more frequent and tell nothing.
 Evidence. A share counts if chance does not explain it: by Chernoff's bound, d texts with e
 of which a share q hold t have d * KL(q || p(t)) bits of evidence. log2 of the documents
 plus ``EVIDENCE`` bits are asked for. One text can't have that many, so entities and pairs
-found in one text only are left out before pairs are made, as are terms too frequent to
-reach the share. Exact copies count in the p, not in the evidence.
+found in one text only are left out, as are terms too frequent to reach the share. Exact
+copies count in the p, not in the evidence.
 
-Everything is DataFrame operations; the patterns run once over the texts, the terms are
-counted in a second pass, and a third one places the terms that tell, if there are any.
+Everything is DataFrame operations. The patterns run once over the texts; the words of all
+texts are counted in a second pass, for the terms that may tell by what the documents with
+values say, and a third pass places those that do. Both are left out where there are none.
 """
 
 from __future__ import annotations
@@ -139,10 +140,14 @@ def _beside(small: DataFrame, limit: int) -> DataFrame:
 
 
 def told_terms(held: DataFrame, texts: DataFrame, total: int, evidence: float, generalise: float, remove: float, broadcast_terms: int) -> DataFrame | None:
-    """(term, kind, class): the terms that tell, of the documents (text_hash, base, terms) with values; None if no entity is in two texts.
-
-    texts (text) are all documents, ``total`` of them. A held document has as many pairs of a
-    term and an entity as its own words and values make, after both are pruned.
+    """(term, kind, class): the terms that tell, of the documents (text_hash, base, terms) with values; None if none can.
+
+    texts (text) are all documents, ``total`` of them; their words are counted only for terms
+    whose share among the documents with the entity's kind is high enough, and for which
+    the evidence would be if no other document held them. Both follow from the held
+    documents alone, so nothing is lost. A held document has as many pairs of a term and an
+    entity as its own words and values make, after terms too frequent for the entity's
+    share are left out.
     """
     held = held.withColumn("entities", _entities()).groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.any_value("terms").alias("terms"), F.any_value("entities").alias("entities"))
     held = checkpoint(held.withColumn("kinds", F.expr("array_distinct(transform(entities, e -> regexp_extract(e, '^([a-z]+)', 1)))")))
@@ -153,28 +158,37 @@ def told_terms(held: DataFrame, texts: DataFrame, total: int, evidence: float, g
         return None
     named = held.select("text_hash", F.explode("entities").alias("entity")).join(entities, "entity")
     named = named.groupBy("text_hash").agg(F.collect_list(F.struct("entity", "of", "n_e", "d_e", "n_k")).alias("named"))
-    known = checkpoint(held.join(named, "text_hash"))
-    heard = checkpoint(known.select(F.explode("terms").alias("term")).groupBy("term").count().where("count >= 2").select("term"))
-    beside = _beside(heard, broadcast_terms)
-    counts = checkpoint(texts.select(F.explode(terms_of("text")).alias("term")).join(beside, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    of_kind = held.select("copies", F.explode("terms").alias("term"), "kinds").join(beside, "term", "left_semi").select("copies", "term", F.explode("kinds").alias("of")).groupBy("term", "of").agg(F.sum("copies").alias("n_tk"))
-    n = F.lit(float(total))
-    words = known.select("copies", F.explode("terms").alias("term"), "named").join(_beside(counts, broadcast_terms), "term")
-    rare = F.filter("named", lambda e: F.col("n_t") <= n * F.pow(e["n_e"] / n, F.lit(generalise)))
-    pairs = words.select("copies", "term", "n_t", F.explode(rare).alias("e")).select("copies", "term", "n_t", "e.*")
-    joint = pairs.groupBy("term", "n_t", "entity", "of", "n_e", "d_e", "n_k").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("d_te")).where("d_te >= 2").join(of_kind, ["term", "of"])
-    everywhere = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    known = checkpoint(held.join(named, "text_hash").select("copies", "terms", "named"))
+    heard = held.select("copies", "kinds", F.explode("terms").alias("term")).groupBy("term")
+    heard = heard.agg(F.count(F.lit(1)).alias("d_t"), F.sum("copies").alias("n_h"), *(F.sum(F.when(F.array_contains("kinds", k), F.col("copies")).otherwise(0)).alias(f"n_{k}") for k in KINDS)).where("d_t >= 2")
+    heard = checkpoint(heard.drop("d_t"))
+    of_kind = lambda e: F.coalesce(*(F.when(e["of"] == k, F.col(f"n_{k}")) for k in KINDS))
+    words = known.select("copies", F.explode("terms").alias("term"), "named").join(_beside(heard, broadcast_terms), "term")
+    rare = F.filter("named", lambda e: of_kind(e) <= e["n_k"] * F.pow(e["n_e"] / e["n_k"], F.lit(generalise)) * (1 + 1e-9))
+    pairs = words.select("copies", "term", F.explode(F.transform(rare, lambda e: F.struct(*(e[c].alias(c) for c in ("entity", "of", "n_e", "d_e", "n_k")), of_kind(e).alias("n_tk")))).alias("e")).select("copies", "term", "e.*")
+    joint = pairs.groupBy("term", "entity", "of", "n_e", "d_e", "n_k", "n_tk").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("d_te")).where("d_te >= 2")
+    n, q = F.lit(float(total)), F.col("d_te") / F.col("d_e")
     among = F.log2(F.col("n_te") * F.col("n_k") / (F.col("n_tk") * F.col("n_e"))) / F.log2(F.col("n_k") / F.col("n_e"))
-    q, p = F.col("d_te") / F.col("d_e"), F.col("n_t") / n
-    bits = F.col("d_e") * (q * F.log2(q / p) + F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0))
-    shares = joint.withColumn("share", F.least(everywhere, among)).where((F.col("share") >= generalise) & (q > p) & (bits >= F.log2(n) + evidence))
-    told = checkpoint(shares.groupBy("term").agg(F.max("share").alias("share"), F.any_value("n_t").alias("n_t")))
-    # the class: what the term is found with most often, of the more frequent terms that tell nothing
-    vague = held.select("text_hash", "copies", F.explode("terms").alias("term")).join(_beside(told.where(F.col("share") < remove), broadcast_terms), "term")
-    beside_it = vague.select("text_hash", "copies", "term", "n_t").join(held.select("text_hash", "terms"), "text_hash").select("copies", "term", "n_t", F.explode("terms").alias("other"))
-    classes = counts.select(F.col("term").alias("other"), F.col("n_t").alias("n_o")).join(told.select(F.col("term").alias("other")), "other", "left_anti")
-    classes = beside_it.join(classes, "other").where("n_o > n_t").groupBy("term", "other", "n_o").agg(F.sum("copies").alias("n"))
-    classes = classes.groupBy("term").agg(F.max(F.struct("n", (-F.col("n_o")).alias("minus"), "other")).alias("m")).select("term", F.col("m.other").alias("class"))
+
+    def proven(n_t: str) -> Column:
+        p = F.col(n_t) / n
+        bits = F.col("d_e") * (q * F.log2(q / p) + F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0))
+        return (q > p) & (bits >= F.log2(n) + evidence)
+
+    joint = checkpoint(joint.withColumn("among", among).where((F.col("among") >= generalise) & proven("n_tk")))
+    if joint.isEmpty():
+        return None
+    beside = _beside(checkpoint(joint.select("term").distinct()), broadcast_terms)
+    counts = texts.select(F.explode(terms_of("text")).alias("term")).join(beside, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    everywhere = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    shares = joint.join(counts, "term").withColumn("share", F.least(everywhere, "among")).where((F.col("share") >= generalise) & proven("n_t"))
+    told = checkpoint(shares.groupBy("term").agg(F.max("share").alias("share")))
+    # the class: what the term is found with most often beside values, of the more frequent terms there that tell nothing; the rarest of these, then the first by name
+    vague = _beside(told.where(F.col("share") < remove).select("term").join(heard.select("term", "n_h"), "term"), broadcast_terms)
+    beside_it = held.select("text_hash", F.explode("terms").alias("term")).join(vague, "term").join(held.select("text_hash", "copies", "terms"), "text_hash").select("copies", "term", "n_h", F.explode("terms").alias("other"))
+    others = heard.select(F.col("term").alias("other"), F.col("n_h").alias("n_o")).join(told.select(F.col("term").alias("other")), "other", "left_anti")
+    classes = beside_it.join(others, "other").where("n_o > n_h").groupBy("term", "other", "n_o").agg(F.sum("copies").alias("n"))
+    classes = classes.groupBy("term").agg(F.min(F.struct((-F.col("n")).alias("minus"), "n_o", "other")).alias("m")).select("term", F.col("m.other").alias("class"))
     kind = F.when(F.col("share") >= remove, F.lit("term_removed")).otherwise(F.lit("term"))
     return checkpoint(told.join(classes, "term", "left").select("term", kind.alias("kind"), F.concat(F.lit("["), F.coalesce("class", F.lit("TERM")), F.lit("]")).alias("class")))
 

@@ -102,7 +102,7 @@ joint AS (
     FROM joint JOIN counts ON counts.term = joint.term JOIN of_kind ON of_kind.term = joint.term AND of_kind.kind = joint.kind, total
 ), told AS (
     SELECT term, max(share) AS share FROM rated
-    WHERE share >= {pii.GENERALISE} AND q > p AND n_t <= n * pow(n_e / n, {pii.GENERALISE})
+    WHERE share >= {pii.GENERALISE} AND q > p
       AND d_e * (q * log2(q / p) + CASE WHEN q < 1 THEN (1 - q) * log2((1 - q) / (1 - p)) ELSE 0 END) >= log2(n) + {pii.EVIDENCE} GROUP BY term
 ), places AS (
     SELECT doc_id, m.start AS start, m.start + length(m.v) AS stop, lower(m.v) AS term
