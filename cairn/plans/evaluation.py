@@ -38,7 +38,7 @@ def pair_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = cosine_edges(spark, sf_dir).select("first", "second", "left_id", "right_id")
     ends = edges.join(f.select(F.col("row_id").alias("first"), F.col("feature_id").alias("left_id"), F.col("x").alias("x1"), F.col("y").alias("y1")), ["first", "left_id"])
     ends = ends.join(f.select(F.col("row_id").alias("second"), F.col("feature_id").alias("right_id"), F.col("x").alias("x2"), F.col("y").alias("y2")), ["second", "right_id"])
-    return epipolar.verify_pairs(ends, threshold=3.0, samples=60)
+    return epipolar.verify_pairs(ends, threshold=3.0)
 
 
 @query(
@@ -165,12 +165,12 @@ def final_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT l_partkey, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_partkey < 200 GROUP BY l_partkey)
+    """WITH p AS (SELECT l_partkey, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY l_partkey)
 SELECT a.l_partkey AS first, b.l_partkey AS second, len(list_intersect(a.s, b.s)) AS shared FROM p AS a JOIN p AS b ON a.l_partkey + 1 = b.l_partkey WHERE list_has_any(a.s, b.s)"""
 )
 def overlapping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring tracks whose sets overlap, by a join of their elements."""
-    s = table(spark, sf_dir, "lineitem").where("l_partkey < 200").select("l_partkey", "l_suppkey").distinct()
+    s = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     b = s.select((F.col("l_partkey") - 1).alias("l_partkey"), "l_suppkey")
     both = s.join(b, ["l_partkey", "l_suppkey"]).groupBy(F.col("l_partkey").alias("first")).agg(F.count(F.lit(1)).alias("shared"))
     return both.select("first", (F.col("first") + 1).alias("second"), "shared")
@@ -224,11 +224,11 @@ def composed_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, l_partkey, p_size, round(CAST(l_quantity AS DOUBLE) / p_size, 6) AS inverse_depth FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND p_size > 1e-6 AND l_orderkey % 5 = 0"""
+    """SELECT l_orderkey, l_partkey, p_size, round(CAST(l_quantity AS DOUBLE) / p_size, 6) AS inverse_depth FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND p_size > 1e-6"""
 )
 def depth_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inlier observations of landmarks in front of the camera."""
-    seen = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") != "R") & (F.pmod("l_orderkey", F.lit(5)) == 0)).select("l_orderkey", F.col("l_partkey"), F.col("l_quantity").cast("double").alias("q"))
+    seen = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "R").select("l_orderkey", F.col("l_partkey"), F.col("l_quantity").cast("double").alias("q"))
     marks = table(spark, sf_dir, "part").where("p_size > 1e-6").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     return seen.join(marks, "l_partkey").select("l_orderkey", "l_partkey", "p_size", F.round(F.col("q") / F.col("p_size"), 6).alias("inverse_depth"))
 

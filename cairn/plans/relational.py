@@ -15,18 +15,16 @@ from cairn.session import table
 # Joins
 
 
-@query("SELECT l_orderkey, l_linenumber, p_partkey, p_brand, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey BETWEEN 100 AND 2000")
+@query("SELECT l_orderkey, l_linenumber, p_partkey, p_brand, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey")
 def observation_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations of a range of frames with their landmarks."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey").between(100, 2000))
-    return lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_partkey", "p_brand", "l_quantity")
+    """Observations with their landmarks."""
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_partkey", "p_brand", "l_quantity")
 
 
-@query("SELECT l_partkey, o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 97 = 3")
+@query("SELECT l_partkey, o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def landmark_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frames in which chosen landmarks were seen."""
-    lines = table(spark, sf_dir, "lineitem").where(F.pmod("l_partkey", F.lit(97)) == 3)
-    return lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"), "l_linenumber")
+    """The frames in which each landmark was seen."""
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"), "l_linenumber")
 
 
 @query("SELECT n_nationkey, n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_nationkey, n_name")
@@ -37,14 +35,12 @@ def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH seen AS (SELECT DISTINCT l_partkey AS landmark, l_orderkey AS frame FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 7))
+    """WITH seen AS (SELECT DISTINCT l_partkey AS landmark, l_orderkey AS frame FROM lineitem)
 SELECT landmark, frame, list(frame) OVER (PARTITION BY landmark ORDER BY frame RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS trail FROM seen"""
 )
 def landmark_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the landmarks of one frame, each sighting with those of the 500 frames up to it."""
-    lines = table(spark, sf_dir, "lineitem")
-    chosen = lines.where("l_orderkey = 7").select("l_partkey").distinct()
-    seen = lines.join(chosen, "l_partkey", "left_semi").select(F.col("l_partkey").alias("landmark"), F.col("l_orderkey").alias("frame")).distinct()
+    """Each sighting of a landmark with those of the 500 frames up to it."""
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("landmark"), F.col("l_orderkey").alias("frame")).distinct()
     w = Window.partitionBy("landmark").orderBy("frame").rangeBetween(-500, 0)
     return seen.withColumn("trail", F.sort_array(F.collect_list("frame").over(w)))
 
