@@ -21,6 +21,8 @@ KEPT = 600_000
 
 #: White space beyond the ASCII kinds, and the separators on which Python and the tokenizers disagree.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A space before more white space.
+_RUN = re.compile(" [ \n\t\r\x0b\x0c]")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Letters beyond extended Latin, and the one dotted I that lowers to two characters.
 _WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
@@ -73,15 +75,16 @@ class Encoder:
             self.old, self.known = known, {}
             known = self.known
         old, words, others, marked = self.old, set(), [], []
+        lowers, marked_as = not self.keeps_space, _MARKED
         for c in chunks.difference(known):
             ids = old.get(c)
             if ids is not None:
                 known[c] = ids
-            elif "\u0130" in c:  # lowers to two characters, the second of which joins what follows
+            elif lowers and "\u0130" in c:  # lowers to two characters, the second of which joins what follows
                 others.append(c)
             elif c.isalpha():
                 words.add(c)
-            elif (m := _MARKED(c)) and m[1].isalpha():
+            elif (m := marked_as(c)) and m[1].isalpha():
                 marked.append((c, m[1], m[2]))
                 if m[1] not in known:
                     words.add(m[1])
@@ -104,7 +107,7 @@ class Encoder:
             # the file's normaliser lowers too; beyond these letters it may do so in another way
             return None if _SEPARATORS.search(text) else text.split() if _WIDE.search(text) else text.lower().split()
         # a space that is followed by more white space belongs to a run that is split otherwise
-        if text[-1:] == " " or "  " in text or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text or _ODD.search(text):
+        if text[-1:] == " " or _RUN.search(text) or (_SEPARATORS if text.isascii() else _ODD).search(text):
             return None
         return text.split(" ")
 
