@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import checkpoint
+
 
 def neighbourhood_mean(cells: DataFrame, by: list[str], reach: int = 1) -> DataFrame:
     """(by, x, y, mean, n) of cells (by, x, y, value, variance): inverse-variance mean of the cells within reach.
@@ -30,3 +32,21 @@ def inverse_distance(anchors: DataFrame, by: list[str], columns: int, rows: int,
     pairs = pairs.withColumn("d2", F.greatest(dx * dx + dy * dy, F.lit(floor)))
     weight = 1 / (F.col("d2") * F.col("d2"))
     return pairs.groupBy(*by, "gx", "gy").agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("value"), F.sqrt(F.min("d2")).alias("nearest"))
+
+
+def sample_field(points: DataFrame, field: DataFrame, by: list[str], columns: int, rows: int, cell: float) -> DataFrame:
+    """points (by, x, y, ...) with dx and dy, bilinear between the four cells of field (by, cx, cy, dx, dy) around them.
+
+    A cell's value is that of its centre, pixels being numbered by their centres; beyond the
+    outermost centres the border's value holds. Points go to their four cells by a join on
+    the cell, and their shares are summed. A point with a missing cell has nulls.
+    """
+    half = 0.5 * (cell - 1)
+    own = points.withColumn("_at", F.monotonically_increasing_id())
+    place = lambda c, n: F.least(F.greatest((F.col(c) - half) / cell, F.lit(0.0)), F.lit(float(n - 1)))
+    own = checkpoint(own.withColumn("_gx", place("x", columns)).withColumn("_gy", place("y", rows)))
+    corners = [F.struct(F.least(F.floor("_gx") + i, F.lit(columns - 1)).cast("long").alias("cx"), F.least(F.floor("_gy") + j, F.lit(rows - 1)).cast("long").alias("cy"), ((F.col("_gx") - F.floor("_gx") if i else 1 - F.col("_gx") + F.floor("_gx")) * (F.col("_gy") - F.floor("_gy") if j else 1 - F.col("_gy") + F.floor("_gy"))).alias("w")) for i in (0, 1) for j in (0, 1)]
+    sent = own.select("_at", *by, F.explode(F.array(*corners)).alias("c")).select("_at", *by, "c.*")
+    met = sent.join(field.select(*by, "cx", "cy", "dx", "dy"), [*by, "cx", "cy"])
+    sums = met.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("w") * F.col("dx")).alias("dx"), F.sum(F.col("w") * F.col("dy")).alias("dy")).where("_n = 4").drop("_n")
+    return own.join(sums, "_at", "left").drop("_at", "_gx", "_gy")

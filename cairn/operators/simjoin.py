@@ -72,6 +72,45 @@ def mutual_ratio(ratio: float = 0.8) -> Matcher:
     return match
 
 
+def mutual_cosine_ratio(ratio: float = 0.8) -> Matcher:
+    """Mutual best cosine whose distance 1 - cosine is, both ways, below ratio times the second best's; zero vectors have no match."""
+
+    def match(a: np.ndarray, b: np.ndarray) -> Matches:
+        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+        left, right = np.flatnonzero(na > 0), np.flatnonzero(nb > 0)
+        if len(left) < 2 or len(right) < 2:
+            return NONE
+        d = 1 - np.clip((a[left] / na[left, None]) @ (b[right] / nb[right, None]).T, -1, 1)
+        rows, columns = np.sort(d, axis=1)[:, :2], np.sort(d, axis=0)[:2]
+        to, own = d.argmin(1), np.arange(len(left))
+        keep = np.flatnonzero((d.argmin(0)[to] == own) & (rows[:, 0] < ratio * rows[:, 1]) & (columns[0, to] < ratio * columns[1, to]))
+        i, j = left[keep], right[to[keep]]
+        return i, j, 1 - d[keep, to[keep]], np.linalg.norm(a[i] - b[j], axis=1)
+
+    return match
+
+
+def match_pairs(features: DataFrame, pairs: DataFrame, matcher: Matcher) -> DataFrame:
+    """EDGES of the listed pairs (first, second) of frames alone; a frame is copied once for each of its pairs.
+
+    Features whose column ``masked`` is true, if there is one, take no part.
+    """
+    rows = features.where("descriptor is not null")
+    rows = rows.where("not coalesce(masked, false)") if "masked" in features.columns else rows
+    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("feature_id").cast("long").alias("feature_id"), "descriptor")
+    asked = pairs.select(F.col("first").cast("long"), F.col("second").cast("long")).distinct()
+    sides = asked.select("first", "second", F.explode(F.array("first", "second")).alias("row_id")).join(rows, "row_id")
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        sides = [group[group["row_id"] == k].sort_values("feature_id") for k in key]
+        if not all(map(len, sides)):
+            return pd.DataFrame({c.split()[0]: [] for c in EDGES.split(", ")})
+        i, j, score, distance = matcher(*(np.array(s["descriptor"].tolist(), float) for s in sides))
+        return pd.DataFrame({"first": key[0], "second": key[1], "left_id": sides[0]["feature_id"].to_numpy()[i], "right_id": sides[1]["feature_id"].to_numpy()[j], "score": score, "distance": distance})
+
+    return sides.groupBy("first", "second").applyInPandas(run, EDGES)
+
+
 def match_frames(features: DataFrame, matcher: Matcher, block: int = 8) -> DataFrame:
     """match_edges of every pair of frames of features (row_id, feature_id, descriptor).
 

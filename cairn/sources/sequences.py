@@ -157,3 +157,51 @@ def recent_sessions(spark: SparkSession, path: str, limit: int = 20) -> DataFram
 
 def pixel_in_range(x: Column, y: Column, width: Column, height: Column) -> Column:
     return (x >= 0) & (y >= 0) & (x < width) & (y < height)
+
+
+def with_images(manifest: DataFrame, path: str) -> DataFrame:
+    """A manifest's rows with the problem of an image that isn't there; only names are listed. path covers the images."""
+    spark = manifest.sparkSession
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("_found")).distinct()
+    where = F.concat(F.regexp_replace("source", "[^/]*$", ""), F.col("image"))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z]+:/*", "/"), "/+", "/")
+    rows = manifest.withColumn("_image", plain(where)).join(listed.select(plain(F.col("_found")).alias("_image"), F.lit(True).alias("_there")), "_image", "left")
+    missing = F.when(F.col("_there").isNull(), F.concat("source", F.lit(":"), F.col("line_no").cast("string"), F.lit(": the image is missing")))
+    return rows.withColumn("problem", F.coalesce("problem", missing)).drop("_image", "_there")
+
+
+def not_empty(rows: DataFrame, what: str) -> DataFrame:
+    """rows; if there are none, reading them is an error that says what is empty."""
+    none = rows.agg(F.count(F.lit(1)).alias("n")).where(F.when(F.col("n") == 0, F.raise_error(F.lit(f"{what} is empty")).cast("boolean")).otherwise(False))
+    return rows.unionByName(none.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields)))
+
+
+#: The reader of each kind of source, by its suffix.
+READERS = {"csv": read_tracks, "txt": read_ground_truth}
+
+
+def open_source(spark: SparkSession, path: str):
+    """What a path holds, by its kind: the frames of a folder with a manifest, the tracks of a CSV, the poses of a text file."""
+    suffix = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    if "." not in path.rstrip("/").rsplit("/", 1)[-1]:
+        return sequence_frames(checked(not_empty(read_rgb_manifest(spark, f"{path.rstrip('/')}/rgb.txt"), path)))
+    if suffix in READERS:
+        return READERS[suffix](spark, path)
+    raise ValueError(f"no reader for {path}: {'videos are decoded outside' if suffix in VIDEO_SUFFIXES else 'unknown kind'}")
+
+
+def read_phone_poses(spark: SparkSession, path: str) -> DataFrame:
+    """Poses of a phone recording, CSV of t, x, y, z, qw, qx, qy, qz without header, in the order and precision of ground truth."""
+    names = ("t", "x", "y", "z", "qw", "qx", "qy", "qz")
+    rows = spark.read.schema(", ".join(f"{n} double" for n in names)).csv(path)
+    return rows.select(*(F.round(c, 9 if c.startswith("q") else 6).alias(c) for c in ("t", "x", "y", "z", "qx", "qy", "qz", "qw")))
+
+
+def read_phone_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(frame_index, timestamp) of a phone recording's frame list, numbered from 0."""
+    return _lines(spark, path).where("line <> ''").select((F.col("line_no") - 1).cast("long").alias("frame_index"), F.split("line", ",")[0].cast("double").alias("timestamp"))
+
+
+def landscape(fx: float, fy: float, cx: float, cy: float, height: int) -> tuple[float, float, float, float]:
+    """Intrinsics of a portrait image turned to landscape, height being the landscape image's: the pixel (u, v) of the portrait is (v, height - u)."""
+    return fy, fx, cy, height - cx

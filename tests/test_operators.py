@@ -332,3 +332,65 @@ def test_compose(spark):
     t = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
     p = one(spark, G.compose(a, t, b, t).alias("p")).p
     assert np.allclose(p.r[:2], [math.cos(0.7), -math.sin(0.7)]) and np.allclose(p.t, [1 + math.cos(0.3) - 2 * math.sin(0.3), 2 + math.sin(0.3) + 2 * math.cos(0.3), 6])
+
+
+def test_motions(spark):
+    """The exponential against its series, and back; half turns; a motion and its inverse; similarities."""
+    from cairn.functions import motion as M
+
+    skew = lambda v: np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+
+    def series(v):
+        total, term = np.eye(3), np.eye(3)
+        for n in range(1, 40):
+            term = term @ skew(v) / n
+            total = total + term
+        return total
+
+    vectors = [(0.0, 0.0, 0.0), (1e-9, 0.0, 2e-9), (0.3, -0.2, 0.9), (np.pi, 0.0, 0.0), (0.0, 2.0, -2.0)]
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(vectors)], "i long, x double, y double, z double")
+    got = rows.select("i", M.rotation_of(F.col("x"), F.col("y"), F.col("z")).alias("r")).select("i", "r", M.vector_of(F.col("r")).alias("v"), M.inverse(F.col("r"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("b")).orderBy("i").collect()
+    for v, row in zip(vectors, got, strict=True):
+        r = np.array(row.r).reshape(3, 3)
+        assert np.allclose(r, series(v), atol=1e-12)
+        assert np.allclose(series(row.v), r, atol=1e-9)
+        assert np.allclose(np.array(row.b.r).reshape(3, 3) @ r, np.eye(3), atol=1e-12) and np.allclose(np.array(row.b.r).reshape(3, 3) @ [1, 2, 3] + row.b.t, 0, atol=1e-12)
+    third = rows.where("i = 2").select(M.rotation_of(F.col("x"), F.col("y"), F.col("z")).alias("r")).select(M.perturbed(F.col("r"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), [F.lit(0.0), F.lit(0.0), F.lit(0.1), F.lit(1.0), F.lit(2.0), F.lit(3.0)]).alias("p"), M.compose_similar(F.lit(2.0), F.col("r"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.lit(3.0), F.col("r"), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).alias("s")).first()
+    r, turn = series(vectors[2]), series((0, 0, 0.1))
+    assert np.allclose(np.array(third.p.r).reshape(3, 3), turn @ r) and np.allclose(third.p.t, turn @ [1, 0, 0] + [1, 2, 3])
+    assert third.s.s == 6 and np.allclose(np.array(third.s.r).reshape(3, 3), r @ r) and np.allclose(third.s.t, 2 * r @ [0, 1, 0] + [1, 0, 0])
+
+
+def test_filters(spark):
+    """Updates without a flow, without a state, of outliers either way; points behind the camera; half floats."""
+    from cairn.functions import motion as M
+
+    null, lit = F.lit(None).cast("double"), lambda x: F.lit(float(x))
+    row = one(
+        spark,
+        M.updated(lit(10), lit(0.5), lit(0.5), lit(12), lit(1)).alias("a"),
+        M.updated(lit(10), lit(0.5), lit(0), lit(12), lit(1)).alias("b"),
+        M.fused(null, null, lit(2), lit(0.5)).alias("c"),
+        M.fused(lit(1), lit(0.5), null, null).alias("d"),
+        M.fused(lit(1), lit(0.01), lit(9), lit(0.5)).alias("e"),
+        M.fused(lit(1), lit(0.5), lit(9), lit(0.01)).alias("f"),
+        M.triangulated([lit(1), F.lit(float("nan"))], [lit(1)], [lit(0)], lit(5)).alias("g"),
+        M.audited_depth(lit(1), lit(1), F.lit(float("inf"))).alias("h"),
+        M.projected_variance(lit(1), lit(1), lit(-1), 500.0, 500.0, np.eye(6).tolist()).alias("i"),
+        M.from_half_bytes(M.half_bytes(F.array(lit(0.1), lit(-2.5), lit(1e6)))).alias("j"),
+    )
+    assert (row.a.value, row.a.variance) == (11, 0.5) and (row.b.value, row.b.variance) == (12, 1)
+    assert (row.c.value, row.c.variance) == (2, 0.5) and (row.d.value, row.d.variance) == (1, 0.5)
+    assert (row.e.value, row.e.variance) == (1, 0.02) and (row.f.value, row.f.variance) == (9, 0.01)
+    assert not row.g and not row.h and row.i is None
+    assert row.j == [float(x) for x in np.array([0.1, -2.5, 1e6]).astype(np.float16)]
+
+
+def test_settings():
+    from cairn import settings
+
+    assert settings.Tracking().options() == {"min_similarity": 0.8, "min_margin": 0.02, "max_inactive": 15}
+    bad = [(settings.Extraction, {"stride": 0}), (settings.Extraction, {"detection_threshold": 2}), (settings.Tracking, {"min_similarity": -2}), (settings.Tracking, {"max_inactive": 0}), (settings.Verification, {"threshold": float("nan")}), (settings.Verification, {"min_parallax": 90}), (settings.Verification, {"min_inliers": 7}), (settings.Matching, {"ratio": 1.0}), (settings.Matching, {"min_track_length": 1})]
+    for kind, values in bad:
+        with pytest.raises(ValueError):
+            kind(**values)
