@@ -10,16 +10,18 @@ parts of an ip, a card's issuer (six digits), a phone's country and area (four d
 Disclosure. After C-sanitisation (Sanchez and Batet, 2016): a term t reveals an entity e by
 their pointwise mutual information, PMI(t; e) = log2 p(t, e) / (p(t) p(e)), which is at most
 the entity's information content IC(e) = -log2 p(e). The p are shares of all documents, and
-a document holds t and e wherever they stand in it. The share PMI / IC is also taken among
-the documents with e's kind of value alone, and the smaller one counts: a word that goes
-with addresses as such says nothing about whose address it is. Terms with a share of
-``REMOVE`` are removed, those with ``GENERALISE`` are replaced by the term with which they
-are found most often among those that are more frequent and tell nothing.
+a document holds t and e wherever they stand in it. What a reader of t still lacks is
+IC - PMI = -log2 p(e | t) bits. Terms that leave at most -log2 ``REMOVE`` bits are removed,
+those that leave at most -log2 ``GENERALISE`` bits are replaced by the term with which they
+are found most often among those that are more frequent and tell nothing. (A threshold on
+the share PMI / IC alone would let a term tell a frequent entity that nine of ten of its
+documents don't hold.) Of a word that goes with addresses as such nobody learns whose
+address it is: among the documents with e's kind of value, PMI must be ``OF_KIND`` of IC.
 
 Evidence. A share counts if chance does not explain it: by Chernoff's bound, d texts with e
 of which a share q hold t have d * KL(q || p(t)) bits of evidence. log2 of the documents
 plus ``EVIDENCE`` bits are asked for. One text can't have that many, so entities and pairs
-found in one text only are left out, as are terms too frequent to reach the share. Exact
+found in one text only are left out, as are terms too frequent for the entity. Exact
 copies count in the p, not in the evidence.
 
 Everything is DataFrame operations. The patterns run once over the texts; the words of all
@@ -35,8 +37,9 @@ from pyspark.sql import functions as F
 from cairn.session import checkpoint
 
 EVIDENCE = 10.0
-GENERALISE = 0.6
-REMOVE = 0.9
+GENERALISE = 0.9
+REMOVE = 0.99
+OF_KIND = 0.6
 #: Terms to look for are broadcast up to so many, beyond that joined by a shuffle.
 BROADCAST_TERMS = 100_000
 
@@ -143,11 +146,9 @@ def told_terms(held: DataFrame, texts: DataFrame, total: int, evidence: float, g
     """(term, kind, class): the terms that tell, of the documents (text_hash, base, terms) with values; None if none can.
 
     texts (text) are all documents, ``total`` of them; their words are counted only for terms
-    whose share among the documents with the entity's kind is high enough, and for which
-    the evidence would be if no other document held them. Both follow from the held
-    documents alone, so nothing is lost. A held document has as many pairs of a term and an
-    entity as its own words and values make, after terms too frequent for the entity's
-    share are left out.
+    that would tell if no document without values held them, which the held documents show,
+    so nothing is lost. A held document has as many pairs of a term and an entity as its own
+    words and values make, after terms too frequent for the entity are left out.
     """
     held = held.withColumn("entities", _entities()).groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.any_value("terms").alias("terms"), F.any_value("entities").alias("entities"))
     held = checkpoint(held.withColumn("kinds", F.expr("array_distinct(transform(entities, e -> regexp_extract(e, '^([a-z]+)', 1)))")))
@@ -164,7 +165,7 @@ def told_terms(held: DataFrame, texts: DataFrame, total: int, evidence: float, g
     heard = checkpoint(heard.drop("d_t"))
     of_kind = lambda e: F.coalesce(*(F.when(e["of"] == k, F.col(f"n_{k}")) for k in KINDS))
     words = known.select("copies", F.explode("terms").alias("term"), "named").join(_beside(heard, broadcast_terms), "term")
-    rare = F.filter("named", lambda e: of_kind(e) <= e["n_k"] * F.pow(e["n_e"] / e["n_k"], F.lit(generalise)) * (1 + 1e-9))
+    rare = F.filter("named", lambda e: of_kind(e) * generalise <= e["n_e"])
     pairs = words.select("copies", "term", F.explode(F.transform(rare, lambda e: F.struct(*(e[c].alias(c) for c in ("entity", "of", "n_e", "d_e", "n_k")), of_kind(e).alias("n_tk")))).alias("e")).select("copies", "term", "e.*")
     joint = pairs.groupBy("term", "entity", "of", "n_e", "d_e", "n_k", "n_tk").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("d_te")).where("d_te >= 2")
     n, q = F.lit(float(total)), F.col("d_te") / F.col("d_e")
@@ -175,21 +176,21 @@ def told_terms(held: DataFrame, texts: DataFrame, total: int, evidence: float, g
         bits = F.col("d_e") * (q * F.log2(q / p) + F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0))
         return (q > p) & (bits >= F.log2(n) + evidence)
 
-    joint = checkpoint(joint.withColumn("among", among).where((F.col("among") >= generalise) & proven("n_tk")))
+    joint = checkpoint(joint.withColumn("among", among).where((F.col("among") >= OF_KIND) & (F.col("n_te") >= generalise * F.col("n_tk")) & proven("n_tk")))
     if joint.isEmpty():
         return None
     beside = _beside(checkpoint(joint.select("term").distinct()), broadcast_terms)
     counts = texts.select(F.explode(terms_of("text")).alias("term")).join(beside, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    everywhere = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
-    shares = joint.join(counts, "term").withColumn("share", F.least(everywhere, "among")).where((F.col("share") >= generalise) & proven("n_t"))
-    told = checkpoint(shares.groupBy("term").agg(F.max("share").alias("share")))
+    certain = F.col("n_te") / F.col("n_t")
+    shares = joint.join(counts, "term").withColumn("certain", certain).where((F.col("certain") >= generalise) & proven("n_t"))
+    told = checkpoint(shares.groupBy("term").agg(F.max("certain").alias("certain")))
     # the class: what the term is found with most often beside values, of the more frequent terms there that tell nothing; the rarest of these, then the first by name
-    vague = _beside(told.where(F.col("share") < remove).select("term").join(heard.select("term", "n_h"), "term"), broadcast_terms)
+    vague = _beside(told.where(F.col("certain") < remove).select("term").join(heard.select("term", "n_h"), "term"), broadcast_terms)
     beside_it = held.select("text_hash", F.explode("terms").alias("term")).join(vague, "term").join(held.select("text_hash", "copies", "terms"), "text_hash").select("copies", "term", "n_h", F.explode("terms").alias("other"))
     others = heard.select(F.col("term").alias("other"), F.col("n_h").alias("n_o")).join(told.select(F.col("term").alias("other")), "other", "left_anti")
     classes = beside_it.join(others, "other").where("n_o > n_h").groupBy("term", "other", "n_o").agg(F.sum("copies").alias("n"))
     classes = classes.groupBy("term").agg(F.min(F.struct((-F.col("n")).alias("minus"), "n_o", "other")).alias("m")).select("term", F.col("m.other").alias("class"))
-    kind = F.when(F.col("share") >= remove, F.lit("term_removed")).otherwise(F.lit("term"))
+    kind = F.when(F.col("certain") >= remove, F.lit("term_removed")).otherwise(F.lit("term"))
     return checkpoint(told.join(classes, "term", "left").select("term", kind.alias("kind"), F.concat(F.lit("["), F.coalesce("class", F.lit("TERM")), F.lit("]")).alias("class")))
 
 

@@ -98,17 +98,17 @@ joint AS (
 ), of_kind AS (
     SELECT term, kind, count(*) AS n_tk FROM words JOIN (SELECT DISTINCT doc_id, kind FROM held) AS h ON h.doc_id = words.doc_id GROUP BY term, kind
 ), rated AS (
-    SELECT joint.*, n_t, n, d_te / d_e AS q, n_t / n AS p, least(log2(n_te * n / (n_t * n_e)) / log2(n / n_e), log2(n_te * n_k / (n_tk * n_e)) / log2(n_k / n_e)) AS share
+    SELECT joint.*, n_t, n, d_te / d_e AS q, n_t / n AS p, n_te / n_t AS certain, log2(n_te * n_k / (n_tk * n_e)) / log2(n_k / n_e) AS among
     FROM joint JOIN counts ON counts.term = joint.term JOIN of_kind ON of_kind.term = joint.term AND of_kind.kind = joint.kind, total
 ), told AS (
-    SELECT term, max(share) AS share FROM rated
-    WHERE share >= {pii.GENERALISE} AND q > p
+    SELECT term, max(certain) AS certain FROM rated
+    WHERE certain >= {pii.GENERALISE} AND among >= {pii.OF_KIND} AND q > p
       AND d_e * (q * log2(q / p) + CASE WHEN q < 1 THEN (1 - q) * log2((1 - q) / (1 - p)) ELSE 0 END) >= log2(n) + {pii.EVIDENCE} GROUP BY term
 ), places AS (
     SELECT doc_id, m.start AS start, m.start + length(m.v) AS stop, lower(m.v) AS term
     FROM (SELECT doc_id, {_matches_sql("t", "[\\p{L}\\p{N}]+")} AS m FROM d WHERE doc_id IN (SELECT doc_id FROM words WHERE term IN (SELECT term FROM told)))
 ), found AS (
-    SELECT places.doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, CASE WHEN share >= {pii.REMOVE} THEN 'term_removed' ELSE 'term' END AS kind FROM places JOIN told ON told.term = places.term
+    SELECT places.doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, CASE WHEN certain >= {pii.REMOVE} THEN 'term_removed' ELSE 'term' END AS kind FROM places JOIN told ON told.term = places.term
     WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = places.doc_id AND base.start < places.stop AND places.start < base.stop)
 ), every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT doc_id, CASE kind WHEN 'term' THEN 4 ELSE 5 END, kind, start, stop FROM found),
 joined AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans, string_agg(CASE WHEN rank < 4 THEN kind || ':' || start || ':' || stop END, ',' ORDER BY start, rank) AS base,

@@ -237,9 +237,9 @@ def telling(common=200):
     filler = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
     some = lambda: " ".join(rng.choice(filler, 12))
     texts = [f"zorblax wrote to joe.q@corp.example about {some()} {i}" for i in range(6)]
-    texts += [f"please mail member{i}@quuxdom.example as the quuxcorp staff say {some()}" for i in range(8)] + ["what quuxcorp makes " + some()]
+    texts += [f"please mail member{i}@quuxdom.example as the quuxcorp staff say {some()}" for i in range(8)]
     texts += [f"please mail someone{i}@site{i}.example for {some()}" for i in range(60)]
-    texts += [f"norblin please mail ann@firm.example {some()} {i}" for i in range(8)] + [f"norblin sells {some()}" for _ in range(8)]
+    texts += [f"norblin please mail ann@firm.example {some()} {i}" for i in range(20)] + [f"norblin sells {some()}" for _ in range(2)] + [f"firm hears of tervan and {some()}" for _ in range(3)] + [f"tervan, mail us at tom@tervan.example {some()} {i}" for i in range(6)]
     return texts + [some() for _ in range(common)] + ["please read " + some() for _ in range(20)]
 
 
@@ -253,15 +253,15 @@ def test_pii_disclosure(spark):
     for term in ("zorblax", "quuxcorp", "norblin"):
         assert term not in whole
     assert "[EMAIL]" in clean[0] and "joe" not in clean[0] and "wrote" not in clean[0]
-    assert clean[14].startswith("what  makes")
-    generalised = [t for t in clean.values() if t.startswith("[mail] please mail [EMAIL]")]
-    assert len(generalised) == 8 and all(clean[i].startswith("[mail] sells") for i in range(83, 91))
+    generalised = [i for i in clean if clean[i].startswith("[please] please mail [EMAIL]")]
+    assert generalised == list(range(74, 94)) and clean[94].startswith("[please] sells") and clean[95].startswith("[please] sells")
+    assert all("tervan" in clean[i] for i in range(96, 105))  # a third of its documents don't hold the address
     for i, text in enumerate(texts):
-        if i >= 91:
+        if 96 <= i < 99 or i >= 105:
             assert clean[i] == text
-        assert clean[i].count("mail ") == text.count("mail ") and clean[i].count("please ") == text.count("please ")
+        assert clean[i].count("mail ") == text.count("mail ") and clean[i].replace("[please]", "").count("please ") == text.count("please ")
     found = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
-    assert "term_removed:0:7" in found[0].split(",") and found[84] == "term:0:7" and found[100] == ""
+    assert "term_removed:0:7" in found[0].split(",") and found[94] == "term:0:7" and found[120] == ""
     # terms joined by a shuffle give the same
     few = {r.doc_id: r.spans for r in pii.find_pii(docs, broadcast_terms=0).collect()}
     assert few == found
