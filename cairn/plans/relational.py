@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import geometry as G
 from cairn.functions import scalars as S
 from cairn.operators import alignment, asof, paging, tracks
+from cairn.operators.quantiles import quantiles
 from cairn.plans.bindings import EVENTS_SQL, events
 from cairn.plans.registry import query
 from cairn.session import table
@@ -230,15 +231,9 @@ def track_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(list_sort(list(CAST(l_extendedprice AS DOUBLE)))[CAST(floor(0.9 * (count(*) - 1) + 0.5) AS BIGINT) + 1], 4) AS nearest_rank_90 FROM lineitem GROUP BY l_returnflag"""
 )
 def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact linear percentiles, and the nearest rank from counts of equal values, so no group is a list."""
-    price = F.col("l_extendedprice").cast("double")
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", price.alias("v"))
-    linear = lines.groupBy("l_returnflag").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
-    counts = lines.groupBy("l_returnflag", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("l_returnflag").orderBy("v")
-    ranked = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("l_returnflag")))
-    nearest = ranked.where(F.col("upto") > F.floor(0.9 * (F.col("n") - 1) + 0.5)).groupBy("l_returnflag").agg(F.min("v").alias("nearest"))
-    return linear.join(nearest, "l_returnflag").select("l_returnflag", F.round(F.col("p")[0], 4).alias("median"), F.round(F.col("p")[1], 4).alias("p95"), F.round("nearest", 4).alias("nearest_rank_90"))
+    """Exact linear percentiles and a nearest rank, from counts of equal values."""
+    found = quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", (0.5, 0.95), (0.9,))
+    return found.select("l_returnflag", F.round("q0", 4).alias("median"), F.round("q1", 4).alias("p95"), F.round("r0", 4).alias("nearest_rank_90"))
 
 
 @query(
@@ -250,8 +245,10 @@ def error_by_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "lineitem").select(F.col("l_discount").cast("double").alias("sigma"), (F.abs(F.col("l_extendedprice").cast("double") - 30000) / 30000).alias("error"))
     total = e.count()
     limits = F.explode(F.filter(F.array(*(F.lit(x) for x in (0.02, 0.05, 0.1))), lambda x: F.col("sigma") <= x + 1e-9))
-    r = e.withColumn("sigma_limit", limits).groupBy("sigma_limit").agg(F.count(F.lit(1)).alias("n"), F.percentile("error", F.lit(0.5)).alias("m"), F.avg((F.col("error") < 0.25).cast("int")).alias("w"))
-    return r.select("sigma_limit", "n", F.round(F.col("n") / max(total, 1), 6).alias("coverage"), F.round("m", 6).alias("median_error"), F.round("w", 6).alias("within_25"))
+    within = e.withColumn("sigma_limit", limits)
+    middle = quantiles(within, ["sigma_limit"], "error", (0.5,)).select("sigma_limit", "q0")
+    r = within.groupBy("sigma_limit").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("error") < 0.25).cast("int")).alias("w")).join(middle, "sigma_limit")
+    return r.select("sigma_limit", "n", F.round(F.col("n") / max(total, 1), 6).alias("coverage"), F.round("q0", 6).alias("median_error"), F.round("w", 6).alias("within_25"))
 
 
 @query("SELECT s_nationkey, count(*) AS n, round(avg(s_acctbal), 6) AS mean, round(max(s_acctbal) - min(s_acctbal), 6) AS spread FROM supplier WHERE NOT isnan(s_acctbal) GROUP BY s_nationkey")

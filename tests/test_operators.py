@@ -394,3 +394,18 @@ def test_settings():
     for kind, values in bad:
         with pytest.raises(ValueError):
             kind(**values)
+
+
+def test_quantiles(spark):
+    """Against numpy: ties, one value, null keys, nulls left out, a group over many partitions."""
+    from cairn.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.integers(0, 9, 500).tolist(), "b": [3.5], None: rng.normal(size=300).tolist(), "c": [None]}
+    rows = [(k, None if v is None else float(v)) for k, own in groups.items() for v in own]
+    got = {r.k: r for r in quantiles(spark.createDataFrame(rows, "k string, v double").repartition(7), ["k"], "v", (0.0, 0.37, 1.0), (0.9,)).collect()}
+    assert set(got) == {"a", "b", None}
+    for k, r in got.items():
+        own = np.sort(groups[k])
+        assert (r.n, r.q0, r.q2) == (len(own), own[0], own[-1]) and r.q1 == pytest.approx(np.quantile(own, 0.37)) and r.r0 == own[int(0.9 * (len(own) - 1) + 0.5)]
+    assert quantiles(spark.createDataFrame([], "v double"), [], "v", (0.5,)).count() == 0
