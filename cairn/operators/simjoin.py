@@ -137,6 +137,39 @@ def match_frames(features: DataFrame, matcher: Matcher, block: int = 8) -> DataF
     return planned.groupBy("lo", "hi").applyInPandas(run, EDGES)
 
 
+def most_similar(frames: DataFrame, keep: int, gap: int, block: int = 256) -> DataFrame:
+    """(row_id, candidate, similarity, rank): the ``keep`` frames at least gap before each frame that are most like it.
+
+    frames has row_id and g, a descriptor of the frame. Frames meet in pairs of blocks, as in
+    match_frames; a block gives a frame its best ``keep`` only, so pairs are never rows.
+    Similarities are rounded to nine digits, ties go to the lower candidate, and frames whose
+    descriptor is zero or null take no part.
+    """
+    rows = frames.where("g is not null").select(F.col("row_id").cast("long").alias("row_id"), "g").withColumn("b", F.floor(F.col("row_id") / block))
+    blocks = F.broadcast(rows.select("b").distinct().agg(F.sort_array(F.collect_list("b")).alias("all")))
+    planned = rows.join(blocks, F.lit(True)).withColumn("p", F.explode("all")).select("row_id", "g", "b", F.least("b", "p").alias("lo"), F.greatest("b", "p").alias("hi"))
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("row_id")
+        units = np.array(group["g"].tolist(), float)
+        size = np.linalg.norm(units, axis=1)
+        group, units = group[size > 0], units[size > 0] / size[size > 0, None]
+        late, early = (np.flatnonzero(group["b"] == k) for k in (key[1], key[0]))
+        ids = group["row_id"].to_numpy()
+        if not len(late) or not len(early):
+            return pd.DataFrame({"row_id": [], "candidate": [], "similarity": []})
+        score = np.round(np.clip(units[late] @ units[early].T, -1, 1), 9)
+        score[ids[early][None] > ids[late][:, None] - gap] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
+        found = np.take_along_axis(score, best, 1)
+        at, k = np.nonzero(found > -np.inf)
+        return pd.DataFrame({"row_id": ids[late[at]], "candidate": ids[early[best[at, k]]], "similarity": found[at, k]})
+
+    found = planned.groupBy("lo", "hi").applyInPandas(run, "row_id long, candidate long, similarity double")
+    w = Window.partitionBy("row_id").orderBy(F.desc("similarity"), "candidate")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+
+
 def best_two(scored: DataFrame, by: list[str], similarity: str, order: str) -> DataFrame:
     """The best and second-best similarity of each group, ties to the lower ``order``: (by, best, best_id, second)."""
     w = Window.partitionBy(*by).orderBy(F.desc(similarity), order)

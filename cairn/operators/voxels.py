@@ -23,33 +23,42 @@ def pack_key(segment, x, y, z):
     return F.when(inside, key)
 
 
-def ray_cells(origin: np.ndarray, point: np.ndarray, voxel: float, truncation: float, most: int = 4096) -> list[tuple[int, int, int, float]]:
-    """(x, y, z, signed distance) of the voxels a ray crosses within truncation of its end, walking from cell to cell."""
-    ray = point - origin
-    length = float(np.linalg.norm(ray))
-    if not np.isfinite(length) or length <= 0:
-        return []
-    direction = ray / length
-    start, stop = max(0.0, length - truncation), length + truncation
-    at = origin + direction * start
-    cell = np.floor(at / voxel).astype(np.int64)
-    step = np.sign(direction).astype(np.int64)
+def walk(origins: np.ndarray, points: np.ndarray, voxel: float, truncation: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ray, cell, signed distance) of the voxels that each ray crosses within truncation of its end, all rays a cell at a time.
+
+    Rays without a finite length have none.
+    """
+    ray = points - origins
+    length = np.linalg.norm(ray, axis=1)
+    live = np.flatnonzero(np.isfinite(length) & (length > 0))
+    origins, length = origins[live], length[live]
+    direction = ray[live] / length[:, None]
+    start, stop = np.maximum(0.0, length - truncation), length + truncation
+    at = origins + direction * start[:, None]
+    cell, step = np.floor(at / voxel).astype(np.int64), np.sign(direction).astype(np.int64)
     with np.errstate(divide="ignore", invalid="ignore"):
         each = np.where(step != 0, voxel / np.abs(direction), np.inf)
-        border = (cell + (step > 0)) * voxel
-        next_at = np.where(step != 0, start + (border - at) / direction, np.inf)
-    out = []
-    for _ in range(most):
-        centre = (cell + 0.5) * voxel
-        distance = length - float((centre - origin) @ direction)
-        if abs(distance) <= truncation:
-            out.append((int(cell[0]), int(cell[1]), int(cell[2]), distance))
-        axis = int(next_at.argmin())
-        if next_at[axis] > stop:
-            break
-        cell[axis] += step[axis]
-        next_at[axis] += each[axis]
-    return out
+        following = np.where(step != 0, start[:, None] + ((cell + (step > 0)) * voxel - at) / direction, np.inf)
+    rays, cells, distances = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)], [np.zeros(0)]
+    on = np.arange(len(live))
+    while len(on):
+        distance = length[on] - (((cell[on] + 0.5) * voxel - origins[on]) * direction[on]).sum(1)
+        near = np.abs(distance) <= truncation
+        rays.append(live[on[near]])
+        cells.append(cell[on[near]])
+        distances.append(distance[near])
+        axis = following[on].argmin(1)
+        more = following[on, axis] <= stop[on]
+        on, axis = on[more], axis[more]
+        cell[on, axis] += step[on, axis]
+        following[on, axis] += each[on, axis]
+    return np.concatenate(rays), np.concatenate(cells), np.concatenate(distances)
+
+
+def ray_cells(origin: np.ndarray, point: np.ndarray, voxel: float, truncation: float) -> list[tuple[int, int, int, float]]:
+    """(x, y, z, signed distance) of one ray's voxels, in order."""
+    _, cells, distances = walk(np.array([origin], float), np.array([point], float), voxel, truncation)
+    return [(*map(int, c), float(d)) for c, d in zip(cells, distances, strict=True)]
 
 
 def integrate(samples: DataFrame, voxel: float, truncation: float) -> DataFrame:
@@ -62,13 +71,14 @@ def integrate(samples: DataFrame, voxel: float, truncation: float) -> DataFrame:
     columns = ["px", "py", "pz", "ox", "oy", "oz", "weight"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = frame[columns].to_numpy(float)
-            rows = []
-            for segment, (px, py, pz, ox, oy, oz, weight) in zip(frame["segment"], values, strict=True):
-                if np.isfinite([px, py, pz, ox, oy, oz, weight]).all():
-                    rows += [(segment, x, y, z, weight, weight * d) for x, y, z, d in ray_cells(np.array([ox, oy, oz]), np.array([px, py, pz]), voxel, truncation)]
-            yield pd.DataFrame(rows, columns=["segment", "ix", "iy", "iz", "w", "wd"])
+        for whole in frames:
+            for at in range(0, len(whole), 1000):
+                frame = whole.iloc[at : at + 1000]
+                frame = frame[np.isfinite(frame[columns].to_numpy(float)).all(1)]
+                values = frame[columns].to_numpy(float)
+                ray, cells, distance = walk(values[:, 3:6], values[:, :3], voxel, truncation)
+                weight = values[ray, 6]
+                yield pd.DataFrame({"segment": frame["segment"].to_numpy()[ray], "ix": cells[:, 0], "iy": cells[:, 1], "iz": cells[:, 2], "w": weight, "wd": weight * distance})
 
     cells = samples.select(F.col("segment").cast("long").alias("segment"), *(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(run, "segment long, ix long, iy long, iz long, w double, wd double")
     return cells.groupBy("segment", "ix", "iy", "iz").agg(F.sum("w").alias("weight"), (F.sum("wd") / F.sum("w")).alias("distance"), F.count(F.lit(1)).alias("rays"))

@@ -10,12 +10,20 @@ from cairn.functions import scalars as S
 from cairn.operators import assignment, asof, epipolar, grids, simjoin
 from cairn.operators.quantiles import quantiles
 from cairn.plans.bindings import EVENTS_SQL, FEATURES_SQL, events, features
-from cairn.plans.matching import cosine_edges, radius_candidates
+from cairn.plans.matching import RADIUS_CANDIDATES_SQL, cosine_edges, radius_candidates
 from cairn.plans.registry import query
 from cairn.session import checkpoint, table
 
 
-@query()
+def _round_sql(n: int) -> str:
+    """One round of proposals as CTEs: what is still free, each a's cheapest, each b's cheapest proposal."""
+    free = f"f{n} AS (SELECT * FROM f{n - 1} WHERE (row_id, a_id) NOT IN (SELECT row_id, a_id FROM t{n - 1}) AND (row_id, b_id) NOT IN (SELECT row_id, b_id FROM t{n - 1}))" if n else f"f0 AS ({RADIUS_CANDIDATES_SQL})"
+    return f"""{free},
+p{n} AS (SELECT row_id, a_id, b_id, cost FROM (SELECT *, row_number() OVER (PARTITION BY row_id, a_id ORDER BY cost, b_id) AS r FROM f{n}) WHERE r = 1),
+t{n} AS (SELECT row_id, a_id, b_id, cost FROM (SELECT *, row_number() OVER (PARTITION BY row_id, b_id ORDER BY cost, a_id) AS r FROM p{n}) WHERE r = 1)"""
+
+
+@query("WITH " + ", ".join(_round_sql(n) for n in range(4)) + " " + " UNION ALL ".join(f"SELECT row_id, a_id, b_id, cost, {n} AS round FROM t{n}" for n in range(4)))
 def assigned_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one assignment of the radius candidates by rounds of proposals."""
     return assignment.propose_accept(checkpoint(radius_candidates(spark, sf_dir).select("row_id", "a_id", "b_id", "cost")), ["row_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors as V
@@ -170,11 +170,14 @@ def _predicted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return f.select("row_id", F.col("feature_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("descriptor").alias("ad")), f.select((F.col("row_id") - 1).alias("row_id"), F.col("feature_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("descriptor").alias("bd"))
 
 
-@query(
+RADIUS_CANDIDATES_SQL = (
     _RADIUS_SQL
     + f"""SELECT row_id, a_id, b_id, round(d2, 6) AS d2, round(cost, 6) AS cost, CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY row_id, a_id ORDER BY cost, b_id) AS rank FROM (SELECT *, d2 / {_RADIUS * _RADIUS} + 0.5 * (1 - c) AS cost FROM n WHERE c >= -0.1)) WHERE rank <= 8"""
 )
+
+
+@query(RADIUS_CANDIDATES_SQL)
 def radius_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of the next frame near each feature and like it, the eight cheapest."""
     a, b = _predicted(spark, sf_dir)
@@ -206,12 +209,8 @@ SELECT row_id, candidate, round(c, 6) AS similarity, CAST(rank AS INTEGER) AS ra
 def loop_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five earlier frames, three or more apart, most like each frame by its mean descriptor."""
     sums = features(spark, sf_dir).select("row_id", F.posexplode("descriptor")).groupBy("row_id", "pos").agg(F.sum("col").alias("s"))
-    frames = checkpoint(sums.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("g")))
-    pairs = simjoin.frame_pairs(frames).where("gap >= 3")
-    scored = pairs.join(frames.select(F.col("row_id").alias("first"), F.col("g").alias("a")), "first").join(frames.select(F.col("row_id").alias("second"), F.col("g").alias("b")), "second")
-    scored = scored.select(F.col("second").alias("row_id"), F.col("first").alias("candidate"), F.round(V.cosine(F.col("a"), F.col("b")), 9).alias("similarity"))
-    w = Window.partitionBy("row_id").orderBy(F.desc("similarity"), "candidate")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 5").withColumn("similarity", F.round("similarity", 6))
+    frames = sums.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("g"))
+    return simjoin.most_similar(frames, 5, 3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH {FEATURES_SQL} SELECT row_id, count(*) AS features, count(DISTINCT CAST(least(greatest(floor((x + 50) / 25), 0), 3) AS INT) * 4 + CAST(least(greatest(floor((y + 50) / 25), 0), 3) AS INT)) / 16.0 AS coverage FROM features GROUP BY row_id""")

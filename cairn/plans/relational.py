@@ -11,7 +11,7 @@ from cairn.operators import alignment, asof, paging, tracks
 from cairn.operators.quantiles import quantiles
 from cairn.plans.bindings import EVENTS_SQL, events
 from cairn.plans.registry import query
-from cairn.session import table
+from cairn.session import checkpoint, table
 
 # Joins
 
@@ -51,8 +51,12 @@ def landmark_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.frame AS first, b.frame AS second, count(*) AS shared FROM seen AS a JOIN seen AS b ON a.landmark = b.landmark AND a.frame > b.frame + 1 GROUP BY a.frame, b.frame HAVING count(*) >= 2"""
 )
 def covisibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of frames, not neighbours, that share two landmarks or more."""
-    seen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("landmark")).distinct()
+    """Pairs of frames, not neighbours, that share two landmarks or more.
+
+    The sightings are written first, so both sides of the join are plain exchanges: adaptive
+    execution can split the frames of a landmark that is seen very often.
+    """
+    seen = checkpoint(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("landmark")).distinct())
     a, b = seen.withColumnRenamed("frame", "first"), seen.withColumnRenamed("frame", "second")
     return a.join(b, "landmark").where("first > second + 1").groupBy("first", "second").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
