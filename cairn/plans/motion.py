@@ -46,14 +46,14 @@ def undistorted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, round(p + g * (m - p), 6) AS value, round((1 - g) * b, 6) AS variance FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS p, CAST(l_extendedprice AS DOUBLE) / 1000 AS m,
-    CASE WHEN CAST(l_tax AS DOUBLE) > 0 THEN CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) ELSE 0.5 END AS b, CASE WHEN CAST(l_tax AS DOUBLE) > 0 THEN (CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE)) / (CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) + 0.5) ELSE 1 END AS g FROM lineitem) WHERE g < 1
-    UNION ALL SELECT l_orderkey, l_linenumber, round(CAST(l_extendedprice AS DOUBLE) / 1000, 6), 0.5 FROM lineitem WHERE CAST(l_tax AS DOUBLE) <= 0"""
+    """SELECT l_orderkey, l_linenumber, round(p + g * (m - p), 6) AS value, round((1 - g) * b, 6) AS variance FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 1.07 AS p, CAST(l_extendedprice AS DOUBLE) / 971.3 AS m,
+    CASE WHEN CAST(l_tax AS DOUBLE) > 0 THEN CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) ELSE 0.53 END AS b, CASE WHEN CAST(l_tax AS DOUBLE) > 0 THEN (CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE)) / (CAST(l_discount AS DOUBLE) + CAST(l_tax AS DOUBLE) + 0.53) ELSE 1 END AS g FROM lineitem) WHERE g < 1
+    UNION ALL SELECT l_orderkey, l_linenumber, round(CAST(l_extendedprice AS DOUBLE) / 971.3, 6), 0.53 FROM lineitem WHERE CAST(l_tax AS DOUBLE) <= 0"""
 )
 def filtered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A position's prediction updated by its detection; where the flow says nothing the detection is the position."""
     rows = _numbers(spark, sf_dir, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    state = M.updated(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice") / 1000, F.lit(0.5))
+    state = M.updated(F.col("l_quantity") / 1.07, F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice") / 971.3, F.lit(0.53))
     return rows.select("l_orderkey", "l_linenumber", state.alias("u")).select("l_orderkey", "l_linenumber", F.round("u.value", 6).alias("value"), F.round("u.variance", 6).alias("variance"))
 
 
