@@ -193,7 +193,7 @@ def _described(rows: DataFrame, lexicon, columns: list[str]) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, held_out, score, predicted), one row per row of docs.
+    """(id_col, held_out, score, predicted, raw), one row per row of docs; raw is the trees' own probability, which the calibration turns into score.
 
     Labels are learned from the rows of docs that ``labels`` (id_col, toxic 0 or 1) covers
     and whose crc32 of the id, as text, leaves a remainder by 5 other than 0; held_out marks
@@ -204,7 +204,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     uncalibrated. An empty table gives no rows. Other columns are ignored.
     """
     scored = _scored(docs.select(id_col, text_col), labels, id_col, text_col, carried=[id_col])
-    return scored.select(F.col("_c0").alias(id_col), (F.col("remainder") == 0).alias("held_out"), "score", "predicted")
+    return scored.select(F.col("_c0").alias(id_col), (F.col("remainder") == 0).alias("held_out"), "score", "predicted", "raw")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +214,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
-    """_c0, _c1, ... (the carried columns of docs), remainder, score and predicted."""
+    """_c0, _c1, ... (the carried columns of docs), remainder, score, predicted and raw."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
@@ -234,7 +234,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carr
     scored = _described(rows.withColumn("fold", F.lit(0)), lexicon, ["remainder", *kept])
     if not all(any(t[label] for t in totals[:3]) for label in (0, 1)):
         share = F.least(F.lit(1.0), vector_to_array("features")[FEATURES.index("insults")] / F.greatest(F.lit(1.0), vector_to_array("features")[0]))
-        return scored.select("remainder", *kept, share.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return scored.select("remainder", *kept, share.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn("raw", F.col("score"))
     examples = checkpoint(_described(learn, lexicon, ["_id", "fold", "toxic"]).withColumn("label", F.col("toxic").cast("double")))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=48, minInstancesPerNode=2, featuresCol="features", labelCol="label", cacheNodeIds=True).fit(examples.where("fold < 4"))
     raw = vector_to_array("probability")[1]
@@ -243,6 +243,6 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carr
         calibrated = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(held)
         scored = calibrated.setFeaturesCol("raw").setPredictionCol("score").transform(trees.transform(scored).withColumn("raw", raw))
     else:
-        scored = trees.transform(scored).withColumn("score", raw)
+        scored = trees.transform(scored).withColumn("raw", raw).withColumn("score", F.col("raw"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return scored.select("remainder", *kept, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return scored.select("remainder", *kept, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "raw")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import langid, licenses, mixing, packing, pii, simhash, token_files, toxicity
+from cairn.llm import langid, licenses, mixing, near_copies, packing, pii, simhash, token_files, toxicity
 from cairn.llm.tokens import encoder
 
 ODD = [None, "", " \n\t ", "one", "two words", "x" * 30_000, "a b c d e f", "a b c d e f", "ÄÖ ß é 日本語 \x1c z", "1.2.3.4 a@b.co +1 (555) 555-1234 4111 1111 1111 1111", "mixed  \n spaces. ", "<|endoftext|> hi"]
@@ -96,12 +96,16 @@ def test_simhash_crowded_cluster(spark):
 
 
 def test_keep_first(spark, odd):
-    kept = simhash.keep_first(odd)
+    """One row of each text, whatever its white space and case: of equal texts the smallest id, texts without words are one group."""
+    kept = near_copies.keep_first(odd)
     assert kept.columns == odd.columns
-    groups = simhash.simhash_groups(odd).collect()
-    rows = kept.select("doc_id", "text").collect()
-    assert {r.doc_id for r in rows} >= {r.component_id for r in groups}
-    assert sum(r.text == "two words" for r in rows) == 1
+    least = {}
+    for r in odd.select("doc_id", "text").collect():
+        words = tuple((r.text or "").encode().lower().split())
+        least[words] = min(least.get(words, math.inf), math.inf if r.doc_id is None else r.doc_id)
+    got = Counter((tuple((r.text or "").encode().lower().split()), math.inf if r.doc_id is None else r.doc_id) for r in kept.select("doc_id", "text").collect())
+    assert got == Counter(least.items())
+    assert near_copies.keep_first(odd.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(("name", "keeps"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
@@ -315,6 +319,31 @@ def test_toxicity(spark, docs, odd, sf):
     assert dropped.columns == odd.columns
 
 
+def test_toxicity_features_and_calibration(spark):
+    """The dense features by another count, weights by their formula, scores that never fall where the trees' probability rises."""
+    rows = [{"term": t, **{f"toxic_{f}": a for f in range(1, 5)}, **{f"clean_{f}": c for f in range(1, 5)}} for t, a, c in (("w:vexual", 5, 0), ("4:vexu", 6, 1), ("w:house", 1, 90))]
+    lexicon = toxicity.Lexicon(rows, [[100, 20]] * 4)
+    for out in range(5):
+        kept = 3 if out else 4
+        prior = (20 * kept + 1) / (100 * kept + 1)
+        assert lexicon.weights[out]["4:vexu"] == pytest.approx(math.log((6 * kept + 0.5 * prior) / (kept + 0.5)) - math.log(prior))
+    text = "You VEXUAL fool!! the house the the 42 v3xual, Your house"
+    got = dict(zip(toxicity.FEATURES, lexicon.features(text), strict=True))
+    tokens = text.split()
+    assert got["words"] == len(tokens) and got["second_person"] == pytest.approx(1000 * 2 / len(tokens))
+    assert got["capitals"] == pytest.approx(sum(c.isupper() for c in text) / len(text)) and got["exclamations"] == pytest.approx(text.count("!") / len(text))
+    assert got["digits"] == pytest.approx(sum(c.isdigit() for c in text) / len(text)) and got["punctuation"] == pytest.approx(text.count(",") / len(text))
+    assert got["repeats"] == pytest.approx(sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / len(tokens)) and got["longest_run"] == 1
+    assert got["insults"] == 1 and got["obfuscated"] == pytest.approx(1 / len(tokens)) and got["nearest"] == 1
+    assert got["max_word"] == pytest.approx(max(3.0, lexicon.weights[0]["w:vexual"])) and got["max_prefix4"] == pytest.approx(lexicon.weights[0]["4:vexu"])
+    assert toxicity.Lexicon([], [[0, 0]] * 4).features(None)[0] == 0
+    rng = np.random.default_rng(1)
+    made = [(i, " ".join(rng.choice(["the", "of", "plain", "word", "vexu", "glorp"], 20, p=[0.3, 0.3, 0.2, 0.1, 0.07, 0.03]))) for i in range(300)]
+    marks = [(i, 1, int("glorp" in t or rng.random() < 0.1)) for i, t in made]
+    scored = toxicity.score_toxicity(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).orderBy("raw").collect()
+    assert len({r.raw for r in scored}) > 3 and all(a.score <= b.score + 1e-12 for a, b in zip(scored, scored[1:], strict=False))
+
+
 def test_toxicity_undoes_disguise():
     assert toxicity._normal("1d1ot!!")[0] == "idiot" and toxicity._normal("Idiooooot.")[0] == "idioot"
     assert toxicity._normal("i.d.i.o.t") == ("idiot", True) and toxicity._normal("...") == ("", False)

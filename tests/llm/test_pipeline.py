@@ -10,7 +10,7 @@ import corpus_pipeline
 from cairn.llm import near_copies, toxicity
 from cairn.llm.simhash import fingerprint
 from cairn.llm.tokens import encoder
-from tests.llm.test_documents import base_spans, classes, mixed
+from tests.llm.test_documents import base_spans, classes, mixed, odd  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +103,15 @@ def test_packing_stage(stages):
 
 def test_run_is_the_stages(spark, sf, stages):
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(map(tuple, stages["packing"][1]))
+
+
+def test_stages_of_odd_rows(spark, sf, odd, tmp_path):  # noqa: F811
+    """Nulls, long and repeated texts, ids that are null or shared, clashing columns, and a table without rows go through every stage."""
+    for at, table in enumerate((odd, odd.limit(0))):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, docs, sf)
+            assert name == "packing" or made.columns == table.columns
+            made.write.parquet(f"{tmp_path}/{at}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{at}/{name}")
+        assert (docs.count() > 0) == (at == 0)
