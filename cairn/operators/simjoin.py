@@ -111,11 +111,26 @@ def match_pairs(features: DataFrame, pairs: DataFrame, matcher: Matcher) -> Data
     return sides.groupBy("first", "second").applyInPandas(run, EDGES)
 
 
-def match_frames(features: DataFrame, matcher: Matcher, block: int = 8) -> DataFrame:
+#: Features of the two blocks that a task holds, at most about.
+GROUP_FEATURES = 65_536
+
+
+def block_of(features: DataFrame) -> int:
+    """Frames to a block: as many as a task can hold, for each frame is copied once for every block, but blocks for every core twice."""
+    n = features.agg(F.min("row_id").alias("a"), F.max("row_id").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    frames = (n["b"] - n["a"] + 1) if n["n"] else 1
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    held = GROUP_FEATURES * frames // (2 * max(1, n["n"]))
+    return max(1, min(held, -(-frames // -(-int((4 * cores) ** 0.5 * 1000) // 1000))))
+
+
+def match_frames(features: DataFrame, matcher: Matcher, block: int | None = None) -> DataFrame:
     """match_edges of every pair of frames of features (row_id, feature_id, descriptor).
 
-    A matcher is any function of two float matrices. Null descriptors are left out.
+    A matcher is any function of two float matrices. Null descriptors are left out. A block
+    has so many frames (block_of where it is not given).
     """
+    block = block or block_of(features.select(F.col("row_id").cast("long").alias("row_id")))
     rows = features.where("descriptor is not null").select(F.col("row_id").cast("long").alias("row_id"), F.col("feature_id").cast("long").alias("feature_id"), "descriptor")
     rows = rows.withColumn("b", F.floor(F.col("row_id") / block))
     blocks = F.broadcast(rows.select("b").distinct().agg(F.sort_array(F.collect_list("b")).alias("all")))
