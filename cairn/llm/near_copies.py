@@ -162,24 +162,26 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     stars = members.where("sid <> head").select(F.col("sid").alias("src"), F.col("head").alias("dst")).distinct()
     stars = checkpoint(_near(stars, prints))
     needed = stars.select(F.col("src").alias("sid")).union(stars.select("dst")).distinct()
-    sets = checkpoint(_sets(texts.join(needed, "sid", "left_semi")).groupBy("sid").agg(F.any_value("shingles").alias("shingles")))
+    sets = _sets_of(texts, needed)
     # the closest head of each text, then the heads that this leaves in other groups
     closest = stars.groupBy("src").agg(F.min(F.struct("bits", "dst")).alias("m")).select("src", "m.dst")
     edges = checkpoint(_alike(closest, sets))
     rest = _apart(stars.select("src", "dst").join(closest, ["src", "dst"], "left_anti"), _labels(edges))
     edges = checkpoint(edges.union(_alike(rest, sets)))
-    # what shares an anchor, is no head and is still apart
-    labels = _labels(edges)
-    left = members.where("sid <> head").join(needed, "sid", "left_semi").join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-    left = checkpoint(left)
+    # what shares an anchor and is still apart, whether or not it is near the anchor's head
+    left = checkpoint(members.where("sid <> head").join(_labels(edges), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label")))
     split = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     left = checkpoint(left.join(split, "key").join(prints, "sid"))
-    if left.isEmpty():
-        return connected_components(edges)
     renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
     pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & (_bits("a", "b") <= MOST_BITS)).select("src", "dst").distinct()
-    # cut here: the planner's constraints of that many columns multiply with every operator above them
-    return connected_components(edges.union(_alike(checkpoint(pairs), sets)))
+    pairs = checkpoint(pairs)
+    ends = pairs.select(F.col("src").alias("sid")).union(pairs.select("dst")).distinct()
+    return connected_components(edges.union(_alike(pairs, _sets_of(texts, ends))))
+
+
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, shingles) of the wanted (sid), one row for each."""
+    return checkpoint(_sets(texts.join(wanted, "sid", "left_semi")).groupBy("sid").agg(F.any_value("shingles").alias("shingles")))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
