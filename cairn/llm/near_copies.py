@@ -42,12 +42,16 @@ TABLES = 20
 REACH = 2
 #: (first bit, length, check bits, covering radius) of the code of each block, as in simhash.
 BLOCKS = ((0, 23, 11, 3), (23, 23, 11, 3), (46, 3, 2, 1), (49, 3, 2, 1))
-#: Most of the 1,280 bits in which the fingerprints of near copies may differ: 194 are expected, 240 for texts of a few words, with a deviation of 14.
-MOST_BITS = 285
+#: Most of the 1,280 bits in which the fingerprints of near copies may differ: 194 are expected with a deviation of 13; 240 and 14 for texts of fewer than FEW shingles.
+MOST_BITS, MOST_BITS_OF_FEW, FEW = 233, 285, 20
+#: Most bits in which another table's fingerprint may differ where only two texts meet: 10 are expected, 12 for a few words, with a deviation of 3; strangers differ in 32.
+MOST_SKETCH = 24
+#: Texts whose anchors one task makes.
+DEALT = 4096
 #: Rows to leave out are broadcast up to so many, beyond that joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Heads of a crowd: one for each of four orders of the texts.
-MASKS = (0, 0x5555555555555555, 0x3C3C3C3C3C3C3C3C, 0x6969696969696969)
+#: Heads of a crowd: one for each of sixteen orders of the texts.
+MASKS = tuple(i * 0x1E3779B97F4A7C15 % (1 << 63) for i in range(16))
 
 
 def words(text_col: str = "text") -> Column:
@@ -80,21 +84,23 @@ def wide_fingerprint(hashes: np.ndarray, tables: int = TABLES) -> np.ndarray:
 
 
 def _fingerprints(texts: DataFrame) -> DataFrame:
-    """(sid, f0, f1, ...) of rows (sid, text), one row for each sid."""
+    """(sid, f0, f1, ..., few) of rows (sid, text), one row for each sid; few marks texts of fewer than FEW shingles."""
     names = [f"f{t}" for t in range(TABLES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("near copies")
         for batch in batches:
-            made = np.array([wide_fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, TABLES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, t]) for t in range(TABLES))], names=["sid", *names])
+            hashes = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
+            made = np.array([wide_fingerprint(h) for h in hashes], np.uint64).reshape(-1, TABLES).view(np.int64)
+            few = pa.array([len(h) < FEW for h in hashes], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, t]) for t in range(TABLES)), few], names=["sid", *names, "few"])
 
-    made = texts.select("sid", "text").mapInArrow(run, "sid long, " + ", ".join(f"{n} long" for n in names))
-    return made.groupBy("sid").agg(*(F.any_value(n).alias(n) for n in names))
+    made = texts.select("sid", "text").mapInArrow(run, "sid long, " + ", ".join(f"{n} long" for n in names) + ", few boolean")
+    return made.groupBy("sid").agg(*(F.any_value(n).alias(n) for n in [*names, "few"]))
 
 
 def _replicas(prints: DataFrame) -> DataFrame:
-    """(key, sid): every anchor of every table within reach; a key stands for table and anchor."""
+    """(key, sid, sketch): every anchor of every table within reach; a key stands for table and anchor, the sketch is the next table's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("near copies")
@@ -105,9 +111,10 @@ def _replicas(prints: DataFrame) -> DataFrame:
                 for t in range(TABLES):
                     fps = batch.column(1 + t).to_numpy().view(np.uint64) & np.uint64((1 << 52) - 1)
                     rows, anchor = anchors(fps, REACH, BLOCKS)
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows])], names=["key", "sid"])
+                    sketch = batch.column(1 + (t + 1) % TABLES).to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows]), pa.array(sketch[rows])], names=["key", "sid", "sketch"])
 
-    return prints.mapInArrow(run, "key long, sid long")
+    return prints.repartition(max(1, -(-prints.count() // DEALT))).mapInArrow(run, "key long, sid long, sketch long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -141,12 +148,16 @@ def _bits(left: str, right: str) -> Column:
     return total
 
 
+def _close(bits: Column) -> Column:
+    return bits <= F.when(F.col("few_a") | F.col("few_b"), MOST_BITS_OF_FEW).otherwise(MOST_BITS)
+
+
 def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """pairs (src, dst, ...) with bits, of those that differ in at most MOST_BITS."""
+    """pairs (src, dst, ...) with bits, of those that differ in few enough of them."""
     for end, name in (("src", "a"), ("dst", "b")):
-        pairs = pairs.join(prints.select(F.col("sid").alias(end), *(F.col(f"f{t}").alias(f"{name}{t}") for t in range(TABLES))), end)
-    kept = [c for c in pairs.columns if not (c[0] in "ab" and c[1:].isdigit())]
-    return pairs.withColumn("bits", _bits("a", "b")).where(F.col("bits") <= MOST_BITS).select(*kept, "bits")
+        pairs = pairs.join(prints.select(F.col("sid").alias(end), F.col("few").alias(f"few_{name}"), *(F.col(f"f{t}").alias(f"{name}{t}") for t in range(TABLES))), end)
+    kept = [c for c in pairs.columns if not (c[0] in "ab" and c[1:].isdigit() or c.startswith("few_"))]
+    return pairs.withColumn("bits", _bits("a", "b")).where(_close(F.col("bits"))).select(*kept, "bits")
 
 
 def near_copy_groups(texts: DataFrame) -> DataFrame:
@@ -155,10 +166,12 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     prints = checkpoint(_fingerprints(texts))
     rows = _replicas(prints)
     mask = F.element_at(F.array(*(F.lit(m).cast("long") for m in MASKS)), (F.pmod("key", F.lit(len(MASKS))) + 1).cast("int"))
-    shared = rows.groupBy("key").agg(F.min(F.col("sid").bitwiseXOR(mask)).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # strangers that meet by chance are nearly always two, and these are told by their sketches: the bits in only one of them
+    strange = F.bit_count(F.bit_and("sketch").bitwiseXOR(F.bit_or("sketch")))
+    shared = rows.groupBy("key").agg(F.min(F.col("sid").bitwiseXOR(mask)).alias("low"), F.count(F.lit(1)).alias("n"), strange.alias("apart")).where(F.expr("n > 1") & ((F.col("n") > 2) | (F.col("apart") <= MOST_SKETCH)))
     shared = checkpoint(shared.select("key", F.col("low").bitwiseXOR(mask).alias("head")))
     few = shared.count() <= BROADCAST_ROWS
-    members = checkpoint(rows.join(F.broadcast(shared) if few else shared, "key"))
+    members = checkpoint(rows.drop("sketch").join(F.broadcast(shared) if few else shared, "key"))
     stars = members.where("sid <> head").select(F.col("sid").alias("src"), F.col("head").alias("dst")).distinct()
     stars = checkpoint(_near(stars, prints))
     needed = stars.select(F.col("src").alias("sid")).union(stars.select("dst")).distinct()
@@ -172,8 +185,8 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     left = checkpoint(members.where("sid <> head").join(_labels(edges), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label")))
     split = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     left = checkpoint(left.join(split, "key").join(prints, "sid"))
-    renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
-    pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & (_bits("a", "b") <= MOST_BITS)).select("src", "dst").distinct()
+    renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), F.col("few").alias(f"few_{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
+    pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & _close(_bits("a", "b"))).select("src", "dst").distinct()
     pairs = checkpoint(pairs)
     ends = pairs.select(F.col("src").alias("sid")).union(pairs.select("dst")).distinct()
     return connected_components(edges.union(_alike(pairs, _sets_of(texts, ends))))
