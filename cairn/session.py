@@ -55,13 +55,24 @@ def run_dir(spark: SparkSession) -> str:
     return path
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a table written in the shared folder.
+def new_path(spark: SparkSession) -> str:
+    """A path in the application's folder that nothing has."""
+    return f"{run_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what checkpoint() wrote there, once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def checkpoint(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Cut the lineage of df with a table written in the shared folder, at a path of its own where none is given.
 
     Unlike a checkpointed RDD, a table has its true size: the planner's estimate of a loop's
     rounds, each joined with the one before, would otherwise grow without end.
     """
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
