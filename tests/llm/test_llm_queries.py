@@ -16,7 +16,8 @@ def test_query(spark, duck, sf, name):  # noqa: F811
         assert sorted(found.columns) == sorted(want.columns)
         assert rows(found) == rows(want)
     else:
-        assert found["doc_id"].nunique() == spark.read.parquet(f"{sf}/documents.parquet").count()
+        key, table = ("vec_id", "embeddings") if "vec_id" in found else ("doc_id", "documents")
+        assert found[key].nunique() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
 
 def test_pii_sql_finds_disclosing_terms(spark):
