@@ -46,15 +46,17 @@ class Tracking:
 
 @dataclass(frozen=True)
 class Verification:
-    """Options of ``operators.epipolar`` and of the gates on what it verifies."""
+    """Options of ``operators.twoview``, ``operators.epipolar`` and of the gates on what they verify."""
 
     threshold: float = 1.5
     reprojection: float = 3.0
-    min_parallax: float = 1.0
+    min_parallax: float = 2.0
     min_inliers: int = 30
-    min_coverage: float = 0.1
+    min_coverage: float = 0.2
+    max_homography: float = 0.9
     most: int = 3000
     sure: float = 0.9999
+    seed: int = 7
 
     def __post_init__(self) -> None:
         for name in ("threshold", "reprojection", "min_parallax"):
@@ -62,6 +64,7 @@ class Verification:
         _require(self.min_parallax < 90, "min_parallax must be below 90 degrees")
         _require(self.min_inliers >= 8 and self.most >= 1, "min_inliers must be 8 or more and most 1 or more")
         _require(0 < self.min_coverage <= 1 and 0 < self.sure < 1, "min_coverage must be above 0, at most 1, and sure between 0 and 1")
+        _require(0 < self.max_homography <= 1 and self.seed >= 0, "max_homography must be above 0, at most 1, and seed 0 or more")
 
     def options(self) -> dict:
         return {"threshold": self.threshold, "most": self.most, "sure": self.sure}
