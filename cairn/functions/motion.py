@@ -148,3 +148,76 @@ def half_bytes(values: pd.Series) -> pd.Series:
 def from_half_bytes(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in raw:
         yield part.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype(np.float32))
+
+
+def inverse_similar(s: Column, r: Column, t: Column) -> Column:
+    """(s, r, t) of the similarity back."""
+    rigid = inverse(r, t)
+    return F.struct((1 / s).alias("s"), rigid["r"].alias("r"), F.transform(rigid["t"], lambda x: x / s).alias("t"))
+
+
+def similar_error(s: Column, r: Column, t: Column) -> Column:
+    """How far a similarity is from none, as seven numbers: its rotation's vector, its shift, the logarithm of its scale."""
+    return F.concat(vector_of(r), t, F.array(F.log(s)))
+
+
+def _adjoint(s: Column, r: Column, t: Column) -> list[list[Column | None]]:
+    """similar_adjoint's entries, None for those that are always zero."""
+    across = ((None, -t[2], t[1]), (t[2], None, -t[0]), (-t[1], t[0], None))
+    rows = [[*(r[3 * i + j] for j in range(3)), *[None] * 4] for i in range(3)]
+    for i in range(3):
+        turned = [sum((across[i][k] * r[3 * k + j] for k in range(3) if k != i), F.lit(0.0)) for j in range(3)]
+        rows.append([*turned, *(s * r[3 * i + j] for j in range(3)), -t[i]])
+    return [*rows, [*[None] * 6, F.lit(1.0)]]
+
+
+def similar_adjoint(s: Column, r: Column, t: Column) -> Column:
+    """The 7 by 7 matrix, row-major, that takes small changes (turn, shift, log scale) made before the similarity to those after it that do the same."""
+    return F.array(*(F.lit(0.0) if x is None else x for row in _adjoint(s, r, t) for x in row))
+
+
+def carried(s: Column, r: Column, t: Column, covariance: Column) -> Column:
+    """a c a^T with the similarity's adjoint a: a covariance of changes before it, 7 by 7 and row-major, as one of changes after it."""
+    shape = [[x is not None for x in row] for row in _adjoint(s, r, t)]
+
+    def dot(left: list[tuple[int, Column]], right: list[Column]) -> Column:
+        return sum((x * right[k] for k, x in left[1:]), left[0][1] * right[left[0][0]])
+
+    def products(both: Column) -> Column:
+        a, c = both["a"], both["c"]
+        rows = [[(k, a[7 * i + k]) for k in range(7) if shape[i][k]] for i in range(7)]
+        half = F.array(*(dot(rows[i], [c[7 * k + j] for k in range(7)]) for i in range(7) for j in range(7)))
+        return bound(F.struct(half.alias("h"), a.alias("a")), lambda x: F.array(*(dot([(k, x["a"][7 * j + k]) for k in range(7) if shape[j][k]], [x["h"][7 * i + k] for k in range(7)]) for i in range(7) for j in range(7))))
+
+    return bound(F.struct(similar_adjoint(s, r, t).alias("a"), covariance.alias("c")), products)
+
+
+def squared_length(vector: Column, covariance: Column, size: int = 7) -> Column:
+    """v^T c^-1 v of a positive definite c, row-major: one row after the other is eliminated, with the vector alongside; null where c is not positive definite."""
+
+    def eliminate(m: Column, n: int) -> Column:
+        """m: n rows of n + 1 numbers, the last one the vector's, and behind them the sum so far."""
+        wide = n + 1
+        if n == 0:
+            return m[0]
+        pivot = F.when(m[0] > 0, m[0])
+        rest = [m[i * wide + j] - m[i * wide] * m[j] / pivot for i in range(1, n) for j in range(1, wide)]
+        return bound(F.array(*rest, m[n * wide] + m[n] * m[n] / pivot), lambda x: eliminate(x, n - 1))
+
+    cells = [x for i in range(size) for x in (*(covariance[size * i + j] for j in range(size)), vector[i])]
+    return bound(F.array(*cells, F.lit(0.0)), lambda m: eliminate(m, size))
+
+
+def reciprocal_distance(s1: Column, r1: Column, t1: Column, c1: Column, s2: Column, r2: Column, t2: Column, c2: Column) -> Column:
+    """The squared Mahalanobis distance from nothing of a similarity after its supposed way back, (s1, r1, t1) after (s2, r2, t2), with the 7 by 7 covariances of both."""
+
+    def composed(x: Column) -> Column:
+        both = F.struct(compose_similar(x["s1"], x["r1"], x["t1"], x["s2"], x["r2"], x["t2"]).alias("m"), carried(x["s1"], x["r1"], x["t1"], x["c2"]).alias("c2"), x["c1"].alias("c1"))
+        return bound(both, measured)
+
+    def measured(x: Column) -> Column:
+        total = F.zip_with(x["c1"], x["c2"], lambda own, other: own + other)
+        return bound(F.struct(total.alias("c"), similar_error(x["m"]["s"], x["m"]["r"], x["m"]["t"]).alias("v")), lambda y: squared_length(y["v"], y["c"]))
+
+    names = ("s1", "r1", "t1", "c1", "s2", "r2", "t2", "c2")
+    return bound(F.struct(*(c.alias(n) for c, n in zip((s1, r1, t1, c1, s2, r2, t2, c2), names, strict=True))), composed)

@@ -61,12 +61,10 @@ def ray_cells(origin: np.ndarray, point: np.ndarray, voxel: float, truncation: f
     return [(*map(int, c), float(d)) for c, d in zip(cells, distances, strict=True)]
 
 
-def integrate(samples: DataFrame, voxel: float, truncation: float) -> DataFrame:
-    """Per (segment, ix, iy, iz): sum of weights, mean signed distance, rays.
+def ray_samples(samples: DataFrame, by: list[str], voxel: float, truncation: float) -> DataFrame:
+    """(by, ix, iy, iz, w, wd): for each cell that a sample's ray crosses near its end the sample's weight and weighted signed distance.
 
-    samples has segment, px, py, pz, ox, oy, oz and weight. Rays are walked in the tasks that
-    read them; their cells are summed before and after the shuffle. Null or non-finite
-    coordinates and rays without length are left out.
+    samples has by (longs), px, py, pz, ox, oy, oz and weight. Null or non-finite coordinates and rays without length are left out.
     """
     columns = ["px", "py", "pz", "ox", "oy", "oz", "weight"]
 
@@ -78,9 +76,15 @@ def integrate(samples: DataFrame, voxel: float, truncation: float) -> DataFrame:
                 values = frame[columns].to_numpy(float)
                 ray, cells, distance = walk(values[:, 3:6], values[:, :3], voxel, truncation)
                 weight = values[ray, 6]
-                yield pd.DataFrame({"segment": frame["segment"].to_numpy()[ray], "ix": cells[:, 0], "iy": cells[:, 1], "iz": cells[:, 2], "w": weight, "wd": weight * distance})
+                yield pd.DataFrame({**{b: frame[b].to_numpy()[ray] for b in by}, "ix": cells[:, 0], "iy": cells[:, 1], "iz": cells[:, 2], "w": weight, "wd": weight * distance})
+
+    rows = samples.select(*(F.col(b).cast("long").alias(b) for b in by), *(F.col(c).cast("double").alias(c) for c in columns))
+    return rows.mapInPandas(run, "".join(f"`{b}` long, " for b in by) + "ix long, iy long, iz long, w double, wd double")
 
-    cells = samples.select(F.col("segment").cast("long").alias("segment"), *(F.col(c).cast("double").alias(c) for c in columns)).mapInPandas(run, "segment long, ix long, iy long, iz long, w double, wd double")
+
+def integrate(samples: DataFrame, voxel: float, truncation: float) -> DataFrame:
+    """Per (segment, ix, iy, iz): sum of weights, mean signed distance, rays, of samples as in ray_samples; cells are summed before and after the shuffle."""
+    cells = ray_samples(samples, ["segment"], voxel, truncation)
     return cells.groupBy("segment", "ix", "iy", "iz").agg(F.sum("w").alias("weight"), (F.sum("wd") / F.sum("w")).alias("distance"), F.count(F.lit(1)).alias("rays"))
 
 
