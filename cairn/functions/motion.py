@@ -87,13 +87,18 @@ def updated(predicted: Column, variance: Column, flow_variance: Column, measured
     return F.struct(F.when(known, predicted + gain * (measured - predicted)).otherwise(measured).alias("value"), F.when(known, (1 - gain) * before).otherwise(measured_variance).alias("variance"))
 
 
-def fused(state: Column, variance: Column, measured: Column, measured_variance: Column, outlier_sigmas: float = 3.0, min_sigma: float = 0.0) -> Column:
+def fused(state: Column, variance: Column, measured: Column, measured_variance: Column, outlier_sigmas: float = 3.0, min_sigma: float = 0.0, measurement_sigma: float = 0.0) -> Column:
     """(value, variance) of an inverse depth after a measurement.
 
     Estimates that agree are multiplied; of two that don't, a more certain newcomer replaces
     the state, else the state stays and is doubted twice as much. Without a state the
     measurement is it, without a measurement the state stays. The variance has a floor.
+
+    What the measurement's own variance does not cover, the poses and the model, is a share of its
+    value, measurement_sigma, whose square is added.
     """
+    if measurement_sigma:
+        measured_variance = measured_variance + measurement_sigma * measurement_sigma * measured * measured
     total, gap = variance + measured_variance, measured - state
     agree = gap * gap <= outlier_sigmas * outlier_sigmas * total
     value = F.when(measured.isNull(), state).when(state.isNull(), measured).when(agree, (state * measured_variance + measured * variance) / total).when(measured_variance < variance, measured).otherwise(state)
@@ -140,14 +145,27 @@ def audited_depth(truth: Column, rho: Column, variance: Column) -> Column:
 
 @F.pandas_udf(BinaryType())
 def half_bytes(values: pd.Series) -> pd.Series:
-    """Numbers as 16-bit floats, little-endian."""
-    return values.map(lambda v: None if v is None else np.asarray(v, np.float64).astype("<f2").tobytes())
+    """Numbers as 16-bit floats, little-endian; all rows of a batch are converted at once."""
+    there = values.notna().to_numpy()
+    kept = values[there]
+    sizes = np.array([len(v) for v in kept], np.int64)
+    raw = (np.concatenate(kept.to_list()).astype(np.float64) if len(kept) else np.zeros(0)).astype("<f2").tobytes()
+    ends = 2 * np.cumsum(sizes)
+    out = pd.Series([None] * len(values), index=values.index, dtype=object)
+    out[there] = [raw[end - 2 * size : end] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return out
 
 
 @F.pandas_udf(ArrayType(FloatType()))
 def from_half_bytes(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in raw:
-        yield part.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype(np.float32))
+        there = part.notna().to_numpy()
+        kept = part[there]
+        flat = np.frombuffer(b"".join(kept), "<f2").astype(np.float32)
+        out = pd.Series([None] * len(part), index=part.index, dtype=object)
+        ends = np.cumsum([len(b) // 2 for b in kept])
+        out[there] = pd.Series(np.split(flat, ends[:-1]) if len(kept) else [], index=kept.index, dtype=object)
+        yield out
 
 
 def inverse_similar(s: Column, r: Column, t: Column) -> Column:

@@ -24,9 +24,15 @@ def colour(identifier: Column) -> Column:
 
 
 def whole_nanoseconds(text: Column) -> Column:
-    """Seconds as decimal text to nanoseconds; null unless they are a whole number from 0 below 2^63."""
-    exact = text.try_cast("decimal(38,12)") * F.lit(1_000_000_000).cast("decimal(10,0)")
-    return F.when((exact >= 0) & (exact < F.lit(str(1 << 63)).cast("decimal(38,0)")) & (exact == F.floor(exact)), exact.cast("long"))
+    """Seconds as decimal text to nanoseconds; null unless they are a whole number from 0 below 2^63, however many digits the text has."""
+    exponent = F.coalesce(F.nullif(F.regexp_extract(text, "[eE]([+-]?\\d+)", 1), F.lit("")).try_cast("int"), F.lit(0))
+    mantissa = F.regexp_replace(text, "[eE].*$", "")
+    digits = F.regexp_replace(mantissa, "[^0-9]", "")
+    # decimals that are left once the zeros at the end of all digits are taken away
+    decimals = F.length(F.regexp_extract(mantissa, "\\.(\\d*)", 1)) - exponent - F.length(digits) + F.length(F.rtrim(digits, F.lit("0")))
+    whole = (decimals <= 9) | (F.rtrim(digits, F.lit("0")) == "")
+    exact = text.try_cast("decimal(38,9)") * F.lit(1_000_000_000).cast("decimal(10,0)")
+    return F.when(whole & (exact >= 0) & (exact < F.lit(str(1 << 63)).cast("decimal(38,0)")), exact.cast("long"))
 
 
 def track_length_bin(n: Column) -> Column:
@@ -60,6 +66,16 @@ def huber_cost(squared: Column, delta: float) -> Column:
     return F.when(squared <= delta * delta, squared).otherwise(2 * delta * F.sqrt(squared) - delta * delta)
 
 
+def soft_l1_cost(squared: Column, delta: float) -> Column:
+    """Near the square for errors below delta and near twice their size beyond, without a corner."""
+    return 2 * delta * delta * (F.sqrt(1 + squared / (delta * delta)) - 1)
+
+
+def soft_l1_weight(squared: Column, delta: float) -> Column:
+    """The slope of soft_l1_cost: what a squared error counts in a reweighted sum."""
+    return 1 / F.sqrt(1 + squared / (delta * delta))
+
+
 def confidence(sigma: Column, tolerance: float) -> Column:
     """The chance that a Rayleigh error of scale sigma is within the tolerance."""
     return 1 - F.exp(-F.lit(tolerance * tolerance) / (2 * sigma * sigma))

@@ -93,9 +93,11 @@ SELECT r.l_suppkey, count(*) AS n, round(any_value(scale), 4) AS scale, round(qu
 def depth_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A median scale per keyframe of a hundred samples or more, then the errors under it."""
     r = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice").cast("double") / (F.col("l_quantity").cast("double") * 1000)).alias("ratio"))
-    s = r.groupBy("l_suppkey").agg(F.percentile("ratio", F.lit(0.5)).alias("scale"), F.count(F.lit(1)).alias("c")).where("c >= 100").drop("c")
+    s = checkpoint(quantiles(r, ["l_suppkey"], "ratio", (0.5,)).where("n >= 100").select("l_suppkey", F.col("q0").alias("scale")))
     e = r.join(s, "l_suppkey").withColumn("error", F.abs(F.col("ratio") / F.col("scale") - 1))
-    return e.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("scale"), 4).alias("scale"), F.round(F.percentile("error", F.lit(0.5)), 4).alias("median_error"), F.round(F.avg((F.col("error") < 0.1).cast("int")), 6).alias("within_10"))
+    middle = quantiles(e, ["l_suppkey"], "error", (0.5,)).select("l_suppkey", F.round("q0", 4).alias("median_error"))
+    sums = e.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("scale"), 4).alias("scale"), F.round(F.avg((F.col("error") < 0.1).cast("int")), 6).alias("within_10"))
+    return sums.join(middle, "l_suppkey").select("l_suppkey", "n", "scale", "median_error", "within_10")
 
 
 @query(

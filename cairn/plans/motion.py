@@ -58,14 +58,14 @@ def filtered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 47 AS a, 0.001 + CAST(l_tax AS DOUBLE) / 97 AS va, CAST(l_extendedprice AS DOUBLE) / 97000 AS b, 0.001 + CAST(l_discount AS DOUBLE) / 89 AS vb FROM lineitem),
+    """WITH d AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 47 AS a, 0.001 + CAST(l_tax AS DOUBLE) / 97 AS va, CAST(l_extendedprice AS DOUBLE) / 97000 AS b, 0.001 + CAST(l_discount AS DOUBLE) / 89 + 0.0004 * (CAST(l_extendedprice AS DOUBLE) / 97000) ** 2 AS vb FROM lineitem),
 f AS (SELECT *, (b - a) * (b - a) <= 9 * (va + vb) AS agree FROM d)
 SELECT l_orderkey, l_linenumber, round(CASE WHEN agree THEN (a * vb + b * va) / (va + vb) WHEN vb < va THEN b ELSE a END, 6) AS value, round(greatest(CASE WHEN agree THEN va * vb / (va + vb) WHEN vb < va THEN vb ELSE 2 * va END, pow(0.01 * CASE WHEN agree THEN (a * vb + b * va) / (va + vb) WHEN vb < va THEN b ELSE a END, 2)), 9) AS variance FROM f"""
 )
 def fused_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverse depths fused with a measurement, with the test for outliers."""
+    """Inverse depths fused with a measurement, with the test for outliers and the measurement's share of variance."""
     rows = _numbers(spark, sf_dir, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    made = M.fused(F.col("l_quantity") / 47, 0.001 + F.col("l_tax") / 97, F.col("l_extendedprice") / 97000, 0.001 + F.col("l_discount") / 89, 3.0, 0.01)
+    made = M.fused(F.col("l_quantity") / 47, 0.001 + F.col("l_tax") / 97, F.col("l_extendedprice") / 97000, 0.001 + F.col("l_discount") / 89, 3.0, 0.01, 0.02)
     return rows.select("l_orderkey", "l_linenumber", made.alias("u")).select("l_orderkey", "l_linenumber", F.round("u.value", 6).alias("value"), F.round("u.variance", 9).alias("variance"))
 
 

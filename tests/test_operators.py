@@ -40,8 +40,8 @@ def test_length_bins(spark):
 
 
 def test_whole_nanoseconds(spark):
-    rows = spark.createDataFrame([("1.5",), ("0.000000001",), ("0.0000000001",), ("-1",), ("x",), (None,), ("9223372036.854775807",), ("9223372036.854775808",)], "t string")
-    assert [r[0] for r in rows.select(S.whole_nanoseconds(F.col("t"))).collect()] == [1_500_000_000, 1, None, None, None, None, (1 << 63) - 1, None]
+    rows = spark.createDataFrame([("1.5",), ("0.000000001",), ("0.0000000001",), ("-1",), ("x",), (None,), ("9223372036.854775807",), ("9223372036.854775808",), ("1.0000000000001",), ("1.50000000000000000000",), ("15e-1",), ("1e-10",), ("0.00000000000000",), ("1200e-2",)], "t string")
+    assert [r[0] for r in rows.select(S.whole_nanoseconds(F.col("t"))).collect()] == [1_500_000_000, 1, None, None, None, None, (1 << 63) - 1, None, None, 1_500_000_000, 1_500_000_000, None, 0, 12_000_000_000]
 
 
 def test_cursors(spark):
