@@ -16,9 +16,11 @@ in one of the tables: 0.96 of the pairs with a similarity of 0.8, 0.99 at 0.85,
 (a copy is lost only if it meets no text of its group). tests/llm measures it.
 
 Comparing. Where two texts alone share an anchor and another fingerprint is far apart, they met
-by chance. The other texts under an anchor are compared with one of them, the head, first by
-all bits of their fingerprints, then by their shingles: the closest head of each text first,
-then the heads that this leaves in another group. Texts under one anchor that are still in
+by chance: of near copies at the limit a fingerprint is so far apart once in 100,000 meetings (of a few words once in 5,000), and
+they meet in several tables. The other texts under an anchor are compared with one of them, the head, first by
+all bits of their fingerprints, then by their shingles: each text with the head that it meets
+most often, then one pair of each two groups that heads would join, then the pairs that this leaves in
+different groups. Texts under one anchor that are still in
 different groups are compared with each other. So a crowd of copies costs a few comparisons
 a member, but those of its texts that link with none of its heads meet all of it. No link is
 reported that the shingles don't confirm; of those at the limit, bits lose 1 in 500.
@@ -48,6 +50,8 @@ BLOCKS = ((0, 23, 11, 3), (23, 23, 11, 3), (46, 3, 2, 1), (49, 3, 2, 1))
 MOST_BITS, MOST_BITS_OF_FEW, FEW = 233, 285, 20
 #: Most bits in which another table's fingerprint may differ where only two texts meet: 10 are expected, 12 for a few words, with a deviation of 3; strangers differ in 32.
 MOST_SKETCH = 24
+#: Shingles whose hashes are mixed at once, whatever the text's length.
+MIXED = 4096
 #: Texts whose anchors one task makes.
 DEALT = 4096
 #: Rows to leave out are broadcast up to so many, beyond that joined by a shuffle.
@@ -74,14 +78,15 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 def wide_fingerprint(hashes: np.ndarray, tables: int = TABLES) -> np.ndarray:
     """``tables`` SimHash fingerprints; each table mixes the shingles' hashes in its own way."""
-    with np.errstate(over="ignore"):
-        mixed = hashes[:, None] + (np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
-        mixed ^= mixed >> np.uint64(31)
-    ones = np.zeros(64 * tables, np.int64)
-    for at in range(0, len(mixed), 128):  # bytes hold counts up to 255
-        ones += np.add.reduce(np.unpackbits(mixed[at : at + 128].view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    ones, seeds = np.zeros(64 * tables, np.int64), np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, len(hashes), MIXED):
+        with np.errstate(over="ignore"):
+            mixed = hashes[start : start + MIXED, None] + seeds[None, :]
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+            mixed ^= mixed >> np.uint64(31)
+        for at in range(0, len(mixed), 128):  # bytes hold counts up to 255
+            ones += np.add.reduce(np.unpackbits(mixed[at : at + 128].view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
@@ -96,6 +101,7 @@ def _fingerprints(texts: DataFrame) -> DataFrame:
             made = np.array([wide_fingerprint(h) for h in hashes], np.uint64).reshape(-1, TABLES).view(np.int64)
             few = pa.array([len(h) < FEW for h in hashes], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, t]) for t in range(TABLES)), few], names=["sid", *names, "few"])
+        workers.give_back()
 
     made = texts.select("sid", "text").mapInArrow(run, "sid long, " + ", ".join(f"{n} long" for n in names) + ", few boolean")
     return made.groupBy("sid").agg(*(F.any_value(n).alias(n) for n in [*names, "few"]))
@@ -115,6 +121,7 @@ def _replicas(prints: DataFrame) -> DataFrame:
                     rows, anchor = anchors(fps, REACH, BLOCKS)
                     sketch = batch.column(1 + (t + 1) % TABLES).to_numpy()
                     yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows]), pa.array(sketch[rows])], names=["key", "sid", "sketch"])
+        workers.give_back()
 
     return prints.repartition(max(1, -(-prints.count() // DEALT))).mapInArrow(run, "key long, sid long, sketch long")
 
@@ -129,6 +136,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *map(len, made)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*made, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["sid", "shingles"])
+        workers.give_back()
 
     return texts.select("sid", "text").mapInArrow(run, "sid long, shingles array<long>")
 
@@ -174,15 +182,17 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     shared = checkpoint(shared.select("key", F.col("low").bitwiseXOR(mask).alias("head")))
     few = shared.count() <= BROADCAST_ROWS
     members = checkpoint(rows.drop("sketch").join(F.broadcast(shared) if few else shared, "key"))
-    stars = members.where("sid <> head").select(F.col("sid").alias("src"), F.col("head").alias("dst")).distinct()
-    stars = checkpoint(_near(stars, prints))
-    needed = stars.select(F.col("src").alias("sid")).union(stars.select("dst")).distinct()
-    sets = _sets_of(texts, needed)
-    # the closest head of each text, then the heads that this leaves in other groups
-    closest = stars.groupBy("src").agg(F.min(F.struct("bits", "dst")).alias("m")).select("src", "m.dst")
-    edges = checkpoint(_alike(closest, sets))
-    rest = _apart(stars.select("src", "dst").join(closest, ["src", "dst"], "left_anti"), _labels(edges))
-    edges = checkpoint(edges.union(_alike(rest, sets)))
+    # how often a text meets a head tells how near it is; each text is compared with the head that it meets most
+    stars = members.where("sid <> head").groupBy(F.col("sid").alias("src"), F.col("head").alias("dst")).agg(F.count(F.lit(1)).alias("met"))
+    stars = checkpoint(stars)
+    closest = stars.groupBy("src").agg(F.max(F.struct("met", (-F.col("dst").cast("decimal(20,0)")).alias("minus"), "dst")).alias("m")).select("src", "m.dst")
+    edges = checkpoint(_verified(closest, texts, prints))
+    rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
+    # groups that heads would join are joined by one pair of each two groups; what that leaves apart is compared in full
+    sides = [F.col("l_src"), F.col("l_dst")]
+    between = _apart(rest, _labels(edges)).groupBy(F.least(*sides).alias("low"), F.greatest(*sides).alias("high")).agg(F.max(F.struct("met", "src", "dst")).alias("m"))
+    edges = checkpoint(edges.union(_verified(between.select("m.src", "m.dst"), texts, prints)))
+    edges = checkpoint(edges.union(_verified(_apart(rest, _labels(edges)).select("src", "dst"), texts, prints)))
     # what shares an anchor and is still apart, whether or not it is near the anchor's head
     left = checkpoint(members.where("sid <> head").join(_labels(edges), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label")))
     split = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
@@ -194,6 +204,13 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     return connected_components(edges.union(_alike(pairs, _sets_of(texts, ends))))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (src, dst) that are near copies: few bits differ, and the shingles agree."""
+    near = checkpoint(_near(pairs, prints)).select("src", "dst")
+    ends = near.select(F.col("src").alias("sid")).union(near.select("dst")).distinct()
+    return _alike(near, _sets_of(texts, ends))
+
+
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, shingles) of the wanted (sid), one row for each."""
     return checkpoint(_sets(texts.join(wanted, "sid", "left_semi")).groupBy("sid").agg(F.any_value("shingles").alias("shingles")))
@@ -204,10 +221,11 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose ends are in different groups."""
+    """The pairs (src, dst, ...) whose ends are in different groups, with the groups as l_src and l_dst."""
     for end in ("src", "dst"):
         pairs = pairs.join(labels.select(F.col("sid").alias(end), F.col("label").alias(f"l_{end}")), end, "left")
-    return pairs.where(F.coalesce("l_src", "src") != F.coalesce("l_dst", "dst")).select("src", "dst")
+    pairs = pairs.withColumns({"l_src": F.coalesce("l_src", "src"), "l_dst": F.coalesce("l_dst", "dst")})
+    return pairs.where("l_src <> l_dst")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,6 +63,8 @@ def _sql(text: str) -> str:
 
 #: Matches whose lengths are summed at once, so that positions cost a little more than the text's length.
 _STEP = 64
+#: Code points of a block of text from which pieces are cut.
+_BLOCK = 1024
 
 
 def _bound(value: str, name: str, body: str) -> str:
@@ -244,8 +246,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def sanitise(docs: DataFrame, text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS, **options) -> DataFrame:
     """docs with personal data replaced by its kind, and terms that tell generalised or removed in every document.
 
-    Rows with neither stay as they are; null text stays null. All columns are kept. Texts
-    are not shuffled unless more than broadcast_terms different ones hold terms that tell.
+    Rows with neither stay as they are; null text stays null and an empty text empty. All columns are kept, whatever
+    their names; repeated rows are each rewritten, and an empty table stays empty. A text's cost is linear in its
+    length and its spans, however long it is. Texts are not shuffled unless more than broadcast_terms different ones hold terms that tell.
     """
     columns = docs.columns
     rows = docs.select(F.struct(*(F.col(c) for c in columns)).alias("_row"), F.col(text_col).alias("text"), _text_hash(text_col).alias("text_hash"))
@@ -254,12 +257,15 @@ def sanitise(docs: DataFrame, text_col: str = "text", broadcast_terms: int = BRO
     marked = rows.withColumn("base", _base("text"))
     marked = marked.join(_beside(extra, broadcast_terms), "text_hash", "left").withColumn("every", F.expr(_EVERY)) if extra is not None else marked.withColumn("every", F.col("base"))
     names = ", ".join(f"'{k}', '{v}'" for k, v in REPLACEMENTS.items())
-    rewritten = F.expr(
-        f"""aggregate(every, named_struct('at', 0, 'out', ''),
-            (a, s) -> named_struct(
-                'at', greatest(a.at, s.stop),
-                'out', case when s.start < a.at then a.out else concat(a.out, substring(text, a.at + 1, s.start - a.at), if(s.kind = 'term', s.value, map({names})[s.kind])) end),
-            a -> concat(a.out, substring(text, a.at + 1)))"""
-    )
+    # What is before a span that no span has reached yet: the largest stop so far, of whole steps first. Pieces are cut from blocks of the text, so that none is looked for from its start.
+    step = f"aggregate(sequence(0, size(v.t) div {_STEP}), array(0), (a, i) -> array_append(a, greatest(element_at(a, -1), coalesce(array_max(slice(v.t, i * {_STEP} + 1, {_STEP})), 0))))"
+    before = lambda i: f"greatest(u.m[{i} div {_STEP}], coalesce(array_max(slice(u.t, {i} div {_STEP} * {_STEP} + 1, {i} % {_STEP})), 0))"
+    piece = lambda a, z: f"if({z} <= {a}, '', substring(array_join(slice(u.p, {a} div {_BLOCK} + 1, ({z} - 1) div {_BLOCK} - {a} div {_BLOCK} + 1), ''), {a} % {_BLOCK} + 1, {z} - {a}))"
+    stand_in = f"if(s.kind = 'term', s.value, map({names})[s.kind])"
+    part = _bound(before("i"), "o", f"case when s.start < o then '' else concat({piece('o', 's.start')}, {stand_in}) end")
+    tail = _bound(before("size(u.t)"), "o", piece("o", "u.n"))
+    body = f"concat(array_join(transform(every, (s, i) -> {part}), ''), {tail})"
+    with_steps = _bound(f"named_struct('t', v.t, 'p', v.p, 'n', v.n, 'm', {step})", "u", body)
+    rewritten = F.expr(_bound(f"named_struct('t', transform(every, s -> s.stop), 'p', regexp_extract_all(text, {_sql(f'(?s).{{1,{_BLOCK}}}')}, 0), 'n', length(text))", "v", with_steps))
     new = F.when(F.size("every") > 0, rewritten).otherwise(F.col("text"))
     return marked.select(*(new.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in columns))

@@ -33,3 +33,17 @@ def enter(operator: str) -> None:
         gc.collect()
         pa.default_memory_pool().release_unused()
     _last = operator
+
+
+def give_back() -> None:
+    """Called where a task ends that leaves much memory free: an idle worker would hold on to it while stages without Python run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
