@@ -139,7 +139,7 @@ def test_tracks_by_component_are_the_global_tracks(spark):
 def test_tracks_in_rounds_are_the_global_tracks(spark):
     """Components beyond a task's size are merged in rounds: the tracks and the counters are those of the one pass."""
     rng = np.random.default_rng(5)
-    for n, size, count in ((60, 6, 200), (90, 3, 150), (12, 2, 60)):
+    for n, size, count in ((60, 6, 200), (90, 3, 150), (120, 1, 140), (12, 2, 60)):
         frame_of = {i: i // size for i in range(n)}
         edges = [(int(a), int(b), float(s)) for (a, b), s in zip(rng.integers(0, n, (count, 2)), rng.random(count).round(1), strict=True)]
         edges = sorted({(a, b): (a, b, s) for a, b, s in edges if a < b and frame_of[a] != frame_of[b]}.values())
@@ -154,6 +154,21 @@ def test_tracks_in_rounds_are_the_global_tracks(spark):
         assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
 
 
+def test_a_falling_chain_takes_few_rounds(spark, monkeypatch):
+    """Each edge of the chain is only first once the one before it has merged; a second chain repeats a frame halfway."""
+    n, calls = 1001, []
+    plain = tracks.connected_components
+    monkeypatch.setattr(tracks, "connected_components", lambda *a: calls.append(1) or plain(*a))
+    frame_of = {i: i for i in range(n)} | {2000 + i: 2000 + i if i != 30 else 2010 for i in range(60)}
+    edges = [(i, i + 1, 1 - i / 10_000) for i in range(n - 1)] + [(2000 + i, 2001 + i, 1 - i / 10_000) for i in range(10)]
+    root, merged, cycles, conflicts = tracks.associate(pd.DataFrame(edges, columns=["left", "right", "score"]), frame_of)
+    nodes = spark.createDataFrame(list(frame_of.items()), "node long, frame long")
+    got = tracks.associate_tracks(nodes, spark.createDataFrame(edges, "left long, right long, score double"), group_edges=0).collect()
+    assert {r.node: r.track for r in got} == {i: root.get(i, i) for i in frame_of}
+    assert {(r.merged, r.conflicts) for r in got if r.node < n} == {(n - 1, 0)}
+    assert len(calls) <= 20
+
+
 def test_dense_ids(spark):
     rows = spark.createDataFrame([(v,) for v in (30, 10, 20, 10, 500)], "v long")
     assert sorted((r.v, r.d) for r in tracks.dense_ids(rows, "v", "d").collect()) == [(10, 0), (10, 0), (20, 1), (30, 2), (500, 3)]
