@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import motion as M
-from cairn.operators import depths, focal, landmarks, neighbours, scans, similarity, trajectories, triangulation, twoview
+from cairn.functions import scalars as S
+from cairn.operators import depths, focal, landmarks, loops, neighbours, scans, similarity, trajectories, triangulation, twoview
 from cairn.operators.positions import positions
 from cairn.plans.bindings import EVENTS_SQL, FEATURES_SQL, events, features
 from cairn.plans.registry import query
@@ -300,3 +301,50 @@ def reciprocal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t2 = F.array(F.col("back.t")[0] + 0.03, F.col("back.t")[1], F.col("back.t")[2])
     distance = M.reciprocal_distance(F.col("s"), F.col("r"), F.col("t"), own, F.col("back.s") * 1.01, F.col("r2"), t2, F.array_repeat(F.lit(0.0), 49))
     return e.select("l_orderkey", "l_linenumber", F.round(distance, 6).alias("distance"))
+
+
+_LOOP_SQL = """l AS (SELECT l_suppkey // 4 AS second, l_suppkey AS first, l_partkey * 7919 % 1000 / 250.0 - 2 AS x, l_orderkey * 104729 % 1000 / 333.0 - 1.5 AS y, (l_partkey * 31 + l_orderkey * 7) % 500 / 100.0 AS z, (l_orderkey * 13 + l_linenumber * 7 + l_partkey) % 10 AS kind FROM lineitem WHERE l_linenumber <= 1 + l_suppkey % 3)"""
+
+
+@query(
+    f"""WITH {_LOOP_SQL}, c AS (SELECT first, second, count(*) AS matches, count(*) FILTER (WHERE kind >= 2 + first % 4) AS inliers FROM l GROUP BY first, second HAVING count(*) >= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY second ORDER BY inliers DESC, matches DESC, first) AS rank FROM c WHERE inliers >= 12) SELECT first, second, matches, inliers, 2.0 AS scale, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2"""
+)
+def loop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as shortlisted pairs, up to half of whose matches are elsewhere: the two of each four that fit a similarity best."""
+    part, order, line, first = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber").cast("long"), F.col("l_suppkey").cast("long")
+    rows = table(spark, sf_dir, "lineitem").where(line <= 1 + F.pmod(first, F.lit(3)))
+    rows = rows.select(F.floor(first / 4).alias("second"), first.alias("first"), (F.pmod(part * 7919, F.lit(1000)) / 250.0 - 2).alias("x"), (F.pmod(order * 104729, F.lit(1000)) / 333.0 - 1.5).alias("y"), (F.pmod(part * 31 + order * 7, F.lit(500)) / 100.0).alias("z"), F.pmod(order * 13 + line * 7 + part, F.lit(10)).alias("kind"), F.pmod(order * 29 + part * 3, F.lit(983)).alias("w"))
+    wrong = F.col("kind") < 2 + F.pmod("first", F.lit(4))
+    ends = rows.select("first", "second", "x", "y", "z", F.when(wrong, 40 + F.col("w") / 7.0).otherwise(1 - 2 * F.col("y")).alias("u"), F.when(wrong, F.pmod("w", F.lit(89)) / 3.0 - 90).otherwise(3 + 2 * F.col("x")).alias("v"), F.when(wrong, F.pmod("w", F.lit(71)) / 2.0).otherwise(2 * F.col("z") - 2).alias("q"))
+    found = loops.loop_candidates(ends, ("x", "y", "z"), ("u", "v", "q"), 0.02, keep=2)
+    return found.select("first", "second", "matches", "inliers", F.round("s", 6).alias("scale"), "rank")
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_partkey % 50 AS ref, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, string_agg(CAST(ref AS VARCHAR), ',' ORDER BY line, ref) AS refs, count(*) AS n FROM f GROUP BY l_orderkey"""
+)
+def ordered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order refers to, each once, in the order in which it is first named; of one line the smaller first."""
+    named = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.pmod("l_partkey", F.lit(50)).alias("ref")))).alias("all"))
+    refs = F.array_distinct(F.transform("all", lambda x: x["ref"].cast("string")))
+    return named.select("l_orderkey", F.array_join(refs, ",").alias("refs"), F.size(refs).cast("long").alias("n"))
+
+
+@query("SELECT event_id, round(2 * 100 * (sqrt(1 + (value - 50) ** 2 / 100) - 1), 6) AS cost, round(1 / sqrt(1 + (value - 50) ** 2 / 100), 6) AS weight FROM events")
+def soft_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smooth robust loss of each event's error and what the error counts under it."""
+    square = (F.col("value") - 50) * (F.col("value") - 50)
+    return table(spark, sf_dir, "events").select("event_id", F.round(S.soft_l1_cost(square, 10.0), 6).alias("cost"), F.round(S.soft_l1_weight(square, 10.0), 6).alias("weight"))
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_partkey AS track, min(l_linenumber) AS keypoint FROM lineitem GROUP BY 1, 2), solved AS (SELECT p_partkey FROM part WHERE p_size > 10), placed AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+SELECT l_orderkey, keypoint, track, p_size, round(p_retailprice, 2) AS price FROM f JOIN part ON p_partkey = track WHERE p_size > 10 AND l_orderkey NOT IN (SELECT o_orderkey FROM placed)"""
+)
+def registration_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each frame that has no pose yet, its keypoints whose track has a point in the map; a track's first keypoint in the frame stands for it."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("track")).agg(F.min("l_linenumber").alias("keypoint"))
+    points = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("track"), "p_size", F.round("p_retailprice", 2).alias("price"))
+    placed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return lines.join(placed, "l_orderkey", "left_anti").join(points, "track").select("l_orderkey", "keypoint", "track", "p_size", "price")

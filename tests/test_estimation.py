@@ -359,3 +359,20 @@ def test_voxel_ray_stream_is_integrate(spark, tmp_path, cuts):
         got = {k[2:]: r for k, r in last.items() if k[:2] == (session, segment)}
         assert set(got) == set(want)
         assert all((got[k].weight, got[k].distance, got[k].rays) == pytest.approx((want[k].weight, want[k].distance, want[k].rays)) for k in want)
+
+
+def test_loop_candidates(spark):
+    from cairn.operators import loops
+
+    rng = np.random.default_rng(8)
+    r, rows = rotation([0.2, 0.5, -0.3]), []
+    for first, second, n, wrong in ((1, 10, 60, 0.5), (2, 10, 80, 0.5), (3, 10, 19, 0.0), (4, 11, 40, 0.8), (5, 12, 30, 0.0), (6, 12, 30, 0.0)):
+        x = rng.normal(size=(n, 3))
+        y = 1.5 * x @ r.T + [1, 2, 3]
+        y[: int(wrong * n)] = rng.normal(size=(int(wrong * n), 3)) * 20 + 50
+        rows += [(first, second, *map(float, a), *map(float, b)) for a, b in zip(x, y, strict=True)]
+    table = spark.createDataFrame([*rows, (None, 10, *[0.0] * 6)], "first long, second long, a double, b double, c double, x double, y double, z double").repartition(3)
+    found = {(row.first, row.second): row for row in loops.loop_candidates(table, ("a", "b", "c"), ("x", "y", "z"), 0.01).collect()}
+    # too few matches, too few inliers, the better of two, and the smaller of equals
+    assert {k: (row.matches, row.inliers) for k, row in found.items()} == {(2, 10): (80, 40), (5, 12): (30, 30)}
+    assert found[2, 10].s == pytest.approx(1.5) and np.allclose(np.array(found[2, 10].r).reshape(3, 3), r)
