@@ -186,31 +186,29 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     stars = members.where("sid <> head").groupBy(F.col("sid").alias("src"), F.col("head").alias("dst")).agg(F.count(F.lit(1)).alias("met"))
     stars = checkpoint(stars)
     closest = stars.groupBy("src").agg(F.max(F.struct("met", (-F.col("dst").cast("decimal(20,0)")).alias("minus"), "dst")).alias("m")).select("src", "m.dst")
-    edges = checkpoint(_verified(closest, texts, prints))
+    near = checkpoint(_near(closest, prints)).select("src", "dst")
     rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
     # groups that heads would join are joined by one pair of each two groups; what that leaves apart is compared in full
     sides = [F.col("l_src"), F.col("l_dst")]
-    between = _apart(rest, _labels(edges)).groupBy(F.least(*sides).alias("low"), F.greatest(*sides).alias("high")).agg(F.max(F.struct("met", "src", "dst")).alias("m"))
-    edges = checkpoint(edges.union(_verified(between.select("m.src", "m.dst"), texts, prints)))
-    edges = checkpoint(edges.union(_verified(_apart(rest, _labels(edges)).select("src", "dst"), texts, prints)))
+    between = _apart(rest, _labels(near)).groupBy(F.least(*sides).alias("low"), F.greatest(*sides).alias("high")).agg(F.max(F.struct("met", "src", "dst")).alias("m"))
+    near = checkpoint(near.union(_near(between.select("m.src", "m.dst"), prints).select("src", "dst")))
+    supposed = checkpoint(_labels(near))
+    near = checkpoint(near.union(_near(_apart(rest, supposed).select("src", "dst"), prints).select("src", "dst")).distinct())
+    edges = checkpoint(_alike(near, _sets_of(texts, near.select(F.col("src").alias("sid")).union(near.select("dst")).distinct())))
+    # pairs that were passed over as their ends were taken for one group, where the shingles say that they aren't
+    apart = _apart(rest, _labels(edges)).drop("l_src", "l_dst")
+    again = _near(apart.join(_apart(rest, supposed).select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst"), prints).select("src", "dst")
     # what shares an anchor and is still apart, whether or not it is near the anchor's head
     left = checkpoint(members.where("sid <> head").join(_labels(edges), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label")))
     split = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     left = checkpoint(left.join(split, "key").join(prints, "sid"))
     renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), F.col("few").alias(f"few_{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
-    pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & _close(_bits("a", "b"))).select("src", "dst").distinct()
-    pairs = checkpoint(pairs)
+    pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & _close(_bits("a", "b"))).select("src", "dst")
+    pairs = checkpoint(pairs.union(again).distinct())
     ends = pairs.select(F.col("src").alias("sid")).union(pairs.select("dst")).distinct()
     return connected_components(edges.union(_alike(pairs, _sets_of(texts, ends))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (src, dst) that are near copies: few bits differ, and the shingles agree."""
-    near = checkpoint(_near(pairs, prints)).select("src", "dst")
-    ends = near.select(F.col("src").alias("sid")).union(near.select("dst")).distinct()
-    return _alike(near, _sets_of(texts, ends))
-
-
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, shingles) of the wanted (sid), one row for each."""
     return checkpoint(_sets(texts.join(wanted, "sid", "left_semi")).groupBy("sid").agg(F.any_value("shingles").alias("shingles")))
