@@ -36,7 +36,7 @@ NOTICE_WORD = "^(licen[sc]e|copyright|permission|redistribution|domain|warrant)"
 WORD = "[^a-z0-9.+]+|[.]+(?:[^a-z0-9.+]+|$)"
 #: (length, distance) of windows for templates of more than SHORT words; shorter ones have windows of their own length.
 SHORT = 12
-WINDOWS = ((16, 4), (32, 8), (64, 16), (128, 32), (256, 64))
+WINDOWS = ((16, 2), (32, 2), (64, 8), (128, 32), (256, 64))
 
 #: Short forms, standard notices and texts of common licences.
 TEMPLATES = {

@@ -511,3 +511,29 @@ def test_mixing_clashing_columns(spark, docs):
 def test_mixing_by_shuffle(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
     assert Counter((r.doc_id, r.mix_epoch) for r in mixing.mix(docs).collect()) == mixed(docs.collect())
+
+
+def test_notices_at_any_place_of_an_unbroken_line(spark):
+    """Every template after 0, 7, 23 or 50 foreign words and before 60 others, without a line's end to tell it."""
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for name, own in licenses.TEMPLATES.items():
+        for text in own:
+            for before in (0, 7, 23, 50):
+                foreign = [f"w{i}" for i in rng.integers(0, 900, before + 60)]
+                i = 100 * len(rows)
+                rows.append((i, " ".join([*foreign[:before], *text.split(), *foreign[before:]]), "en", f"s{i}"))
+                want[i] = (name, "notice")
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id: (r.licence, r.origin) for r in got} == want
+
+
+def test_sanitised_texts_are_linear_and_whole(spark):
+    """Spans in many blocks of a long text, letters beyond ASCII, spans of different kinds that overlap, repeated and empty rows, no rows."""
+    rows = [(1, "é mail a@b.cc and 1.2.3.4, +1 (555) 555-1234 x"), (2, None), (3, ""), (3, ""), (4, "nothing"), (5, "a@b.cc"), (6, "x" * 3000 + " a@b.cc " + "ü" * 2500 + " 10.0.0.1"), (7, "😀" * 1500 + " a@b.cc " + "😀" * 1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in pii.sanitise(docs).where("text is not null").collect())
+    assert got == [(1, "é mail [EMAIL] and [IP], [PHONE] x"), (3, ""), (3, ""), (4, "nothing"), (5, "[EMAIL]"), (6, "x" * 3000 + " [EMAIL] " + "ü" * 2500 + " [IP]"), (7, "😀" * 1500 + " [EMAIL] " + "😀" * 1500)]
+    assert pii.sanitise(docs).where("text is null").count() == 1 and pii.sanitise(docs.limit(0)).collect() == []
+    long = spark.createDataFrame([(1, " ".join(f"user{i}@host{i % 7}.org word" for i in range(3000)))], "doc_id long, text string")
+    assert pii.sanitise(long).first().text == " ".join(["[EMAIL] word"] * 3000)

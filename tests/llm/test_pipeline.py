@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -115,3 +116,18 @@ def test_stages_of_odd_rows(spark, sf, odd, tmp_path):  # noqa: F811
             made.write.parquet(f"{tmp_path}/{at}/{name}")
             docs = spark.read.parquet(f"{tmp_path}/{at}/{name}")
         assert (docs.count() > 0) == (at == 0)
+
+
+def test_a_hot_group_of_near_copies(spark):
+    """A crowd of near copies of one text among others: one stays, the others stay all; few pairs are looked at."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in rng.integers(0, 3000, 120)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        own[int(rng.integers(0, 120))] = f"c{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(f"d{x}" for x in rng.integers(0, 5000, 60))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in near_copies.keep_first(docs).collect()}
+    assert kept == {0, *(i for i, _ in rows if i >= 1000)}
