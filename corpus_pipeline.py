@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import mixing, near_copies, packing, pii, toxicity
-from cairn.session import run_dir, table
+from cairn.session import remove, run_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that are predicted to be toxic."""
+    """Drops the documents that are predicted to be toxic.
+
+    Null and empty texts are scored like any other; repeated rows go or stay together; an empty table stays empty. All columns stay.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -54,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table documents."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{run_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows for the table documents; a stage's files go once the next one has read them."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{run_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
