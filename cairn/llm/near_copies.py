@@ -21,7 +21,9 @@ they meet in several tables. The other texts under an anchor are compared with o
 all bits of their fingerprints, then by their shingles: each text with the head that it meets
 most often, then one pair of each two groups that heads would join, then the pairs that this leaves in
 different groups. Texts under one anchor that are still in
-different groups are compared with each other. So a crowd of copies costs a few comparisons
+different groups are compared with each other. A first round does so, but for the last two steps, with
+the anchors of four tables; then all tables are laid out, and a text meets only heads of other groups than its own.
+So a crowd of copies costs a few rows and comparisons
 a member, but those of its texts that link with none of its heads meet all of it. No link is
 reported that the shingles don't confirm; of those at the limit, bits lose 1 in 500.
 """
@@ -43,6 +45,8 @@ from cairn.session import checkpoint, text_batches
 
 SHINGLE = 5
 TABLES = 20
+#: Tables of the first round; whatever it leaves apart meets under all of them.
+FIRST_TABLES = 4
 REACH = 2
 #: (first bit, length, check bits, covering radius) of the code of each block, as in simhash.
 BLOCKS = ((0, 23, 11, 3), (23, 23, 11, 3), (46, 3, 2, 1), (49, 3, 2, 1))
@@ -107,23 +111,24 @@ def _fingerprints(texts: DataFrame) -> DataFrame:
     return made.groupBy("sid").agg(*(F.any_value(n).alias(n) for n in [*names, "few"]))
 
 
-def _replicas(prints: DataFrame) -> DataFrame:
-    """(key, sid, sketch): every anchor of every table within reach; a key stands for table and anchor, the sketch is the next table's fingerprint."""
+def _replicas(prints: DataFrame, labelled: DataFrame, tables: int) -> DataFrame:
+    """(key, sid, label, sketch) of prints and (sid, label): every anchor within reach of the first tables; a key stands for table and anchor, the sketch is the next table's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("near copies")
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                sids = batch.column(0).to_numpy()
-                for t in range(TABLES):
-                    fps = batch.column(1 + t).to_numpy().view(np.uint64) & np.uint64((1 << 52) - 1)
+                sids, labels = (batch.column(n).to_numpy() for n in ("sid", "label"))
+                for t in range(tables):
+                    fps = batch.column(f"f{t}").to_numpy().view(np.uint64) & np.uint64((1 << 52) - 1)
                     rows, anchor = anchors(fps, REACH, BLOCKS)
-                    sketch = batch.column(1 + (t + 1) % TABLES).to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows]), pa.array(sketch[rows])], names=["key", "sid", "sketch"])
+                    sketch = batch.column(f"f{(t + 1) % TABLES}").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows]), pa.array(labels[rows]), pa.array(sketch[rows])], names=["key", "sid", "label", "sketch"])
         workers.give_back()
 
-    return prints.repartition(max(1, -(-prints.count() // DEALT))).mapInArrow(run, "key long, sid long, sketch long")
+    dealt = max(1, -(-labelled.count() // DEALT))
+    return prints.join(labelled, "sid").repartition(dealt).mapInArrow(run, "key long, sid long, label long, sketch long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -170,47 +175,87 @@ def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return pairs.withColumn("bits", _bits("a", "b")).where(_close(F.col("bits"))).select(*kept, "bits")
 
 
-def near_copy_groups(texts: DataFrame) -> DataFrame:
-    """(node, component) of the texts (sid, text) that have a near copy; a sid may be there more than once, with the same words."""
-    text_batches(texts.sparkSession)
-    prints = checkpoint(_fingerprints(texts))
-    rows = _replicas(prints)
+def _meetings(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(key, sid, head) of the rows (key, sid, label, sketch) whose label isn't that of the head of their key; labelled has (sid, label) of all."""
     mask = F.element_at(F.array(*(F.lit(m).cast("long") for m in MASKS)), (F.pmod("key", F.lit(len(MASKS))) + 1).cast("int"))
     # strangers that meet by chance are nearly always two, and these are told by their sketches: the bits in only one of them
     strange = F.bit_count(F.bit_and("sketch").bitwiseXOR(F.bit_or("sketch")))
-    shared = rows.groupBy("key").agg(F.min(F.col("sid").bitwiseXOR(mask)).alias("low"), F.count(F.lit(1)).alias("n"), strange.alias("apart")).where(F.expr("n > 1") & ((F.col("n") > 2) | (F.col("apart") <= MOST_SKETCH)))
+    totals = [F.min(F.col("sid").bitwiseXOR(mask)).alias("low"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"), strange.alias("apart")]
+    shared = rows.groupBy("key").agg(*totals).where(F.expr("least <> most") & ((F.col("n") > 2) | (F.col("apart") <= MOST_SKETCH)))
     shared = checkpoint(shared.select("key", F.col("low").bitwiseXOR(mask).alias("head")))
+    shared = shared.join(labelled.select(F.col("sid").alias("head"), F.col("label").alias("head_label")), "head")
     few = shared.count() <= BROADCAST_ROWS
-    members = checkpoint(rows.drop("sketch").join(F.broadcast(shared) if few else shared, "key"))
-    # how often a text meets a head tells how near it is; each text is compared with the head that it meets most
-    stars = members.where("sid <> head").groupBy(F.col("sid").alias("src"), F.col("head").alias("dst")).agg(F.count(F.lit(1)).alias("met"))
-    stars = checkpoint(stars)
+    met = rows.drop("sketch").join(F.broadcast(shared) if few else shared, "key").where("label <> head_label")
+    return checkpoint(met.select("key", "sid", "head"))
+
+
+def _stars(members: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(src, dst, met): how often a text meets a head, which tells how near it is; each text's head that it meets most; and those of them that are near."""
+    stars = checkpoint(members.groupBy(F.col("sid").alias("src"), F.col("head").alias("dst")).agg(F.count(F.lit(1)).alias("met")))
     closest = stars.groupBy("src").agg(F.max(F.struct("met", (-F.col("dst").cast("decimal(20,0)")).alias("minus"), "dst")).alias("m")).select("src", "m.dst")
-    near = checkpoint(_near(closest, prints)).select("src", "dst")
-    rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
-    # groups that heads would join are joined by one pair of each two groups; what that leaves apart is compared in full
+    return stars, closest, checkpoint(_near(closest, prints)).select("src", "dst")
+
+
+def _bridges(rest: DataFrame, near: DataFrame, prints: DataFrame) -> DataFrame:
+    """One near pair (src, dst) of rest at most for each two groups of near that rest would join."""
     sides = [F.col("l_src"), F.col("l_dst")]
     between = _apart(rest, _labels(near)).groupBy(F.least(*sides).alias("low"), F.greatest(*sides).alias("high")).agg(F.max(F.struct("met", "src", "dst")).alias("m"))
-    near = checkpoint(near.union(_near(between.select("m.src", "m.dst"), prints).select("src", "dst")))
+    return _near(between.select("m.src", "m.dst"), prints).select("src", "dst")
+
+
+def near_copy_groups(texts: DataFrame) -> DataFrame:
+    """(node, component) of the texts (sid, text) that have a near copy; a sid may be there more than once, with the same words."""
+    text_batches(texts.sparkSession)
+    prints = checkpoint(_fingerprints(texts))
+    # a first round over few tables joins what is plainly alike, so that a crowd is one group before all its anchors are laid out
+    alone = checkpoint(prints.select("sid", F.col("sid").alias("label")))
+    stars, closest, near = _stars(_meetings(_replicas(prints, alone, FIRST_TABLES), alone), prints)
+    rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
+    near = checkpoint(near.union(_bridges(rest, near, prints)).distinct())
+    sets = _sets_of(texts, _ends(near))
+    first = checkpoint(_alike(near, sets))
+    # all tables: only texts that are not yet in their head's group meet it
+    labelled = checkpoint(alone.select("sid").join(_labels(first), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label")))
+    rows = _replicas(prints, labelled, TABLES)
+    members = _meetings(rows, labelled)
+    stars, closest, near = _stars(members, prints)
+    near = checkpoint(first.union(near))
+    rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
+    # groups that heads would join are joined by one pair of each two groups; what that leaves apart is compared in full
+    near = checkpoint(near.union(_bridges(rest, near, prints)))
     supposed = checkpoint(_labels(near))
-    near = checkpoint(near.union(_near(_apart(rest, supposed).select("src", "dst"), prints).select("src", "dst")).distinct())
-    edges = checkpoint(_alike(near, _sets_of(texts, near.select(F.col("src").alias("sid")).union(near.select("dst")).distinct())))
+    near = checkpoint(near.union(_near(_apart(rest, supposed).select("src", "dst"), prints).select("src", "dst")).distinct().join(first, ["src", "dst"], "left_anti"))
+    sets = sets.union(_sets_of(texts, _ends(near).join(sets, "sid", "left_anti")))
+    edges = checkpoint(first.union(_alike(near, sets)))
     # pairs that were passed over as their ends were taken for one group, where the shingles say that they aren't
     apart = _apart(rest, _labels(edges)).drop("l_src", "l_dst")
     again = _near(apart.join(_apart(rest, supposed).select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst"), prints).select("src", "dst")
-    # what shares an anchor and is still apart, whether or not it is near the anchor's head
-    left = checkpoint(members.where("sid <> head").join(_labels(edges), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label")))
+    # what shares an anchor and is still apart from its head: there all others meet, those of different groups
+    labels = checkpoint(alone.select("sid").join(_labels(edges), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label")))
+    own, heads = labels.withColumnRenamed("label", "l_own"), labels.select(F.col("sid").alias("head"), F.col("label").alias("l_head"))
+    split = checkpoint(members.join(own, "sid").join(heads, "head").where("l_own <> l_head").select("key", "head").distinct())
+    few = split.count() <= BROADCAST_ROWS
+    left = rows.select("key", "sid").join(F.broadcast(split) if few else split, "key").where("sid <> head").select("key", "sid")
+    left = checkpoint(left.join(labels, "sid"))
     split = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     left = checkpoint(left.join(split, "key").join(prints, "sid"))
     renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), F.col("few").alias(f"few_{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
     pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & _close(_bits("a", "b"))).select("src", "dst")
     pairs = checkpoint(pairs.union(again).distinct())
-    ends = pairs.select(F.col("src").alias("sid")).union(pairs.select("dst")).distinct()
-    return connected_components(edges.union(_alike(pairs, _sets_of(texts, ends))))
+    sets = sets.union(_sets_of(texts, _ends(pairs).join(sets, "sid", "left_anti")))
+    return connected_components(edges.union(_alike(pairs, sets)))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(sid) of both ends of the pairs (src, dst), each once."""
+    return pairs.select(F.col("src").alias("sid")).union(pairs.select("dst")).distinct()
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles) of the wanted (sid), one row for each."""
+    """(sid, shingles) of the wanted (sid), one row for each; the texts are read only if one is wanted."""
+    wanted = checkpoint(wanted)
+    if wanted.isEmpty():
+        return texts.sparkSession.createDataFrame([], "sid long, shingles array<long>")
     return checkpoint(_sets(texts.join(wanted, "sid", "left_semi")).groupBy("sid").agg(F.any_value("shingles").alias("shingles")))
 
 
