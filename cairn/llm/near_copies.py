@@ -19,7 +19,7 @@ Comparing. Where two texts alone share an anchor and another fingerprint is far
 by chance: of near copies at the limit a fingerprint is so far apart once in 100,000 meetings (of a few words once in 5,000), and
 they meet in several tables. The other texts under an anchor are compared with one of them, the head, first by
 all bits of their fingerprints, then by their shingles: each text with the head that it meets
-most often, then one pair of each two groups that heads would join, then the pairs that this leaves in
+most often (heads are texts amid a crowd, those that meet most others), then one pair of each two groups that heads would join, then the pairs that this leaves in
 different groups. Texts under one anchor that are still in
 different groups are compared with each other. A first round does so, but for the last two steps, with
 the anchors of four tables; then all tables are laid out, and a text meets only heads of other groups than its own.
@@ -60,8 +60,8 @@ MIXED = 4096
 DEALT = 4096
 #: Rows to leave out are broadcast up to so many, beyond that joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Heads of a crowd: one for each of sixteen orders of the texts.
-MASKS = tuple(i * 0x1E3779B97F4A7C15 % (1 << 63) for i in range(16))
+#: Texts are heads in order of how many they met in the first round, by fourths of powers of two, above so many bits of the sid.
+ORDER_BITS = 50
 
 
 def words(text_col: str = "text") -> Column:
@@ -112,23 +112,23 @@ def _fingerprints(texts: DataFrame) -> DataFrame:
 
 
 def _replicas(prints: DataFrame, labelled: DataFrame, tables: int) -> DataFrame:
-    """(key, sid, label, sketch) of prints and (sid, label): every anchor within reach of the first tables; a key stands for table and anchor, the sketch is the next table's fingerprint."""
+    """(key, sid, label, order, sketch) of prints and (sid, label, order): every anchor within reach of the first tables; a key stands for table and anchor, the sketch is the next table's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("near copies")
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                sids, labels = (batch.column(n).to_numpy() for n in ("sid", "label"))
+                sids, labels, orders = (batch.column(n).to_numpy() for n in ("sid", "label", "order"))
                 for t in range(tables):
                     fps = batch.column(f"f{t}").to_numpy().view(np.uint64) & np.uint64((1 << 52) - 1)
                     rows, anchor = anchors(fps, REACH, BLOCKS)
                     sketch = batch.column(f"f{(t + 1) % TABLES}").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows]), pa.array(labels[rows]), pa.array(sketch[rows])], names=["key", "sid", "label", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows]), pa.array(labels[rows]), pa.array(orders[rows]), pa.array(sketch[rows])], names=["key", "sid", "label", "order", "sketch"])
         workers.give_back()
 
     dealt = max(1, -(-labelled.count() // DEALT))
-    return prints.join(labelled, "sid").repartition(dealt).mapInArrow(run, "key long, sid long, label long, sketch long")
+    return prints.join(labelled, "sid").repartition(dealt).mapInArrow(run, "key long, sid long, label long, order long, sketch long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -176,17 +176,19 @@ def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def _meetings(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(key, sid, head) of the rows (key, sid, label, sketch) whose label isn't that of the head of their key; labelled has (sid, label) of all."""
-    mask = F.element_at(F.array(*(F.lit(m).cast("long") for m in MASKS)), (F.pmod("key", F.lit(len(MASKS))) + 1).cast("int"))
+    """(key, n, sid, head) of the rows (key, sid, label, order, sketch) whose label isn't that of the head, the least by order, of their key of n texts; labelled has (sid, label, order) of all.
+
+    Texts of one order under one anchor are heads together.
+    """
     # strangers that meet by chance are nearly always two, and these are told by their sketches: the bits in only one of them
     strange = F.bit_count(F.bit_and("sketch").bitwiseXOR(F.bit_or("sketch")))
-    totals = [F.min(F.col("sid").bitwiseXOR(mask)).alias("low"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"), strange.alias("apart")]
+    totals = [F.min("order").alias("order"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"), strange.alias("apart")]
     shared = rows.groupBy("key").agg(*totals).where(F.expr("least <> most") & ((F.col("n") > 2) | (F.col("apart") <= MOST_SKETCH)))
-    shared = checkpoint(shared.select("key", F.col("low").bitwiseXOR(mask).alias("head")))
-    shared = shared.join(labelled.select(F.col("sid").alias("head"), F.col("label").alias("head_label")), "head")
+    shared = checkpoint(shared.select("key", "n", "order"))
+    shared = shared.join(labelled.select("order", F.col("sid").alias("head"), F.col("label").alias("head_label")), "order").drop("order")
     few = shared.count() <= BROADCAST_ROWS
-    met = rows.drop("sketch").join(F.broadcast(shared) if few else shared, "key").where("label <> head_label")
-    return checkpoint(met.select("key", "sid", "head"))
+    met = rows.select("key", "sid", "label").join(F.broadcast(shared) if few else shared, "key").where("label <> head_label")
+    return checkpoint(met.select("key", "n", "sid", "head"))
 
 
 def _stars(members: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -196,10 +198,10 @@ def _stars(members: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame,
     return stars, closest, checkpoint(_near(closest, prints)).select("src", "dst")
 
 
-def _bridges(rest: DataFrame, near: DataFrame, prints: DataFrame) -> DataFrame:
-    """One near pair (src, dst) of rest at most for each two groups of near that rest would join."""
+def _bridges(apart: DataFrame, prints: DataFrame) -> DataFrame:
+    """One near pair (src, dst) at most for each two groups that the pairs of _apart would join."""
     sides = [F.col("l_src"), F.col("l_dst")]
-    between = _apart(rest, _labels(near)).groupBy(F.least(*sides).alias("low"), F.greatest(*sides).alias("high")).agg(F.max(F.struct("met", "src", "dst")).alias("m"))
+    between = apart.groupBy(F.least(*sides).alias("low"), F.greatest(*sides).alias("high")).agg(F.max(F.struct("met", "src", "dst")).alias("m"))
     return _near(between.select("m.src", "m.dst"), prints).select("src", "dst")
 
 
@@ -208,28 +210,35 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     text_batches(texts.sparkSession)
     prints = checkpoint(_fingerprints(texts))
     # a first round over few tables joins what is plainly alike, so that a crowd is one group before all its anchors are laid out
-    alone = checkpoint(prints.select("sid", F.col("sid").alias("label")))
-    stars, closest, near = _stars(_meetings(_replicas(prints, alone, FIRST_TABLES), alone), prints)
+    alone = checkpoint(prints.select("sid", F.col("sid").alias("label"), F.col("sid").alias("order")))
+    members = _meetings(_replicas(prints, alone, FIRST_TABLES), alone)
+    stars, closest, near = _stars(members, prints)
     rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
-    near = checkpoint(near.union(_bridges(rest, near, prints)).distinct())
+    near = checkpoint(near.union(_bridges(_apart(rest, _labels(near)), prints)).distinct())
     sets = _sets_of(texts, _ends(near))
     first = checkpoint(_alike(near, sets))
     # all tables: only texts that are not yet in their head's group meet it
-    labelled = checkpoint(alone.select("sid").join(_labels(first), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label")))
+    # and what meets most others is the head wherever it is, so that a crowd has few heads, those amid it
+    often = members.groupBy("sid").agg(F.sum("n").alias("often"))
+    order = F.expr(f"shiftleft(-cast(coalesce(floor(4 * log2(often)) + 1, 0) as bigint), {ORDER_BITS}) + (sid & {(1 << ORDER_BITS) - 1})")
+    labelled = alone.select("sid").join(_labels(first), "sid", "left").join(often, "sid", "left")
+    labelled = checkpoint(labelled.select("sid", F.coalesce("label", "sid").alias("label"), order.alias("order")))
     rows = _replicas(prints, labelled, TABLES)
     members = _meetings(rows, labelled)
     stars, closest, near = _stars(members, prints)
     near = checkpoint(first.union(near))
     rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
     # groups that heads would join are joined by one pair of each two groups; what that leaves apart is compared in full
-    near = checkpoint(near.union(_bridges(rest, near, prints)))
+    apart = checkpoint(_apart(rest, _labels(near)))
+    near = checkpoint(near.union(_bridges(apart, prints)))
     supposed = checkpoint(_labels(near))
-    near = checkpoint(near.union(_near(_apart(rest, supposed).select("src", "dst"), prints).select("src", "dst")).distinct().join(first, ["src", "dst"], "left_anti"))
+    tried = checkpoint(_apart(apart.drop("l_src", "l_dst"), supposed).select("src", "dst"))
+    near = checkpoint(near.union(_near(tried, prints).select("src", "dst")).distinct().join(first, ["src", "dst"], "left_anti"))
     sets = sets.union(_sets_of(texts, _ends(near).join(sets, "sid", "left_anti")))
     edges = checkpoint(first.union(_alike(near, sets)))
     # pairs that were passed over as their ends were taken for one group, where the shingles say that they aren't
     apart = _apart(rest, _labels(edges)).drop("l_src", "l_dst")
-    again = _near(apart.join(_apart(rest, supposed).select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst"), prints).select("src", "dst")
+    again = _near(apart.join(tried, ["src", "dst"], "left_anti").select("src", "dst"), prints).select("src", "dst")
     # what shares an anchor and is still apart from its head: there all others meet, those of different groups
     labels = checkpoint(alone.select("sid").join(_labels(edges), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label")))
     own, heads = labels.withColumnRenamed("label", "l_own"), labels.select(F.col("sid").alias("head"), F.col("label").alias("l_head"))
