@@ -221,26 +221,27 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     # and what meets most others is the head wherever it is, so that a crowd has few heads, those amid it
     often = members.groupBy("sid").agg(F.sum("n").alias("often"))
     order = F.expr(f"shiftleft(-cast(coalesce(floor(4 * log2(often)) + 1, 0) as bigint), {ORDER_BITS}) + (sid & {(1 << ORDER_BITS) - 1})")
-    labelled = alone.select("sid").join(_labels(first), "sid", "left").join(often, "sid", "left")
+    alike = _labels(first)
+    labelled = alone.select("sid").join(alike, "sid", "left").join(often, "sid", "left")
     labelled = checkpoint(labelled.select("sid", F.coalesce("label", "sid").alias("label"), order.alias("order")))
     rows = _replicas(prints, labelled, TABLES)
     members = _meetings(rows, labelled)
     stars, closest, near = _stars(members, prints)
-    near = checkpoint(first.union(near))
     rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
     # groups that heads would join are joined by one pair of each two groups; what that leaves apart is compared in full
-    apart = checkpoint(_apart(rest, _labels(near)))
-    near = checkpoint(near.union(_bridges(apart, prints)))
-    supposed = checkpoint(_labels(near))
+    supposed = _labels(near, alike)
+    apart = checkpoint(_apart(rest, supposed))
+    bridges = checkpoint(_bridges(apart, prints))
+    supposed = checkpoint(_labels(bridges, supposed))
     tried = checkpoint(_apart(apart.drop("l_src", "l_dst"), supposed).select("src", "dst"))
-    near = checkpoint(near.union(_near(tried, prints).select("src", "dst")).distinct().join(first, ["src", "dst"], "left_anti"))
+    near = checkpoint(near.union(bridges).union(_near(tried, prints).select("src", "dst")).distinct().join(first, ["src", "dst"], "left_anti"))
     sets = sets.union(_sets_of(texts, _ends(near).join(sets, "sid", "left_anti")))
-    edges = checkpoint(first.union(_alike(near, sets)))
+    alike = _labels(checkpoint(_alike(near, sets)), alike)
     # pairs that were passed over as their ends were taken for one group, where the shingles say that they aren't
-    apart = _apart(rest, _labels(edges)).drop("l_src", "l_dst")
+    apart = _apart(rest, alike).drop("l_src", "l_dst")
     again = _near(apart.join(tried, ["src", "dst"], "left_anti").select("src", "dst"), prints).select("src", "dst")
     # what shares an anchor and is still apart from its head: there all others meet, those of different groups
-    labels = checkpoint(alone.select("sid").join(_labels(edges), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label")))
+    labels = checkpoint(alone.select("sid").join(alike, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label")))
     own, heads = labels.withColumnRenamed("label", "l_own"), labels.select(F.col("sid").alias("head"), F.col("label").alias("l_head"))
     split = checkpoint(members.join(own, "sid").join(heads, "head").where("l_own <> l_head").select("key", "head").distinct())
     few = split.count() <= BROADCAST_ROWS
@@ -252,7 +253,7 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & _close(_bits("a", "b"))).select("src", "dst")
     pairs = checkpoint(pairs.union(again).distinct())
     sets = sets.union(_sets_of(texts, _ends(pairs).join(sets, "sid", "left_anti")))
-    return connected_components(edges.union(_alike(pairs, sets)))
+    return _labels(_alike(pairs, sets), alike).select(F.col("sid").alias("node"), F.col("label").alias("component"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -268,7 +269,10 @@ def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return checkpoint(_sets(texts.join(wanted, "sid", "left_semi")).groupBy("sid").agg(F.any_value("shingles").alias("shingles")))
 
 
-def _labels(edges: DataFrame) -> DataFrame:
+def _labels(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(sid, label) of the texts that edges (src, dst) or the groups before link; these are stars, which cost no rounds."""
+    if before is not None:
+        edges = edges.select("src", "dst").union(before.select("sid", "label"))
     return connected_components(edges).select(F.col("node").alias("sid"), F.col("component").alias("label"))
 
 

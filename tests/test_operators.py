@@ -90,6 +90,25 @@ def test_components(spark):
     assert components.connected_components(frame.limit(0)).count() == 0
 
 
+def test_components_take_few_and_small_rounds(spark, monkeypatch):
+    """Stars take no round, one edge between two stars few, and a round's plan has no join that another repeats."""
+    made, plain = [], components.checkpoint
+
+    def counted(df):
+        made.append(df._jdf.queryExecution().sparkPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(components, "checkpoint", counted)
+    stars = [(i % 2, i) for i in range(2, 60)] + [(i, 100) for i in range(101, 120)]
+    found = components.connected_components(spark.createDataFrame(stars, "src long, dst long"))
+    assert {r.node: r.component for r in found.collect()} == {n: min(e) for e in stars for n in e}
+    assert len(made) == 1
+    joined = components.connected_components(spark.createDataFrame([*stars, (31, 110)], "src long, dst long"))
+    assert {r.node: r.component for r in joined.collect()} == {n: 0 if n % 2 == 0 and n < 100 else 1 for e in stars for n in e}
+    assert len(made) <= 5
+    assert max(plan.count("Join") for plan in made) <= 3 and max(plan.count("FileScan") for plan in made) <= 6
+
+
 def test_cosine_rules():
     match = simjoin.mutual_cosine(0.5)
     i, j, score, distance = match(np.array([[2.0, 0], [0, 3], [0, 0]]), np.array([[0.0, 7], [4, 0], [0, 0]]))
