@@ -21,7 +21,9 @@ they meet in several tables. The other texts under an anchor are compared with o
 all bits of their fingerprints, then by their shingles: each text with the head that it meets
 most often (heads are texts amid a crowd, those that meet most others), then one pair of each two groups that heads would join, then the pairs that this leaves in
 different groups. Texts under one anchor that are still in
-different groups are compared with each other. A first round does so, but for the last two steps, with
+different groups are compared with each other, but for those whose shingles leave no room for a link:
+what two texts share is at most what each of them has that is found in any other text that it meets.
+A text that meets many heads in vain is told by that before it is compared with all of them, and pairs are told by it at the end. A first round does so, but for the last two steps, with
 the anchors of four tables; then all tables are laid out, and a text meets only heads of other groups than its own.
 So a crowd of copies costs a few rows and comparisons
 a member, but those of its texts that link with none of its heads meet all of it. No link is
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import workers
@@ -62,6 +64,8 @@ DEALT = 4096
 BROADCAST_ROWS = 1_000_000
 #: Texts are heads in order of how many they met in the first round, by fourths of powers of two, above so many bits of the sid.
 ORDER_BITS = 50
+#: Texts that still meet heads of other groups under so many anchors are asked whether their shingles leave room for a link.
+CROWDED = 16
 
 
 def words(text_col: str = "text") -> Column:
@@ -112,19 +116,19 @@ def _fingerprints(texts: DataFrame) -> DataFrame:
 
 
 def _replicas(prints: DataFrame, labelled: DataFrame, tables: int) -> DataFrame:
-    """(key, sid, label, order, sketch) of prints and (sid, label, order): every anchor within reach of the first tables; a key stands for table and anchor, the sketch is the next table's fingerprint."""
+    """(key, sid, label, order, sketch) of prints and (sid, label, order): every anchor within reach of the first tables; a key stands for table and anchor, the sketch is the next table's fingerprint. A label is null where a text is in no group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workers.enter("near copies")
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                sids, labels, orders = (batch.column(n).to_numpy() for n in ("sid", "label", "order"))
+                sids, orders = (batch.column(n).to_numpy() for n in ("sid", "order"))
                 for t in range(tables):
                     fps = batch.column(f"f{t}").to_numpy().view(np.uint64) & np.uint64((1 << 52) - 1)
                     rows, anchor = anchors(fps, REACH, BLOCKS)
                     sketch = batch.column(f"f{(t + 1) % TABLES}").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows]), pa.array(labels[rows]), pa.array(orders[rows]), pa.array(sketch[rows])], names=["key", "sid", "label", "order", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << 52)).view(np.int64)), pa.array(sids[rows]), batch.column("label").take(pa.array(rows)), pa.array(orders[rows]), pa.array(sketch[rows])], names=["key", "sid", "label", "order", "sketch"])
         workers.give_back()
 
     dealt = max(1, -(-labelled.count() // DEALT))
@@ -180,22 +184,54 @@ def _meetings(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
     Texts of one order under one anchor are heads together.
     """
+    # nearly all keys have one text, so this shuffle is as large as its rows are wide: a text without a group has no label
     # strangers that meet by chance are nearly always two, and these are told by their sketches: the bits in only one of them
-    strange = F.bit_count(F.bit_and("sketch").bitwiseXOR(F.bit_or("sketch")))
-    totals = [F.min("order").alias("order"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"), strange.alias("apart")]
-    shared = rows.groupBy("key").agg(*totals).where(F.expr("least <> most") & ((F.col("n") > 2) | (F.col("apart") <= MOST_SKETCH)))
+    totals = [F.min("order").alias("order"), F.bit_xor("sketch").alias("apart"), F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"), F.count("label").alias("grouped")]
+    shared = rows.groupBy("key").agg(*totals).where(F.expr("n > 1 and (grouped < n or least <> most)") & ((F.col("n") > 2) | (F.bit_count("apart") <= MOST_SKETCH)))
     shared = checkpoint(shared.select("key", "n", "order"))
-    shared = shared.join(labelled.select("order", F.col("sid").alias("head"), F.col("label").alias("head_label")), "order").drop("order")
     few = shared.count() <= BROADCAST_ROWS
-    met = rows.select("key", "sid", "label").join(F.broadcast(shared) if few else shared, "key").where("label <> head_label")
+    shared = shared.join(labelled.select("order", F.col("sid").alias("head"), F.coalesce("label", "sid").alias("head_label")), "order").drop("order")
+    met = rows.select("key", "sid", "label").join(F.broadcast(shared) if few else shared, "key").where("coalesce(label, sid) <> head_label")
     return checkpoint(met.select("key", "n", "sid", "head"))
 
 
-def _stars(members: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(src, dst, met): how often a text meets a head, which tells how near it is; each text's head that it meets most; and those of them that are near."""
-    stars = checkpoint(members.groupBy(F.col("sid").alias("src"), F.col("head").alias("dst")).agg(F.count(F.lit(1)).alias("met")))
-    closest = stars.groupBy("src").agg(F.max(F.struct("met", (-F.col("dst").cast("decimal(20,0)")).alias("minus"), "dst")).alias("m")).select("src", "m.dst")
-    return stars, closest, checkpoint(_near(closest, prints)).select("src", "dst")
+def _stars(members: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each text's head that it meets most, of those that are near; and of all other heads (src, dst, met), how often a text meets them, which tells how near they are."""
+    stars = members.groupBy(F.col("sid").alias("src"), F.col("head").alias("dst")).agg(F.count(F.lit(1)).alias("met"))
+    # a text meets no more heads than it has anchors
+    stars = checkpoint(stars.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("met"), "dst"))))
+    return checkpoint(_near(stars.where("place = 1").select("src", "dst"), prints)).select("src", "dst"), stars.where("place > 1").drop("place")
+
+
+def _room(sets: DataFrame) -> DataFrame:
+    """(sid, size, common) of sets (sid, shingles): a text's shingles, and those of them that any other text has."""
+    each = sets.select("sid", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("sid"))
+    lonely = each.where("n = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("lonely"))
+    return sets.select("sid", F.size("shingles").alias("size")).join(lonely, "sid", "left").select("sid", "size", F.expr("size - coalesce(lonely, 0)").alias("common"))
+
+
+def _hopeful(members: DataFrame, labelled: DataFrame, texts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members but for those that can link with none under their key, where crowds meet heads; sets with those that this took.
+
+    Whatever is under a key of a head is in its company: it has the head's label or is one of its members. Two texts of it that
+    link share 4/9 of both sizes at least, and at most what either of them has in common with any other of the company.
+    """
+    crowded = members.withColumn("meetings", F.count(F.lit(1)).over(Window.partitionBy("sid"))).where(F.col("meetings") >= CROWDED)
+    own = labelled.select("sid", F.coalesce("label", "sid").alias("label"))
+    heads = checkpoint(crowded.select("head").distinct().join(own.withColumnRenamed("sid", "head"), "head"))
+    if heads.isEmpty():
+        return members, sets
+    company = members.join(heads, "head", "left_semi").select("sid").union(own.join(heads, "label", "left_semi").select("sid"))
+    company = checkpoint(company.distinct())
+    sets = sets.union(_sets_of(texts, company.join(sets, "sid", "left_anti")))
+    room = checkpoint(_room(sets.join(company, "sid", "left_semi")))
+    sized = checkpoint(members.join(room, "sid", "left"))
+    # the smallest text that may be met with each head: among its members, or of its group
+    met = sized.groupBy("head").agg(F.min("size").alias("least_met"))
+    grouped = room.join(own, "sid").groupBy("label").agg(F.min("size").alias("least_grouped"))
+    least = heads.join(met, "head").join(grouped, "label").select("head", F.least("least_met", "least_grouped").alias("least"))
+    kept = sized.join(least, "head", "left").where("least is null or 45 * common >= 20 * size + greatest(20 * least, 16 * size)")
+    return checkpoint(kept.select("key", "n", "sid", "head")), sets
 
 
 def _bridges(apart: DataFrame, prints: DataFrame) -> DataFrame:
@@ -210,10 +246,9 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     text_batches(texts.sparkSession)
     prints = checkpoint(_fingerprints(texts))
     # a first round over few tables joins what is plainly alike, so that a crowd is one group before all its anchors are laid out
-    alone = checkpoint(prints.select("sid", F.col("sid").alias("label"), F.col("sid").alias("order")))
+    alone = checkpoint(prints.select("sid", F.lit(None).cast("long").alias("label"), F.col("sid").alias("order")))
     members = _meetings(_replicas(prints, alone, FIRST_TABLES), alone)
-    stars, closest, near = _stars(members, prints)
-    rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
+    near, rest = _stars(members, prints)
     near = checkpoint(near.union(_bridges(_apart(rest, _labels(near)), prints)).distinct())
     sets = _sets_of(texts, _ends(near))
     first = checkpoint(_alike(near, sets))
@@ -223,11 +258,9 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     order = F.expr(f"shiftleft(-cast(coalesce(floor(4 * log2(often)) + 1, 0) as bigint), {ORDER_BITS}) + (sid & {(1 << ORDER_BITS) - 1})")
     alike = _labels(first)
     labelled = alone.select("sid").join(alike, "sid", "left").join(often, "sid", "left")
-    labelled = checkpoint(labelled.select("sid", F.coalesce("label", "sid").alias("label"), order.alias("order")))
-    rows = _replicas(prints, labelled, TABLES)
-    members = _meetings(rows, labelled)
-    stars, closest, near = _stars(members, prints)
-    rest = checkpoint(stars.join(closest, ["src", "dst"], "left_anti"))
+    labelled = checkpoint(labelled.select("sid", "label", order.alias("order")))
+    members, sets = _hopeful(_meetings(_replicas(prints, labelled, TABLES), labelled), labelled, texts, sets)
+    near, rest = _stars(members, prints)
     # groups that heads would join are joined by one pair of each two groups; what that leaves apart is compared in full
     supposed = _labels(near, alike)
     apart = checkpoint(_apart(rest, supposed))
@@ -235,24 +268,34 @@ def near_copy_groups(texts: DataFrame) -> DataFrame:
     supposed = checkpoint(_labels(bridges, supposed))
     tried = checkpoint(_apart(apart.drop("l_src", "l_dst"), supposed).select("src", "dst"))
     near = checkpoint(near.union(bridges).union(_near(tried, prints).select("src", "dst")).distinct().join(first, ["src", "dst"], "left_anti"))
-    sets = sets.union(_sets_of(texts, _ends(near).join(sets, "sid", "left_anti")))
-    alike = _labels(checkpoint(_alike(near, sets)), alike)
+    sets = sets.union(_sets_of(texts, _ends(near.union(rest.select("src", "dst"))).join(sets, "sid", "left_anti")))
+    alike = checkpoint(_labels(checkpoint(_alike(near, sets)), alike))
     # pairs that were passed over as their ends were taken for one group, where the shingles say that they aren't
     apart = _apart(rest, alike).drop("l_src", "l_dst")
     again = _near(apart.join(tried, ["src", "dst"], "left_anti").select("src", "dst"), prints).select("src", "dst")
+    alike = _labels(checkpoint(_alike(checkpoint(again), sets)), alike)
     # what shares an anchor and is still apart from its head: there all others meet, those of different groups
     labels = checkpoint(alone.select("sid").join(alike, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label")))
     own, heads = labels.withColumnRenamed("label", "l_own"), labels.select(F.col("sid").alias("head"), F.col("label").alias("l_head"))
     split = checkpoint(members.join(own, "sid").join(heads, "head").where("l_own <> l_head").select("key", "head").distinct())
     few = split.count() <= BROADCAST_ROWS
-    left = rows.select("key", "sid").join(F.broadcast(split) if few else split, "key").where("sid <> head").select("key", "sid")
+    # these are members, or had the head's label
+    heads = split.select(F.col("head").alias("sid")).distinct()
+    grouped = labelled.join(labelled.join(heads, "sid").select("label").distinct(), "label", "left_semi").select("sid")
+    there = checkpoint(members.select("sid").union(grouped).distinct())
+    rows = _replicas(prints, labelled.join(there, "sid", "left_semi"), TABLES)
+    left = rows.select("key", "sid").join(F.broadcast(split) if few else split, "key").where("sid <> head").select("key", "sid").distinct()
     left = checkpoint(left.join(labels, "sid"))
     split = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = checkpoint(left.join(split, "key").join(prints, "sid"))
-    renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), F.col("few").alias(f"few_{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
-    pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(F.expr("src < dst and la <> lb") & _close(_bits("a", "b"))).select("src", "dst")
-    pairs = checkpoint(pairs.union(again).distinct())
-    sets = sets.union(_sets_of(texts, _ends(pairs).join(sets, "sid", "left_anti")))
+    left = checkpoint(left.join(split, "key"))
+    present = checkpoint(left.select("sid").distinct())
+    sets = sets.union(_sets_of(texts, present.join(sets, "sid", "left_anti")))
+    room = _room(sets.join(present, "sid", "left_semi")).where("5 * common >= 4 * size")
+    left = checkpoint(left.join(prints.join(room, "sid"), "sid"))
+    renamed = lambda end, at: left.select("key", F.col("sid").alias(end), F.col("label").alias(f"l{at}"), F.col("size").alias(f"size_{at}"), F.col("common").alias(f"common_{at}"), F.col("few").alias(f"few_{at}"), *(F.col(f"f{t}").alias(f"{at}{t}") for t in range(TABLES)))
+    able = F.expr("src < dst and la <> lb and 9 * least(common_a, common_b) >= 4 * (size_a + size_b)")
+    pairs = renamed("src", "a").join(renamed("dst", "b"), "key").where(able & _close(_bits("a", "b"))).select("src", "dst")
+    pairs = checkpoint(pairs.distinct())
     return _labels(_alike(pairs, sets), alike).select(F.col("sid").alias("node"), F.col("label").alias("component"))
 
 

@@ -131,3 +131,28 @@ def test_a_hot_group_of_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = {r.doc_id for r in near_copies.keep_first(docs).collect()}
     assert kept == {0, *(i for i, _ in rows if i >= 1000)}
+
+
+def test_a_cloud_of_which_most_link_with_none(spark, monkeypatch):
+    """Copies of one text with so many changes that most are near to many, and few are near enough: few pairs need their shingles, and no group is lost."""
+    rng = np.random.default_rng(4)
+    base, rows, asked, alike = [f"b{i}" for i in rng.integers(0, 3000, 146)], [], [], near_copies._alike
+    for i in range(700):
+        own = list(base)
+        for at in rng.choice(len(base), int(rng.integers(0, 14)), replace=False):
+            own[at] = f"c{i}-{at}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, sets: asked.append(pairs.count()) or alike(pairs, sets))
+    kept = {r.doc_id for r in near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == set(near_classes(rows)) and len(kept) > 350
+    assert sum(asked) < 4 * len(rows)
+
+
+def test_room_for_links(spark):
+    """What a text has in common with any other, by brute force; no pair that is alike has too little of it."""
+    rng = np.random.default_rng(5)
+    own = [sorted({int(x) for x in rng.integers(0, 60, 40)} | {1000 + i * (j + 1) for j in range(i % 7)}) for i in range(40)]
+    room = {r.sid: r for r in near_copies._room(spark.createDataFrame(list(enumerate(own)), "sid long, shingles array<long>")).collect()}
+    for i, mine in enumerate(own):
+        others = set().union(*(x for j, x in enumerate(own) if j != i))
+        assert (room[i].size, room[i].common) == (len(mine), len(others & set(mine)))
