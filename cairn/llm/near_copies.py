@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from cairn.llm import workers
 from cairn.llm.simhash import SEED, anchors
 from cairn.operators.components import connected_components
-from cairn.session import checkpoint, text_batches
+from cairn.session import checkpoint, shuffles_go, text_batches
 
 SHINGLE = 5
 TABLES = 20
@@ -337,7 +337,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("_id"), *(F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)))
     rows = rows.withColumn("sid", F.xxhash64(words("text")))
-    groups = near_copy_groups(rows.select("sid", "text")).withColumnRenamed("node", "sid")
+    with shuffles_go(docs.sparkSession):  # all that is large in it is written there
+        groups = near_copy_groups(rows.select("sid", "text")).withColumnRenamed("node", "sid")
     narrow = checkpoint(rows.groupBy("_id", "sid").agg(F.count(F.lit(1)).alias("copies")))
     labelled = checkpoint(narrow.join(groups, "sid", "left").select("_id", "sid", "copies", F.coalesce("component", "sid").alias("label")))
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("sid").alias("s"))).alias("m")).select("label", "m.id", "m.s")
