@@ -135,6 +135,46 @@ def test_match_frames_blocks(spark, sf):
     assert sorted(rows[0]) == sorted(rows[1]) and len(rows[0]) > 0
 
 
+def test_stacked_frames_match_as_single_ones():
+    """A frame against a stack, ragged, with zero vectors and exact copies, gives the matches of its pairs, in few calls."""
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 9, 40)
+    sizes[7] = 60
+    row, feature = np.repeat(np.arange(40), sizes), np.concatenate([np.arange(n) for n in sizes])
+    matrix = rng.normal(size=(len(row), 5))
+    matrix[::11], matrix[5::13] = 0, matrix[3]
+    for matcher in (simjoin.mutual_cosine(0.3), simjoin.mutual_cosine(-1), simjoin.mutual_ratio(0.9)):
+        calls = []
+        prepare, match = matcher.stacked
+        matcher.stacked = simjoin.Stacked(prepare, lambda *a, match=match, calls=calls: calls.append(1) or match(*a))
+        first, second = (simjoin._Block(row[part], feature[part], matrix[part], prepare) for part in (row < 20, row >= 20))
+        for a, b in ((first, second), (first, first), (second, second)):
+            got = [(*r[:2], a.feature[r[2]], b.feature[r[3]], round(r[4], 9), round(r[5], 6)) for p in simjoin.block_matches(a, b, matcher) for r in zip(*p, strict=True)]
+            want = []
+            for k, one in enumerate(a.ids):
+                for x, other in enumerate(b.ids):
+                    if one < other:
+                        own, its = a.rows(k, k + 1), b.rows(x, x + 1)
+                        want += [(one, other, a.feature[own][i], b.feature[its][j], round(s, 9), round(d, 6)) for i, j, s, d in zip(*matcher(a.matrix[own], b.matrix[its]), strict=True)]
+            assert sorted(got) == sorted(want) and want
+        assert len(calls) < 780 / 3
+
+
+def test_edges_leave_a_block_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "BATCH_ROWS", 50)
+    parts = ((np.arange(7), np.arange(7.0)) for _ in range(30))
+    sizes = [b.num_rows for b in simjoin._batches(parts, ["a", "b"])]
+    assert sum(sizes) == 210 and max(sizes) < 60
+
+
+def test_match_totals(spark, sf):
+    from cairn.plans.bindings import features
+
+    f = features(spark, sf)
+    edges = simjoin.match_frames(f, simjoin.mutual_cosine(0.25)).groupBy("first", "second").agg(F.count(F.lit(1)).alias("matches"), F.round(F.sum("score"), 9).alias("score"))
+    assert sorted(simjoin.match_totals(f, simjoin.mutual_cosine(0.25), block=3).withColumn("score", F.round("score", 9)).collect()) == sorted(edges.collect())
+
+
 def test_association_golden(spark):
     nodes = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 2), (9, 3)], "node long, frame long")
     edges = spark.createDataFrame([(0, 2, 0.9), (2, 3, 0.8), (1, 3, 0.7), (0, 3, 0.6)], "left long, right long, score double")
