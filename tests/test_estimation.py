@@ -227,6 +227,22 @@ def test_similarity_algebra(spark):
     assert flat.first().d is None
 
 
+def test_robust_similarity_joins_no_samples(spark, monkeypatch):
+    """No join makes a row for each sample of each row, and a group in many chunks gives the counts of one in a single chunk."""
+    rng = np.random.default_rng(4)
+    p = rng.normal(size=(900, 3))
+    q = np.where((np.arange(900) % 10 < 6)[:, None], rng.normal(size=(900, 3)) * 5, 2 * p + 1)
+    rows = spark.createDataFrame([(int(i % 2), *map(float, x), *map(float, y)) for i, (x, y) in enumerate(zip(p, q, strict=True))], "g int, a double, b double, c double, x double, y double, z double")
+    seen, plain = [], similarity.checkpoint
+    monkeypatch.setattr(similarity, "checkpoint", lambda df, *a: seen.append(plain(df, *a)) or seen[-1])
+    ask = lambda: sorted((r.g, r.n, r.inliers, round(r.s, 6)) for r in similarity.robust_similarity(rows, ["g"], ("a", "b", "c"), ("x", "y", "z"), 0.01, hypotheses=64).collect())
+    whole = ask()
+    assert whole == [(0, 450, 180, 2.0), (1, 450, 180, 2.0)]
+    assert not any("h" in made.columns for made in seen)  # samples and their counts were tables before
+    monkeypatch.setattr(similarity, "CHUNK", 50)
+    assert ask() == whole
+
+
 def test_pose_neighbours(spark):
     rng = np.random.default_rng(4)
     frames = [(0, i, rng.uniform(-20, 20, 3).tolist(), rng.normal(size=3).tolist(), float(rng.uniform(0.3, 8))) for i in range(300)]
