@@ -213,6 +213,28 @@ def test_tracks_in_rounds_are_the_global_tracks(spark):
         assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
 
 
+def test_a_component_of_many_edges_is_one_pass(spark, monkeypatch):
+    """60,000 edges went to rounds before; the pass reads them in order and a node that is far from its root is found in few steps."""
+    monkeypatch.setattr(tracks, "merge_in_rounds", None)
+    rng = np.random.default_rng(6)
+    left, right = rng.integers(0, 500, (2, 80_000))
+    edges = pd.DataFrame({"left": np.minimum(left, right), "right": np.maximum(left, right), "score": rng.random(80_000)})
+    edges = edges[edges["left"] // 5 != edges["right"] // 5].drop_duplicates(["left", "right"])
+    assert len(edges) > 50_000
+    got = tracks.associate_tracks(spark.range(500).select(F.col("id").alias("node"), F.floor(F.col("id") / 5).alias("frame")), spark.createDataFrame(edges)).collect()
+    assert len(got) == 500 and len({(r.track, r.frame) for r in got}) == 500
+    # the merges that the definition gives, by sets
+    track, merged = {n: {n} for n in range(500)}, 0
+    for a, b in edges.sort_values(["score", "left", "right"], ascending=[False, True, True])[["left", "right"]].itertuples(index=False):
+        if track[a] is not track[b] and not {n // 5 for n in track[a]} & {n // 5 for n in track[b]}:
+            track[a] |= track[b]
+            merged += 1
+            for n in track[a]:
+                track[n] = track[a]
+    assert {r.node: r.track for r in got} == {n: min(track[n]) for n in range(500)}
+    assert {r.merged for r in got} == {merged}
+
+
 def test_a_falling_chain_takes_few_rounds(spark, monkeypatch):
     """Each edge of the chain is only first once the one before it has merged; a second chain repeats a frame halfway."""
     n, calls = 1001, []
