@@ -267,7 +267,9 @@ def refined_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = events(spark, sf_dir).groupBy("user_id", F.pmod(F.floor(F.col("t") / 3600), F.lit(24)).cast("long").alias("hour")).agg(F.avg("value").alias("cost"))
     w = Window.partitionBy("user_id").orderBy("hour")
     n = c.withColumn("l", F.lag("cost").over(w)).withColumn("r", F.lead("cost").over(w)).where("cost < l and cost < r")
-    return n.select("user_id", "hour", F.round(G.parabola_minimum(F.col("l"), F.col("cost"), F.col("r")), 4).alias("shift"))
+    shift, rounded = G.parabola_minimum(F.col("l"), F.col("cost"), F.col("r")), F.round("at", 4)
+    # a shift below zero keeps its sign when it is rounded to zero, as in SQL
+    return n.select("user_id", "hour", shift.alias("at")).select("user_id", "hour", F.when((F.col("at") < 0) & (rounded == 0), F.lit(-0.0)).otherwise(rounded).alias("shift"))
 
 
 @query()
