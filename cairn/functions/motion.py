@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType
 
-from cairn.functions.geometry import brown_distort, compose, matrix_quaternion
+from cairn.functions.geometry import compose, distorted, matrix_quaternion
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -70,13 +71,19 @@ def compose_similar(s1: Column, r1: Column, t1: Column, s2: Column, r2: Column,
 
 
 def brown_undistort(x: Column, y: Column, k: tuple[float, float, float, float, float], steps: int = 20) -> Column:
-    """The point that brown_distort maps to (x, y), by fixed-point steps from it."""
+    """The point that brown_distort maps to (x, y), by fixed-point steps from it, which a batch takes together."""
 
-    def step(at: Column, _: Column) -> Column:
-        seen = brown_distort(at["x"], at["y"], k)
-        return F.struct((at["x"] + x - seen["x"]).alias("x"), (at["y"] + y - seen["y"]).alias("y"))
+    @F.pandas_udf("x double, y double")
+    def found(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        u, v = x, y = xs.to_numpy(float), ys.to_numpy(float)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                seen = distorted(u, v, k)
+                u, v = u + x - seen[0], v + y - seen[1]
+        return pd.DataFrame({"x": u, "y": v})
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.alias("x"), y.alias("y")), step)
+    known, at = x.isNotNull() & y.isNotNull(), found(x.cast("double"), y.cast("double"))
+    return F.struct(F.when(known, at["x"]).alias("x"), F.when(known, at["y"]).alias("y"))
 
 
 def updated(predicted: Column, variance: Column, flow_variance: Column, measured: Column, measured_variance: Column) -> Column:
@@ -226,16 +233,53 @@ def squared_length(vector: Column, covariance: Column, size: int = 7) -> Column:
     return bound(F.array(*cells, F.lit(0.0)), lambda m: eliminate(m, size))
 
 
-def reciprocal_distance(s1: Column, r1: Column, t1: Column, c1: Column, s2: Column, r2: Column, t2: Column, c2: Column) -> Column:
-    """The squared Mahalanobis distance from nothing of a similarity after its supposed way back, (s1, r1, t1) after (s2, r2, t2), with the 7 by 7 covariances of both."""
+def _rotation_vectors(r: np.ndarray) -> np.ndarray:
+    """vector_of for a stack (n, 3, 3)."""
+    x, y, z = r[:, 0, 0], r[:, 1, 1], r[:, 2, 2]
+    trace = x + y + z
+    best = np.argmax(np.stack([trace, x, y, z]), axis=0)
+    a, b, c = r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]
+    d, e, f = r[:, 0, 1] + r[:, 1, 0], r[:, 0, 2] + r[:, 2, 0], r[:, 1, 2] + r[:, 2, 1]
+    s = [np.sqrt(np.maximum(0.0, v)) for v in (1 + trace, 1 + x - y - z, 1 - x + y - z, 1 - x - y + z)]
+    forms = ((s[0] / 2, a / (2 * s[0]), b / (2 * s[0]), c / (2 * s[0])), (a / (2 * s[1]), s[1] / 2, d / (2 * s[1]), e / (2 * s[1])), (b / (2 * s[2]), d / (2 * s[2]), s[2] / 2, f / (2 * s[2])), (c / (2 * s[3]), e / (2 * s[3]), f / (2 * s[3]), s[3] / 2))
+    q = np.array(forms).transpose(0, 2, 1)[best, np.arange(len(r))]
+    q = np.where(q[:, :1] < 0, -q, q)
+    size = np.sqrt((q[:, 1:] * q[:, 1:]).sum(1))
+    return q[:, 1:] * np.where(size > 1e-12, 2 * np.arctan2(size, q[:, 0]) / size, 2.0)[:, None]
+
+
+def _reciprocal_distances(rows: np.ndarray) -> np.ndarray:
+    """reciprocal_distance of rows (n, 124), NaN where the covariance is not positive definite."""
+    s1, r1, t1, c1, s2, r2, t2, c2 = np.split(rows, np.cumsum([1, 9, 3, 49, 1, 9, 3]), axis=1)
+    r1, r2, n = r1.reshape(-1, 3, 3), r2.reshape(-1, 3, 3), len(rows)
+    error = np.concatenate([_rotation_vectors(r1 @ r2), (r1 @ (t2 * s1)[:, :, None])[:, :, 0] + t1, np.log(s1 * s2)], 1)
+    across = np.zeros((n, 3, 3))
+    for i, j, k, sign in ((0, 1, 2, -1), (0, 2, 1, 1), (1, 0, 2, 1), (1, 2, 0, -1), (2, 0, 1, -1), (2, 1, 0, 1)):
+        across[:, i, j] = sign * t1[:, k]
+    adjoint = np.zeros((n, 7, 7))
+    adjoint[:, :3, :3], adjoint[:, 3:6, :3], adjoint[:, 3:6, 3:6], adjoint[:, 3:6, 6], adjoint[:, 6, 6] = r1, across @ r1, s1[:, :, None] * r1, -t1, 1
+    total = c1.reshape(-1, 7, 7) + adjoint @ c2.reshape(-1, 7, 7) @ adjoint.transpose(0, 2, 1)
+    # one row after the other is eliminated, with the vector alongside
+    m, out = np.concatenate([total, error[:, :, None]], 2), np.zeros(n)
+    for k in range(7):
+        pivot = np.where(m[:, k, k] <= 0, np.nan, m[:, k, k])
+        out += m[:, k, 7] * m[:, k, 7] / pivot
+        m[:, k + 1 :, k + 1 :] -= (m[:, k, k + 1 : 7] / pivot[:, None])[:, :, None] * m[:, k, None, k + 1 :]
+    return out
 
-    def composed(x: Column) -> Column:
-        both = F.struct(compose_similar(x["s1"], x["r1"], x["t1"], x["s2"], x["r2"], x["t2"]).alias("m"), carried(x["s1"], x["r1"], x["t1"], x["c2"]).alias("c2"), x["c1"].alias("c1"))
-        return bound(both, measured)
 
-    def measured(x: Column) -> Column:
-        total = F.zip_with(x["c1"], x["c2"], lambda own, other: own + other)
-        return bound(F.struct(total.alias("c"), similar_error(x["m"]["s"], x["m"]["r"], x["m"]["t"]).alias("v")), lambda y: squared_length(y["v"], y["c"]))
+@F.arrow_udf(DoubleType())
+def _reciprocal(rows: pa.Array) -> pa.Array:
+    known = rows.is_valid().to_numpy(zero_copy_only=False)
+    flat = rows.flatten()
+    table = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, 124)
+    out = np.full(len(rows), np.nan)
+    with np.errstate(all="ignore"):
+        out[known] = _reciprocal_distances(table)
+    return pa.array(out, mask=np.isnan(out))
 
-    names = ("s1", "r1", "t1", "c1", "s2", "r2", "t2", "c2")
-    return bound(F.struct(*(c.alias(n) for c, n in zip((s1, r1, t1, c1, s2, r2, t2, c2), names, strict=True))), composed)
+
+def reciprocal_distance(s1: Column, r1: Column, t1: Column, c1: Column, s2: Column, r2: Column, t2: Column, c2: Column) -> Column:
+    """The squared Mahalanobis distance from nothing of a similarity after its supposed way back, (s1, r1, t1) after (s2, r2, t2), with the 7 by 7 covariances of both; null where their sum is not positive definite. A batch is worked out together."""
+    each = (F.array(s1.cast("double")), r1, t1, c1, F.array(s2.cast("double")), r2, t2, c2)
+    return _reciprocal(F.concat(*each))

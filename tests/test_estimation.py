@@ -227,6 +227,25 @@ def test_similarity_algebra(spark):
     assert flat.first().d is None
 
 
+def test_points_and_distances_are_worked_out_in_batches(spark):
+    """No interpreted loop of expressions is left in either plan; missing numbers stay missing."""
+    from cairn.functions import geometry, motion
+
+    k = (-0.2, 0.05, 0.001, 0.002, 0.01)
+    points = spark.createDataFrame([(0.3, 0.1), (-0.2, 0.25), (None, 0.1)], "x double, y double")
+    back = points.select("x", "y", geometry.brown_distort(F.col("x"), F.col("y"), k).alias("d")).select("x", "y", motion.brown_undistort(F.col("d.x"), F.col("d.y"), k, 60).alias("u"))
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+    for r in back.collect():
+        assert r.x is None and r.u.x is None and r.u.y is None or abs(r.u.x - r.x) < 1e-12 and abs(r.u.y - r.y) < 1e-12
+    one = lambda *v: F.array(*(F.lit(float(x)) for x in v))
+    still, unit = one(1, 0, 0, 0, 1, 0, 0, 0, 1), one(*(1.0 if i % 8 == 0 else 0.0 for i in range(49)))
+    flat = F.array_repeat(F.lit(0.0), 49)
+    moved = points.select(*(motion.reciprocal_distance(F.lit(1.0), still, F.array("x", "y", F.lit(0.0)), c, F.lit(1.0), still, one(0, 0, 0), flat).alias(n) for n, c in (("d", unit), ("none", flat))))
+    assert "transform(" not in moved._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.d and round(r.d, 9), r.none) for r in moved.collect()] == [(0.1, None), (0.1025, None), (None, None)]
+
+
 def test_robust_similarity_joins_no_samples(spark, monkeypatch):
     """No join makes a row for each sample of each row, and a group in many chunks gives the counts of one in a single chunk."""
     rng = np.random.default_rng(4)
